@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from radiolake.llm.sharding import op3_feistel_sharding
 from radiolake.llm.warc import op1_warc
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op3_feistel_sharding": op3_feistel_sharding,
 }
 
 OP1_SQL = r"""
