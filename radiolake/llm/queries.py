@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from radiolake.llm.sharding import op3_feistel_sharding
+from radiolake.llm.simhash import op10_simhash_bktree
 from radiolake.llm.warc import op1_warc
 
 QUERIES = {
     "op1_warc": op1_warc,
     "op3_feistel_sharding": op3_feistel_sharding,
+    "op10_simhash_bktree": op10_simhash_bktree,
 }
 
 OP1_SQL = r"""
