@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from radiolake.llm.quality import op6_pu_quality
 from radiolake.llm.sharding import op3_feistel_sharding
 from radiolake.llm.simhash import op10_simhash_bktree
 from radiolake.llm.warc import op1_warc
@@ -9,6 +10,7 @@ from radiolake.llm.warc import op1_warc
 QUERIES = {
     "op1_warc": op1_warc,
     "op3_feistel_sharding": op3_feistel_sharding,
+    "op6_pu_quality": op6_pu_quality,
     "op10_simhash_bktree": op10_simhash_bktree,
 }
 
