@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from radiolake.llm.linededup import OP2_SQL, op2_line_chunks
+from radiolake.llm.mixing import op4_source_mix
 from radiolake.llm.quality import op6_pu_quality
 from radiolake.llm.sharding import op3_feistel_sharding
 from radiolake.llm.simhash import op10_simhash_bktree
@@ -9,7 +11,9 @@ from radiolake.llm.warc import op1_warc
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op2_line_chunks": op2_line_chunks,
     "op3_feistel_sharding": op3_feistel_sharding,
+    "op4_source_mix": op4_source_mix,
     "op6_pu_quality": op6_pu_quality,
     "op10_simhash_bktree": op10_simhash_bktree,
 }
@@ -30,4 +34,5 @@ FROM f
 
 ORACLE_SQL = {
     "op1_warc": OP1_SQL,
+    "op2_line_chunks": OP2_SQL,
 }
