@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from radiolake.llm.linededup import OP2_SQL, op2_line_chunks
 from radiolake.llm.mixing import op4_source_mix
+from radiolake.llm.pieces import op8_nbest_pieces
 from radiolake.llm.quality import op6_pu_quality
 from radiolake.llm.sharding import op3_feistel_sharding
 from radiolake.llm.simhash import op10_simhash_bktree
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_feistel_sharding": op3_feistel_sharding,
     "op4_source_mix": op4_source_mix,
     "op6_pu_quality": op6_pu_quality,
+    "op8_nbest_pieces": op8_nbest_pieces,
     "op10_simhash_bktree": op10_simhash_bktree,
 }
 
