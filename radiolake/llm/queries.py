@@ -6,6 +6,7 @@ from radiolake.llm.linededup import OP2_SQL, op2_line_chunks
 from radiolake.llm.mixing import op4_source_mix
 from radiolake.llm.pieces import op8_nbest_pieces
 from radiolake.llm.quality import op6_pu_quality
+from radiolake.llm.rules import op9_divergence_rules
 from radiolake.llm.sharding import op3_feistel_sharding
 from radiolake.llm.simhash import op10_simhash_bktree
 from radiolake.llm.warc import op1_warc
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_source_mix": op4_source_mix,
     "op6_pu_quality": op6_pu_quality,
     "op8_nbest_pieces": op8_nbest_pieces,
+    "op9_divergence_rules": op9_divergence_rules,
     "op10_simhash_bktree": op10_simhash_bktree,
 }
 
