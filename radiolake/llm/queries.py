@@ -5,6 +5,7 @@ from __future__ import annotations
 from radiolake.llm.linededup import OP2_SQL, op2_line_chunks
 from radiolake.llm.mixing import op4_source_mix
 from radiolake.llm.pieces import op8_nbest_pieces
+from radiolake.llm.pii import op5_bootstrapped_pii
 from radiolake.llm.quality import op6_pu_quality
 from radiolake.llm.rules import op9_divergence_rules
 from radiolake.llm.sharding import op3_feistel_sharding
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_line_chunks": op2_line_chunks,
     "op3_feistel_sharding": op3_feistel_sharding,
     "op4_source_mix": op4_source_mix,
+    "op5_bootstrapped_pii": op5_bootstrapped_pii,
     "op6_pu_quality": op6_pu_quality,
     "op8_nbest_pieces": op8_nbest_pieces,
     "op9_divergence_rules": op9_divergence_rules,
