@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from radiolake.llm.linededup import OP2_SQL, op2_line_chunks
+from radiolake.llm.media import op7_image_copies
 from radiolake.llm.mixing import op4_source_mix
 from radiolake.llm.pieces import op8_nbest_pieces
 from radiolake.llm.pii import op5_bootstrapped_pii
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_source_mix": op4_source_mix,
     "op5_bootstrapped_pii": op5_bootstrapped_pii,
     "op6_pu_quality": op6_pu_quality,
+    "op7_image_copies": op7_image_copies,
     "op8_nbest_pieces": op8_nbest_pieces,
     "op9_divergence_rules": op9_divergence_rules,
     "op10_simhash_bktree": op10_simhash_bktree,
