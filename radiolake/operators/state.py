@@ -12,23 +12,28 @@ TELEMETRY = ("view", "click")
 
 
 def fold(log: DataFrame) -> DataFrame:
-    """Latest value of every field per sender; each kind of packet sets its own field."""
-    of = lambda *kinds: F.col("kind").isin(*kinds)
+    """Per sender the newest (seq, value) of every field; each kind of packet sets its own field."""
+
+    def newest(field: str, *kinds: str) -> Column:
+        return F.max(F.when(F.col("kind").isin(*kinds), F.struct("seq", F.col(field).alias("value"))))
+
     return log.groupBy("from_num").agg(
         F.max("ts_us").alias("last_us"), F.max("seq").alias("last_seq"), F.count("*").alias("packets"),
-        F.max_by(F.when(of(*TELEMETRY), F.col("value")), F.when(of(*TELEMETRY), F.col("seq"))).alias("telemetry"),
-        F.max_by(F.when(of("signup"), F.col("k")), F.when(of("signup"), F.col("seq"))).alias("info"),
+        newest("value", *TELEMETRY).alias("telemetry"), newest("k", "signup").alias("info"),
     )
 
 
-def merge(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Two folds of consecutive parts of a log as the fold of the whole; ``new`` is the later."""
-    both = old.alias("a").join(new.alias("b"), "from_num", "full")
-    later = lambda c: F.coalesce(F.col(f"b.{c}"), F.col(f"a.{c}")).alias(c)
-    return both.select(
-        "from_num", F.greatest("a.last_us", "b.last_us").alias("last_us"), F.greatest("a.last_seq", "b.last_seq").alias("last_seq"),
-        (F.coalesce("a.packets", F.lit(0)) + F.coalesce("b.packets", F.lit(0))).alias("packets"), later("telemetry"), later("info"),
-    )
+def merge(one: DataFrame, two: DataFrame) -> DataFrame:
+    """Folds of two parts of a log, in any order, as the fold of both."""
+    both = one.alias("a").join(two.alias("b"), "from_num", "full")
+    newest = [F.greatest(f"a.{c}", f"b.{c}").alias(c) for c in ("last_us", "last_seq", "telemetry", "info")]
+    packets = F.coalesce("a.packets", F.lit(0)) + F.coalesce("b.packets", F.lit(0))
+    return both.select("from_num", *newest, packets.alias("packets"))
+
+
+def current(folded: DataFrame) -> DataFrame:
+    """A fold's state as plain values."""
+    return folded.withColumns({c: F.col(f"{c}.value") for c in ("telemetry", "info")})
 
 
 def is_active(last_us: Column, now_us: Column, inactive_s: int = INACTIVE_S, within_day: bool = False) -> Column:
