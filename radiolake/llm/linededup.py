@@ -102,7 +102,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     hashes = F.array_distinct(F.transform(F.filter(chunks(F.col("text")), lambda c: c["n"] > 1), lambda c: F.xxhash64(c["body"])))
     places = docs.select("__key", "__text", F.explode(hashes).alias("h")).join(repeated, "h").filter("first <> __key")
     dropped = stage_table(places.groupBy("__key", "__text").agg(F.collect_set("h").alias("__dropped")), "dropped-chunks")
-    out = docs.join(dropped, ["__key", "__text"], "left")
+    # the decisions grow with the corpus, so they are never broadcast, however small they are
+    out = docs.join(dropped.hint("merge"), ["__key", "__text"], "left")
     # a struct keeps how many chunks there were beside those that stay
     both = let(chunks(F.col("text")), lambda parts: let(without(parts, F.col("__dropped")), lambda stay: F.struct(F.array_join(stay, "\n").alias("text"), (F.size(parts) - F.size(stay)).cast("long").alias("removed"))))
     out = out.withColumn("__out", both)
