@@ -130,6 +130,18 @@ def test_image_copies(spark):
     assert media.read_pgm(b"junk") is None and media.read_pgm(None) is None
 
 
+def test_many_copies_of_an_image_stay_one_class(spark):
+    """More different copies than a bucket is paired out for, beside images of their own."""
+    rng = np.random.default_rng(2)
+    image = media.render(rng.normal(size=64))
+    copies = [(i, media.write_pgm(media.edited(image, i))) for i in range(90)]
+    others = [(100 + i, media.write_pgm(media.render(rng.normal(size=64)))) for i in range(20)]
+    out = media.image_classes(spark.createDataFrame([*copies, *others], "id long, image binary")).toPandas().set_index("id")
+    assert len({data for _, data in copies}) > media.HOT
+    assert (out.class_id[range(90)] == 0).all() and (out.n_links[range(90)] > 0).all()
+    assert (out.class_id[range(100, 120)] == list(range(100, 120))).all()
+
+
 def brute_segmentations(v, chunk):
     marked, out = v.marked(chunk), []
 
