@@ -136,7 +136,10 @@ def test_many_copies_of_an_image_stay_one_class(spark):
     image = media.render(rng.normal(size=64))
     copies = [(i, media.write_pgm(media.edited(image, i))) for i in range(90)]
     others = [(100 + i, media.write_pgm(media.render(rng.normal(size=64)))) for i in range(20)]
-    out = media.image_classes(spark.createDataFrame([*copies, *others], "id long, image binary")).toPandas().set_index("id")
+    again = [(5000, others[0][1]), (5000, others[0][1]), (5000, copies[0][1]), (None, None), (None, others[1][1])]
+    out = media.image_classes(spark.createDataFrame([*copies, *others, *again], "id long, image binary")).toPandas()
+    assert len(out) == 115 and sorted(out.class_id[out.id == 5000]) == [0, 100, 100]
+    out = out.dropna(subset=["id"]).drop_duplicates("id").set_index("id")
     assert len({data for _, data in copies}) > media.HOT
     assert (out.class_id[range(90)] == 0).all() and (out.n_links[range(90)] > 0).all()
     assert (out.class_id[range(100, 120)] == list(range(100, 120))).all()
