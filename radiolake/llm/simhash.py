@@ -39,17 +39,26 @@ BANDS = 4
 MAX_TREE = 4096
 
 
-def fingerprint_of(text: str | None, words_each: int = 3) -> int:
-    """Unsigned 64-bit SimHash of a text's word shingles, repeats included."""
+def shingle_hashes(text: str | None, words_each: int = 3) -> np.ndarray:
+    """Unsigned 64-bit hashes of a text's word shingles, repeats included."""
     words = (text or "").encode().lower().split()  # of bytes: only A-Z change, only ASCII white space splits
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, digest = b" ".join(words), xxhash.xxh64_digest
     ends = list(accumulate(len(w) + 1 for w in words))
-    n = max(1, len(words) - words_each + 1)
     hashes = b"".join([digest(joined[a : b - 1], 42) for a, b in zip([0, *ends], ends[words_each - 1 :] or ends[-1:], strict=False)])
-    bits = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(n, 8), axis=1)
-    return int.from_bytes(np.packbits(2 * bits.sum(0, dtype=np.int64) > n).tobytes())
+    return np.frombuffer(hashes, ">u8").astype(np.uint64)
+
+
+def fingerprint_of_hashes(hashes: np.ndarray) -> int:
+    """Unsigned 64-bit SimHash: the bits that most of the hashes have."""
+    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    return int.from_bytes(np.packbits(2 * bits.sum(0, dtype=np.int64) > len(hashes)).tobytes())
+
+
+def fingerprint_of(text: str | None, words_each: int = 3) -> int:
+    """Unsigned 64-bit SimHash of a text's word shingles, repeats included."""
+    return fingerprint_of_hashes(shingle_hashes(text, words_each))
 
 
 @F.pandas_udf(T.LongType())
@@ -117,17 +126,24 @@ def shard_keys(fp: Column) -> Column:
     return F.array(*[F.shiftleft(F.lit(k).cast("long"), 32).bitwiseOR(F.shiftleft(band[i], 16)).bitwiseOR(band[j]) for k, (i, j) in enumerate(combinations(range(BANDS), 2))])
 
 
+def dealt_cells(keyed: DataFrame, name: str, most: int) -> DataFrame:
+    """Rows (key, name, tree, by, probe): each shard of ``keyed(key, name)`` dealt into parts of about ``most``.
+
+    Part p of a shard is built for cells (p, q >= p) and probes cells (q < p, p).
+    """
+    large = stage_table(keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > most), "simhash-large")
+    parts = F.coalesce(F.ceil(F.col("n") / most), F.lit(1)).cast("int")
+    keyed = keyed.select("key", name).join(large, "key", "left").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64(name, F.lit(1)), F.col("parts")).cast("int"))
+    cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least(q, F.col("part")).alias("tree"), F.greatest(q, F.col("part")).alias("by"), (q < F.col("part")).alias("probe")))
+    return keyed.select("key", name, F.inline(cells))
+
+
 def fingerprint_links(fps: DataFrame, radius: int = 2, max_tree: int = MAX_TREE) -> DataFrame:
     """Links (a, b), a > b, that connect the distinct fingerprints ``fps(fp)`` within ``radius`` <= 2."""
     if radius > 2:
         raise ValueError("pairs of four bands reach two differing bits at most")
     keyed = fps.select("fp", F.explode(shard_keys(F.col("fp"))).alias("key"))
-    large = stage_table(keyed.groupBy("key").count().filter(F.col("count") > max_tree), "simhash-large")
-    parts = F.coalesce(F.ceil(F.col("count") / max_tree), F.lit(1)).cast("int")
-    keyed = keyed.join(large, "key", "left").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("parts")).cast("int"))
-    # part p of a shard is built for trees (p, q >= p) and probes trees (q < p, p)
-    cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least(q, F.col("part")).alias("tree"), F.greatest(q, F.col("part")).alias("by"), (q < F.col("part")).alias("probe")))
-    cells = keyed.select("key", "fp", F.inline(cells))
+    cells = dealt_cells(keyed, "fp", max_tree)
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = cells.repartition(n, "key", "tree", "by").sortWithinPartitions("key", "tree", "by", "probe")
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from radiolake.llm import linededup, media, mixing, pieces, pii, quality, rules, sharding, simhash, warc
+from radiolake.llm import linededup, media, mixing, pieces, pii, quality, rules, sharding, simhash, similar, warc
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -244,6 +244,49 @@ def test_large_shards_are_split_without_losing_links(spark):
     assert whole == split
 
 
+def five_words(text):
+    words = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    words = WORD.findall(words)
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4)))
+
+
+def test_edited_copies_leave_the_pipeline(spark):
+    """Planted copies around a similarity of 0.8, and a crowd of copies, against all pairs."""
+    random.seed(5)
+    draw = lambda n: [f"w{random.randrange(3000)}" for _ in range(n)]
+    texts = [None, "", "a b", "A  b", "c"]
+    for n in (12, 40, 90, 400):
+        for edits in (1, 2, 3, 5, 8, 12):
+            words = draw(n)
+            places = random.sample(range(n), edits)
+            copy = ["new" if i in places else w for i, w in enumerate(words)]
+            texts += [" ".join(words), " ".join(copy)]
+    crowd = draw(300)
+    for i in range(25):
+        copy = list(crowd)
+        copy[12 * i] = f"c{i}"
+        texts.append(" ".join(copy))
+    order = random.sample(range(len(texts)), len(texts))
+    rows = [(i, texts[k]) for i, k in enumerate(order)]
+    every = [five_words(t) for _, t in rows]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(every[i] & every[j])
+            if 5 * both >= 4 * (len(every[i]) + len(every[j]) - both) and label[i] != label[j]:
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(r[0] for r in corpus_pipeline.keep_one_of_each_group(spark, docs, SF).select("doc_id").collect())
+    assert got == sorted(set(label)) and len(got) < len(rows) - 30
+    small = similar.drop_similar(docs, 4)
+    assert sorted(r[0] for r in small.select("doc_id").collect()) == got
+    again = docs.unionByName(docs.filter("doc_id < 3")).unionByName(docs.limit(1).withColumn("text", F.lit("other words")))
+    assert similar.drop_similar(again).count() == len(got) + 1 and similar.drop_similar(docs.limit(0)).count() == 0
+    nulls = docs.withColumn("doc_id", F.lit(None).cast("long"))
+    assert similar.drop_similar(nulls).count() == len(got)
+
+
 def test_pipeline_stages(spark):
     docs, sizes = spark.read.parquet(f"{SF}/documents.parquet"), []
     columns = docs.columns
