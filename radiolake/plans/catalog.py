@@ -308,6 +308,14 @@ def graph_reach(spark, sf):
     return graph.reach(model.edges(spark, sf).filter("snr > 150").select("src", "dst").checkpoint(), 0)
 
 
+@query(f"WITH RECURSIVE {EDGES}, r AS (SELECT CAST(0 AS BIGINT) AS node, 0 AS level UNION SELECT e.dst, r.level + 1 FROM r JOIN edges e ON e.src = r.node WHERE r.level < 10) SELECT node, CAST(min(level) AS INTEGER) AS level FROM r GROUP BY node")
+def graph_reach_all(spark, sf):
+    """Nodes within ten hops of node 0 over all edges, with the least number of hops."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return graph.reach(model.edges(spark, sf).select("src", "dst").checkpoint(), 0)
+
+
 @query(f"WITH {LOG} SELECT seq, from_id, ts_us, kind FROM log")
 def log_clean(spark, sf):
     return model.events(spark, sf).drop("value", "props", "k", "from_num")

@@ -10,7 +10,7 @@ import __spark_entry__
 from radiolake.functions import mesh as m
 from radiolake.operators import graph, state
 from radiolake.plans import catalog
-from radiolake.sources import decode
+from radiolake.sources import decode, model
 
 SF = "/root/testdata/sf0.001"
 
@@ -115,3 +115,24 @@ def test_query_has_its_sql_rows(spark, name):
     cols = sorted(df.columns)
     flat = lambda rows: sorted(tuple(f"{x:.6g}" if isinstance(x, float) else str(x) for x in r) for r in rows)
     assert flat(df.select(*cols).collect()) == flat(con.sql(catalog.ORACLE_SQL[name]).project(",".join(cols)).fetchall())
+
+
+def sql_rows(name):
+    con = duckdb.connect()
+    for t in ("events", "conversations"):
+        con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    return sorted(con.sql(catalog.ORACLE_SQL[name]).fetchall())
+
+
+def test_reach_over_all_edges(spark):
+    """Breadth-first search by hand, over every edge of the tables."""
+    near = {}
+    for src, dst in model.edges(spark, SF).select("src", "dst").collect():
+        near.setdefault(src, set()).add(dst)
+    level, front = {0: 0}, {0}
+    for depth in range(1, 11):
+        front = {d for s in front for d in near.get(s, ())} - set(level)
+        level |= dict.fromkeys(front, depth)
+    out = catalog.QUERIES["graph_reach_all"](spark, SF).select("node", "level").collect()
+    assert dict(out) == level and len(out) == len(level)
+    assert sorted(map(tuple, out)) == sql_rows("graph_reach_all")
