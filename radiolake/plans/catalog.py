@@ -160,6 +160,17 @@ def chat_dedupe(spark, sf):
     return c.groupBy("id").agg(F.array_join(senders, ",").alias("senders"), F.min_by("text", "from_num").alias("text"))
 
 
+@query(f"""WITH {CHAT} SELECT channel, id, string_agg(sender, ',' ORDER BY sender NULLS FIRST, text NULLS FIRST) AS senders, last(text ORDER BY sender NULLS FIRST, text NULLS FIRST) AS text, count(*) AS copies
+FROM chat GROUP BY channel, id""")
+def chat_dedupe_all(spark, sf):
+    """Copies of a message within a channel as one row: the last copy's text, all senders.
+
+    The tables have no order of arrival within a channel, so copies are ordered by sender and text.
+    """
+    copies = model.chat(spark, sf).groupBy("channel", "id").agg(F.sort_array(F.collect_list(F.struct("sender", "text"))).alias("c"))
+    return copies.select("channel", "id", F.array_join(F.transform("c", lambda x: x["sender"]), ",").alias("senders"), F.element_at("c", -1)["text"].alias("text"), F.size("c").cast("long").alias("copies"))
+
+
 @query(f"WITH {CHAT} SELECT channel, CASE WHEN channel = '0' THEN 'General' ELSE 'Channel ' || channel END AS name, count(*) AS messages FROM chat GROUP BY 1, 2")
 def channel_counts(spark, sf):
     name = F.when(F.col("channel") == "0", "General").otherwise(F.concat(F.lit("Channel "), "channel"))

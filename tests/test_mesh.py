@@ -136,3 +136,14 @@ def test_reach_over_all_edges(spark):
     out = catalog.QUERIES["graph_reach_all"](spark, SF).select("node", "level").collect()
     assert dict(out) == level and len(out) == len(level)
     assert sorted(map(tuple, out)) == sql_rows("graph_reach_all")
+
+
+def test_chat_copies_within_each_channel(spark, tmp_path):
+    """Every conversation has its rows; equal ids of other channels stay apart."""
+    out = catalog.QUERIES["chat_dedupe_all"](spark, SF)
+    messages = spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn").distinct().count()
+    assert out.count() == messages and sorted(map(tuple, out.collect())) == sql_rows("chat_dedupe_all")
+    planted = [(70, 1, "b", "y"), (70, 1, "a", "x"), (71, 1, "c", "z"), (5, 1, "a", "w")]
+    spark.createDataFrame(planted, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    rows = sorted(map(tuple, catalog.QUERIES["chat_dedupe_all"](spark, str(tmp_path)).collect()))
+    assert rows == [("5", 1, "a", "w", 1), ("70", 1, "a,b", "y", 2), ("71", 1, "c", "z", 1)]
