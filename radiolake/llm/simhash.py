@@ -198,19 +198,19 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def link_documents(docs: DataFrame, radius: int = 2) -> DataFrame:
-    """(doc_id, fp, component_id) a row of ``docs(doc_id, text)``; fp as a signed long."""
+    """(doc_id, fp, component_id, label) a row of ``docs(doc_id, text)``; fp as a signed long, label: a fingerprint of its component."""
     prints = stage_table(docs.select("doc_id", fingerprint3("text").alias("fp")), "prints")
     groups = stage_table(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "groups")
     links = stage_table(fingerprint_links(groups.select("fp"), radius), "fp-links")
-    named = groups.filter("n > 1").select("fp", F.col("first").alias("component_id"))
+    named = groups.filter("n > 1").select("fp", F.col("first").alias("component_id"), F.col("fp").alias("label"))
     if links.limit(1).count():
         labels = stage_table(components(links).join(groups.select(F.col("fp").alias("node"), "first"), "node"), "labelled")
         least = stage_table(labels.groupBy("label").agg(F.min("first").alias("component_id")), "least")
-        linked = stage_table(labels.join(least, "label").select(F.col("node").alias("fp"), "component_id"), "linked")
+        linked = stage_table(labels.join(least, "label").select(F.col("node").alias("fp"), "component_id", "label"), "linked")
         named = named.join(linked, "fp", "left_anti").unionByName(linked)
     named = stage_table(named, "named").withColumn("__named", F.lit(True))
     component = F.when(F.col("__named"), F.col("component_id")).otherwise(F.col("doc_id"))
-    return prints.join(named, "fp", "left").select("doc_id", "fp", component.alias("component_id"))
+    return prints.join(named, "fp", "left").select("doc_id", "fp", component.alias("component_id"), F.coalesce("label", "fp").alias("label"))
 
 
 def near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
@@ -220,15 +220,16 @@ def near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
-    """Keep, of each component, the row with the smallest doc_id (of equal ids, one row).
+    """Keep, of each component, one row with the smallest doc_id.
 
-    A component without any doc_id keeps one row.
+    Rows that repeat a doc_id with texts of other components stand for themselves; a component
+    without any doc_id keeps one row.
     """
-    kept = link_documents(docs, radius).filter("doc_id <=> component_id").select("doc_id", "fp").distinct()
-    kept = stage_table(kept, "kept").withColumnsRenamed({"doc_id": "__id", "fp": "__fp"})
-    ids = docs.join(kept, docs["doc_id"] == kept["__id"], "left_semi").dropDuplicates(["doc_id"])
-    bare = docs.filter("doc_id is null").withColumn("__fp", fingerprint3("text")).join(kept.filter("__id is null").select("__fp"), "__fp").dropDuplicates(["__fp"]).drop("__fp")
-    return ids.unionByName(bare)
+    kept = link_documents(docs, radius).filter("doc_id <=> component_id").groupBy("label", "doc_id").agg(F.min("fp").alias("fp"))
+    kept = stage_table(kept, "kept").withColumnsRenamed({"doc_id": "__id", "fp": "__kept"})
+    rows = docs.withColumn("__fp", fingerprint3("text"))
+    same = (F.col("__fp") == F.col("__kept")) & F.col("doc_id").eqNullSafe(F.col("__id"))
+    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__fp"]).drop("__fp")
 
 
 def op10_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:

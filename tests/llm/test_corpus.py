@@ -235,6 +235,13 @@ def test_simhash_components(spark):
     assert all(r["fingerprint"] == f"{prints[r['doc_id']]:016x}" and r["component_id"] == top(r["doc_id"]) for r in out)
 
 
+def test_repeated_ids_keep_their_distinct_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(5, a), (5, a), (5, b), (6, a), (7, b), (8, c), (None, c), (None, "lone"), (None, "lone")]
+    out = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, [(5, a), (5, b), (8, c), (None, "lone")]))
+
+
 def test_large_shards_are_split_without_losing_links(spark):
     random.seed(1)
     seeds = [random.getrandbits(64) for _ in range(20)]
