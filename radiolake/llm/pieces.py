@@ -15,8 +15,9 @@ the data. A task's memory of known chunks is bounded by ``MEMORY``.
 
 Defined cases: spaces become the sign for a space and a text starts with one, as the vocabulary
 expects; a character without a piece, and a literal space sign, becomes its UTF-8 bytes' pieces, so
-decoding gives back every text exactly; a null text gives null pieces, an empty one none; of equal
-scores, the segmentation with the longer last piece in the first chunk that differs comes first;
+decoding gives back every text exactly; a null text gives null pieces, an empty one none; a run of
+characters without white space of any length is one chunk, whose search is bounded by its length;
+of equal scores, the best has the longer last piece in the first chunk that differs;
 other columns pass through, columns named like an output are replaced.
 """
 
@@ -80,40 +81,66 @@ class Vocabulary:
         return out[1:].decode() if out else ""
 
 
-def forward(v: Vocabulary, marked: str) -> tuple[list[int], list[list[tuple[int, int]]]]:
-    """Best score of each prefix; arcs (start, score) that end at each position, longest first."""
-    best, arcs = [0], [[]]
+def forward(v: Vocabulary, marked: str) -> list[int]:
+    """Best score of each prefix."""
+    best = [0]
     for end in range(1, len(marked) + 1):
-        here = []
-        for start in range(max(0, end - v.longest), end):
-            found = v.pieces.get(marked[start:end])
-            if found is not None or start == end - 1:
-                here.append((start, found[1] if found is not None else v.unknown))
-        arcs.append(here)
-        best.append(max(best[start] + score for start, score in here))
-    return best, arcs
+        best.append(max(score for score, _ in arcs_into(v, marked, best, end)))
+    return best
+
+
+def arcs_into(v: Vocabulary, marked: str, best: list[int], end: int) -> list[tuple[int, int]]:
+    """(best score through it, start) of the arcs that end at a position: best first, of equal ones the longer."""
+    out = []
+    for start in range(max(0, end - v.longest), end):
+        found = v.pieces.get(marked[start:end])
+        if found is not None or start == end - 1:
+            out.append((best[start] + (found[1] if found is not None else v.unknown), start))
+    return sorted(out, key=lambda x: -x[0])
 
 
 def n_best(v: Vocabulary, chunk: str, n: int) -> list[tuple[int, list[int]]]:
-    """The ``n`` best (score, ids) of a chunk, by backward A* over its lattice."""
+    """The ``n`` best (score, ids) of a chunk, by backward A* over its lattice.
+
+    An entry of the agenda is an arc: a suffix from where it ends, continued by the arc. Once it is
+    popped, the next best arc into the same end follows. As the ``n`` best suffixes at a position have
+    the ``n`` best prefixes to complete them, no position is expanded more than ``n`` times; and of
+    equal scores the one nearest the start goes first, so that ties are not searched breadth first.
+    Time and memory thus grow with the chunk's length times ``n``.
+    """
     marked = v.marked(chunk)
-    best, arcs = forward(v, marked)
-    out, order = [], 0
-    agenda = [(-best[-1], 0, len(marked), 0, None)]  # -(prefix + suffix), tie, position, suffix score, cuts
+    best = forward(v, marked)
+    if not marked:
+        return [(0, [])]
+    out, order, expanded = [], 0, {}
+    arcs: dict[int, list[tuple[int, int]]] = {}
+    agenda: list[tuple] = []  # -(prefix + suffix), start, order, suffix's score, index of the arc, cuts from its end on
+
+    def push(suffix: int, k: int, cuts: tuple) -> None:
+        nonlocal order
+        end = cuts[0]
+        if end not in arcs:
+            arcs[end] = arcs_into(v, marked, best, end)
+        if k < len(arcs[end]):
+            through, start = arcs[end][k]
+            order += 1
+            heapq.heappush(agenda, (-(through + suffix), start, order, suffix, k, cuts))
+
+    push(0, 0, (len(marked), None))
     while agenda and len(out) < n:
-        total, _, at, suffix, cuts = heapq.heappop(agenda)
-        if not at:
-            ids = []
-            start = 0
-            while cuts is not None:
-                end, cuts = cuts
-                ids += v.ids_of(chunk, marked, start, end)
-                start = end
-            out.append((-total, ids))
+        total, start, _, suffix, k, cuts = heapq.heappop(agenda)
+        push(suffix, k + 1, cuts)
+        if start:
+            if expanded.get(start, 0) < n:
+                expanded[start] = expanded.get(start, 0) + 1
+                push(-total - best[start], 0, (start, cuts))
             continue
-        for start, score in arcs[at]:
-            order += 1
-            heapq.heappush(agenda, (-(best[start] + suffix + score), order, start, suffix + score, (at, cuts)))
+        ids = []
+        while cuts is not None:
+            end, cuts = cuts
+            ids += v.ids_of(chunk, marked, start, end)
+            start = end
+        out.append((-total, ids))
     return out
 
 
