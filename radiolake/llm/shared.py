@@ -8,6 +8,7 @@ sides of a following join are plain exchanges, which adaptive execution can spli
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -23,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a new temporary one only where the session names none."""
+    """The cluster's shared folder; a new temporary one only where all runs in one local process."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -43,9 +46,29 @@ def new_dir(spark: SparkSession, name: str) -> str:
 
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back."""
-    path = f"{new_dir(df.sparkSession, name)}/table"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    folder = new_dir(df.sparkSession, name)
+    df.write.parquet(f"{folder}/table")
+    out = df.sparkSession.read.schema(df.schema).parquet(f"{folder}/table")
+    out.staged_in = folder
+    return out
+
+
+def staged_bytes(table: DataFrame) -> int:
+    """Bytes of a staged table's files."""
+    path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.staged_in)
+    return path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+
+
+def broadcast_if_small(table: DataFrame, most: int = 4 << 20) -> DataFrame:
+    """A staged table marked for broadcast if its files have at most ``most`` bytes; else the planner's choice."""
+    return F.broadcast(table) if staged_bytes(table) <= most else table
+
+
+def drop_staged(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing will read again."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.staged_in)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def crc32_text(text: Column) -> Column:

@@ -13,7 +13,8 @@ task that runs again after the loss of an executor leaves the same files.
 Defined cases: a null html is an empty payload; pages with equal id *and* payload count as
 one record written twice and get the same type; a page without id can only be a revisit (of
 a page that has one) or a response; columns beyond ``page_id``, ``url`` and ``html`` are
-ignored; an empty table gives no archives and no rows.
+ignored; an empty table gives no archives and no rows; a file without bytes has no records; a
+gzip stream that ends before its trailer, wherever it is cut, is an error, not a short archive.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.fs  # noqa: F401
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from radiolake.llm.shared import new_dir, stage_table, table
@@ -79,19 +80,20 @@ class Inflated:
     """Byte stream of a gzip file, of one member or many, inflated a chunk at a time."""
 
     def __init__(self, source):
-        self.source, self.buffer, self.inflater, self.ended = source, bytearray(), zlib.decompressobj(31), False
+        self.source, self.buffer, self.inflater, self.fed, self.ended = source, bytearray(), zlib.decompressobj(31), False, False
 
     def _more(self) -> bool:
         while not self.ended:
             data = self.inflater.unused_data if self.inflater.eof else self.inflater.unconsumed_tail
             data = data or self.source.read(CHUNK)
             if not data:
-                if not self.inflater.eof and self.buffer:
+                if self.fed and not self.inflater.eof:
                     raise EOFError("the gzip stream is cut short")
                 self.ended = True
                 return False
             if self.inflater.eof:
                 self.inflater = zlib.decompressobj(31)
+            self.fed = True
             got = self.inflater.decompress(data, CHUNK)
             if got:
                 self.buffer += got
@@ -182,7 +184,10 @@ def write_monolithic(pages: DataFrame, out_dir: str, min_bytes: int = 0, level:
 
 
 def _one_task_each(files: DataFrame) -> DataFrame:
-    return files.repartition(max(1, files.count()))
+    """Each file in a partition of its own. Only names are numbered in one task."""
+    name = files.columns[0]
+    numbered = files.withColumn("__n", F.row_number().over(Window.orderBy(name)) - 1)
+    return numbered.repartitionById(max(1, files.count()), "__n").drop("__n")
 
 
 def normalise(files: DataFrame, out_dir: str, level: int = 6) -> DataFrame:
