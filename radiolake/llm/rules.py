@@ -81,24 +81,6 @@ def references(docs: DataFrame) -> References:
     counted = docs.select("lang", F.explode(words_of(F.col("text"))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     top = counted.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= COMMON)
-    words: dict[str, list[tuple[int, float]]]  # language: (word's hash, share of all its words)
-
-
-def references(docs: DataFrame) -> References:
-    """Counted over all of ``docs(text, lang)``."""
-    lang = F.coalesce("lang", F.lit("")).alias("lang")
-    docs = docs.select(lang, F.coalesce("text", F.lit("")).alias("text"))
-    per_doc = docs.select("lang", class_counts(F.col("text"))["n"].alias("c"), F.regexp_count("text", F.lit(WORD)).alias("words"))
-    sums = per_doc.groupBy("lang").agg(F.sum("words"), *[F.sum(F.col("c")[i]).alias(f"c{i}") for i in range(len(CLASSES) + 1)])
-    classes, total = {}, {}
-    for lang_name, n, *counts in sums.collect():  # a row a language
-        total[lang_name] = n
-        classes[lang_name] = [c / max(1, sum(counts)) for c in counts]
-    counted = docs.select("lang", F.explode(words_of(F.col("text"))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    top = counted.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= COMMON)
-    totals = docs.groupBy("lang").agg(F.sum(F.regexp_count("text", F.lit(WORD))).alias("n")).collect()
-    total = {r[0]: r[1] for r in totals}
     words: dict[str, list[tuple[int, float]]] = {}
     for lang_name, h, n in top.select("lang", word_hash(F.col("lang"), F.col("word")), "n").collect():
         words.setdefault(lang_name, []).append((h, n / total[lang_name]))
