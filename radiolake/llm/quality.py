@@ -7,13 +7,16 @@ negatives, ``mean_u softplus(z) - prior * mean_p softplus(z)``, may not fall bel
 step that finds it there goes up that part's gradient instead.
 
 Every row counts: each Newton step is one Spark pass over a staged feature table, in which tasks
-return sums of fixed size that a second small layer adds up before the driver sees them. The
-prior is the share of quality 1 among the labelled rows one may learn from; labels of quality 0
-are used for nothing else.
+return sums of fixed size that a second small layer adds up before the driver sees them.
+
+The class prior is estimated from positives and unlabelled text alone: above any threshold of a
+score, the share of all texts divided by the share of positives is at least the prior, and comes
+near it where hardly any negative is left. The least such ratio is taken, over thresholds that leave
+enough positives, of a score fitted on one half of the positives and read on the other.
 
 Defined cases: a null or empty text has the features of an empty text and is scored; null labels
-are ignored; a document with several label rows counts as positive if any of them says so; without
-any positive, or without any row, every score is the prior (0.5 if unknown).
+are ignored; a document with several label rows counts as positive if any of them says so; labels of
+quality 0 are not used at all; without any positive, or without any row, every score is 0.5.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from radiolake.llm.shared import stage_table, table
+from radiolake.llm.shared import drop_staged, stage_table, table
 
 KINDS = "LMNPSZC"
 N_BINS = 128 + len(KINDS) + 3
@@ -108,14 +111,14 @@ def feature_table(docs: DataFrame) -> DataFrame:
 
 
 def summed(df: DataFrame, per_batch) -> np.ndarray | None:
-    """Sum over all rows of ``per_batch(x, positive)``, an array of fixed size."""
+    """Sum over all rows of ``per_batch(x, mark)``, an array of fixed size."""
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for b in batches:
             if b.num_rows:
                 x = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).astype(np.float64)
-                part = per_batch(x, b.column("positive").to_numpy(zero_copy_only=False))
+                part = per_batch(x, b.column("mark").to_numpy())
                 total = part if total is None else total + part
         if total is not None:
             yield pa.RecordBatch.from_pydict({"s": [total.tolist()]})
@@ -133,53 +136,100 @@ def summed(df: DataFrame, per_batch) -> np.ndarray | None:
     return np.sum([r[0] for r in rows], axis=0) if rows else None
 
 
-def train(docs: DataFrame, labels: DataFrame, steps: int = 10, ridge: float = 0.3) -> Model:
-    """Fit on every row of ``docs(doc_id, text)``; ``labels(doc_id, quality)`` holds what may be learnt from.
+@dataclass
+class Scaler:
+    mean: np.ndarray
+    scale: np.ndarray
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.mean) / self.scale, -8, 8)
+
+
+def fitted(rows: DataFrame, n_u: float, standard: Scaler, prior: float, halves: tuple[int, ...], steps: int, ridge: float) -> np.ndarray:
+    """Weights and bias that minimise the risk over ``rows(x, mark)``, of the positives of some halves, by Newton steps.
 
     The penalty is ``ridge`` times features per positive, as the positives' means are that uncertain.
     """
-    marks = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.max("quality") == 1).alias("positive"))
-    prior = marks.agg(F.avg(F.col("positive").cast("double"))).first()[0]
-    rows = feature_table(docs).join(marks.filter("positive"), "doc_id", "left")
-    rows = stage_table(rows.select("x", F.coalesce("positive", F.lit(False)).alias("positive")), "quality-features")
     d = N_FEATURES
-
-    def moments(x, positive):
-        return np.concatenate([[len(x), positive.sum()], x.sum(0), (x * x).sum(0)])
-
-    s = summed(rows, moments)
-    neutral = Model(np.zeros(d), np.ones(d), np.zeros(d), 0.0 if prior is None else float(np.log((prior + 1e-9) / (1 - prior + 1e-9))), 0.5 if prior is None else prior)
-    if s is None or not s[1] or prior is None:
-        return neutral
-    n_u, n_p = s[0], s[1]
-    mean = s[2 : 2 + d] / n_u
-    scale = np.sqrt(np.maximum(s[2 + d :] / n_u - mean**2, 0))
-    scale = np.where(scale < 1e-6, 1e6, scale)  # a constant feature says nothing
-    prior = min(prior, 0.999)
     w = np.zeros(d + 1)
     w[-1] = np.log(prior / (1 - prior))
-    penalty = np.append(np.full(d, max(1e-3, ridge * d / n_p)), 0)
     for _ in range(steps):
 
-        def parts(x, positive, w=w):
-            x = np.hstack([np.clip((x - mean) / scale, -8, 8), np.ones((len(x), 1))])
-            z = np.clip(x @ w, -30, 30)
-            p, soft = 1 / (1 + np.exp(-z)), np.logaddexp(0, z)
-            xp, pp = x[positive], p[positive]
-            return np.concatenate([[soft.sum(), soft[positive].sum()], x.T @ p, xp.sum(0), xp.T @ pp, (x.T @ (x * (p * (1 - p))[:, None])).ravel()])
+        def parts(x, mark, w=w):
+            x, positive = np.hstack([standard(x), np.ones((len(x), 1))]), np.isin(mark, halves)
+            return risk_parts(x, positive, w)
 
         s = summed(rows, parts)
-        grad_u, sum_p, grad_p = (s[2 + i * (d + 1) : 2 + (i + 1) * (d + 1)] for i in range(3))
-        hessian = s[2 + 3 * (d + 1) :].reshape(d + 1, d + 1) / n_u + np.diag(penalty + 1e-6)
-        if s[0] / n_u - prior * s[1] / n_p < 0:
-            step = np.linalg.solve(hessian, grad_u / n_u - prior * grad_p / n_p)
-            w = w + 0.5 * step * min(1, 1 / max(1e-9, np.abs(step).max()))
-            continue
-        step = np.linalg.solve(hessian, grad_u / n_u - prior * sum_p / n_p + penalty * w)
-        w = w - step * min(1, 4 / max(1e-9, np.abs(step).max()))
-        if np.abs(step).max() < 1e-4:
+        value, step = newton_step(s, n_u, prior, w, ridge)
+        w = w + step
+        if value >= 0 and np.abs(step).max() < 1e-4:
             break
-    return Model(mean, scale, w[:-1], float(w[-1]), prior)
+    return w
+
+
+def risk_parts(x: np.ndarray, positive: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Sums over rows that the risk, its gradient and its curvature are made of."""
+    z = np.clip(x @ w, -30, 30)
+    p, soft = 1 / (1 + np.exp(-z)), np.logaddexp(0, z)
+    xp, pp = x[positive], p[positive]
+    return np.concatenate([[positive.sum(), soft.sum(), soft[positive].sum()], x.T @ p, xp.sum(0), xp.T @ pp, (x.T @ (x * (p * (1 - p))[:, None])).ravel()])
+
+
+def newton_step(s: np.ndarray, n_u: float, prior: float, w: np.ndarray, ridge: float) -> tuple[float, np.ndarray]:
+    """The risk's part for negatives, and the step: down the risk, or up that part's gradient if it is below zero."""
+    n = len(w)
+    n_p = max(1.0, s[0])
+    grad_u, sum_p, grad_p = (s[3 + i * n : 3 + (i + 1) * n] for i in range(3))
+    penalty = np.append(np.full(n - 1, max(1e-3, ridge * (n - 1) / n_p)), 0)
+    hessian = s[3 + 3 * n :].reshape(n, n) / n_u + np.diag(penalty + 1e-6)
+    negative = s[1] / n_u - prior * s[2] / n_p
+    if negative < 0:
+        step = np.linalg.solve(hessian, grad_u / n_u - prior * grad_p / n_p)
+        return negative, 0.5 * step * min(1, 1 / max(1e-9, np.abs(step).max()))
+    step = np.linalg.solve(hessian, grad_u / n_u - prior * sum_p / n_p + penalty * w)
+    return negative, -step * min(1, 4 / max(1e-9, np.abs(step).max()))
+
+
+def least_ratio(of_all: np.ndarray, of_positives: np.ndarray, fewest: int = 20) -> float:
+    """The prior, from histograms of a score over all texts and over positives."""
+    share_u, share_p = (np.cumsum(h[::-1]) / max(1, h.sum()) for h in (of_all, of_positives))
+    least = min(0.9, max(0.3, fewest / max(1, of_positives.sum())))
+    ratios = share_u[share_p >= least] / share_p[share_p >= least]
+    return float(np.clip(ratios.min(), 0.01, 0.99))
+
+
+def estimated_prior(rows: DataFrame, n_u: float, standard: Scaler, ridge: float) -> float:
+    w = fitted(rows, n_u, standard, 0.5, (1,), 4, ridge)
+
+    def histograms(x, mark):
+        z = np.clip((standard(x) @ w[:-1] + w[-1]) * 10 + 300, 0, 599).astype(np.int64)
+        return np.concatenate([np.bincount(z, minlength=600), np.bincount(z[mark == 2], minlength=600)]).astype(np.float64)
+
+    s = summed(rows, histograms)
+    return least_ratio(s[:600], s[600:]) if s[600:].sum() else 0.5
+
+
+def train(docs: DataFrame, labels: DataFrame, steps: int = 10, ridge: float = 0.3) -> Model:
+    """Fit on every row of ``docs(doc_id, text)``; ``labels(doc_id, quality)`` holds what may be learnt from."""
+    half = F.when(F.xxhash64("doc_id") % 2 == 0, 1).otherwise(2)
+    positives = labels.filter("doc_id is not null and quality = 1").select("doc_id").distinct().withColumn("mark", half)
+    # mark: 0 unlabelled, 1 and 2 positives of either half
+    rows = stage_table(feature_table(docs).join(positives, "doc_id", "left").select("x", F.coalesce("mark", F.lit(0)).cast("int").alias("mark")), "quality-features")
+    d = N_FEATURES
+
+    def moments(x, mark):
+        return np.concatenate([[len(x), (mark > 0).sum()], x.sum(0), (x * x).sum(0)])
+
+    s = summed(rows, moments)
+    if s is None or not s[1]:
+        return Model(np.zeros(d), np.ones(d), np.zeros(d), 0.0, 0.5)
+    mean = s[2 : 2 + d] / s[0]
+    scale = np.sqrt(np.maximum(s[2 + d :] / s[0] - mean**2, 0))
+    standard = Scaler(mean, np.where(scale < 1e-6, 1e6, scale))  # a constant feature says nothing
+    prior = estimated_prior(rows, s[0], standard, ridge)
+    w = fitted(rows, s[0], standard, prior, (1, 2), steps, ridge)
+    drop_staged(rows)
+    return Model(mean, standard.scale, w[:-1], float(w[-1]), prior)
 
 
 def fit_on_corpus(docs: DataFrame, labels: DataFrame) -> Model:
