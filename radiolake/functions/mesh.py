@@ -13,12 +13,14 @@ DAY_US = 86_400_000_000
 
 
 def hex_id(number: Column) -> Column:
-    """Eight hex digits, more for numbers beyond 32 bits."""
-    return F.format_string("%08x", number)
+    """Eight hex digits, more for numbers beyond 32 bits; null for null."""
+    return F.when(number.isNotNull(), F.format_string("%08x", number))
 
 
 def int_id(text: Column) -> Column:
-    return F.conv(strip_mark(text), 16, 10).cast("long")
+    """The number of a hex id, with or without its mark; null for anything else, and beyond 15 digits."""
+    bare = strip_mark(F.trim(text))
+    return F.when(bare.rlike("^[0-9A-Fa-f]{1,15}$"), F.conv(bare, 16, 10).cast("long"))
 
 
 def strip_mark(text: Column) -> Column:
@@ -26,13 +28,32 @@ def strip_mark(text: Column) -> Column:
 
 
 def parse_id(text: Column) -> Column:
-    """A hex id as it is; of other digits, the decimal number's id. Eight digits are taken as hex."""
+    """A hex id as it is; of other digits, the decimal number's id. Eight digits are taken as hex.
+
+    Null for null, for a negative number and for one of more than 18 digits.
+    """
     bare = strip_mark(F.trim(text))
-    return F.when(bare.rlike(r"^[+-]?\d+$") & (F.length(bare) != 8), hex_id(F.try_to_number(bare, F.lit("S999999999999999999")).cast("long"))).otherwise(bare)
+    number = F.when(bare.rlike(r"^[+]?\d{1,18}$"), F.try_to_number(F.regexp_replace(bare, "[+]", ""), F.lit("999999999999999999")).cast("long"))
+    return F.when(bare.rlike(r"^[+-]?\d+$") & (F.length(bare) != 8), hex_id(number)).otherwise(bare)
+
+
+def parse_ids(listed: str | None) -> list[str]:
+    """Ids of a comma-separated list, each decimal or hex, without blanks and repeats."""
+    out: list[str] = []
+    for raw in (x.strip().replace("!", "") for x in (listed or "").split(",")):
+        one = f"{int(raw):08x}" if raw.isdecimal() and len(raw) not in (0, 8) else raw.lower()
+        if one and one not in out:
+            out.append(one)
+    return out
 
 
 def valid_id(text: Column) -> Column:
-    return F.length(strip_mark(text)) == 8
+    return F.coalesce(F.length(strip_mark(text)) == 8, F.lit(False))
+
+
+def known_id(text: Column) -> Column:
+    """An id without its mark; null if it is not one of eight characters."""
+    return F.when(valid_id(text), strip_mark(text))
 
 
 def degrees_of(scaled: Column) -> Column:
@@ -77,9 +98,9 @@ def days_of(micros: Column) -> Column:
 
 
 def uptime(seconds: Column) -> Column:
-    """Days, hours and minutes in full, seconds within the minute."""
+    """Days, hours and minutes in full, seconds within the minute; null for null."""
     whole = lambda n: F.floor(seconds / n)
-    return F.format_string("%dd %dh %dm %ds", whole(86400), whole(3600), whole(60), seconds % 60)
+    return F.when(seconds.isNotNull(), F.format_string("%dd %dh %dm %ds", whole(86400), whole(3600), whole(60), seconds % 60))
 
 
 def local_time(epoch_s: Column, zone: str = "UTC", pattern: str = "yyyy-MM-dd HH:mm:ss Z") -> Column:
@@ -90,6 +111,47 @@ def iso_time(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
 
 
+def parse_iso(text: Column) -> Column:
+    """An ISO time, with or without an offset, as a timestamp; null if it is none."""
+    return text.try_cast("timestamp")
+
+
+def with_unit(metric: Column, unit: str, decimals: int = 0) -> Column:
+    """A number with its unit; a metric that is no number as it is."""
+    number = number_or_null(metric)
+    return F.when(number.isNotNull(), F.concat(F.format_string(f"%.{decimals}f", F.round(number, decimals)), F.lit(unit))).otherwise(metric.cast("string"))
+
+
+def all_known(*metrics: Column) -> Column:
+    """Whether none is null."""
+    out = F.lit(True)
+    for m in metrics:
+        out &= m.isNotNull()
+    return out
+
+
+def first_known(*choices: Column) -> Column:
+    """The first that is not null, of fields in order of precedence."""
+    return F.coalesce(*choices)
+
+
+def has_markers(text: Column, *markers: str) -> Column:
+    """Whether a text contains every marker."""
+    out = F.lit(True)
+    for m in markers:
+        out &= F.coalesce(text.contains(m), F.lit(False))
+    return out
+
+
+def utf8_or_null(data: Column) -> Column:
+    """Bytes as text; null if they are not UTF-8."""
+    return F.try_validate_utf8(data)
+
+
+def link(base: str, *parts: Column) -> Column:
+    return F.concat(F.lit(base), *parts)
+
+
 def number_or_null(metric: Column) -> Column:
     return metric.try_cast("double")
 
@@ -113,10 +175,15 @@ def topic_matches(topic: Column, subscription: str) -> Column:
     return topic.rlike("^" + ("/".join(parts[:-1]) + "(/.*)?$" if parts[-1] == "\\#" else "/".join(parts) + "$"))
 
 
+def bridged(topic: Column, subscription: str, old_prefix: str, new_prefix: str) -> Column:
+    """A topic that a bridge lets through, under its new prefix; null for others."""
+    return F.when(topic_matches(topic, subscription) & topic.startswith(old_prefix), F.concat(F.lit(new_prefix), F.substr(topic, F.lit(len(old_prefix) + 1))))
+
+
 def register(spark: SparkSession) -> None:
     """The same as SQL functions."""
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION mesh_hex(id BIGINT) RETURNS STRING RETURN format_string('%08x', id)")
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION mesh_int(id STRING) RETURNS BIGINT RETURN CAST(conv(replace(id, '!', ''), 16, 10) AS BIGINT)")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION mesh_hex(id BIGINT) RETURNS STRING RETURN CASE WHEN id IS NOT NULL THEN format_string('%08x', id) END")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION mesh_int(id STRING) RETURNS BIGINT RETURN CASE WHEN replace(id, '!', '') RLIKE '^[0-9A-Fa-f]{1,15}$' THEN CAST(conv(replace(id, '!', ''), 16, 10) AS BIGINT) END")
     spark.sql(
         "CREATE OR REPLACE TEMPORARY FUNCTION haversine_km(a DOUBLE, b DOUBLE, c DOUBLE, d DOUBLE) RETURNS DOUBLE RETURN "
         f"2 * {EARTH_KM} * asin(sqrt(pow(sin(radians(c - a) / 2), 2) + cos(radians(a)) * cos(radians(c)) * pow(sin(radians(d - b) / 2), 2)))"

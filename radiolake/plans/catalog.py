@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from radiolake.functions import mesh as m
 from radiolake.operators import graph, state
-from radiolake.sources import model
-
-QUERIES = {}
-ORACLE_SQL = {}
+from radiolake.plans.registry import ORACLE_SQL, query
+from radiolake.sources import model, snapshot
 
 NOW_US = f"epoch_us(TIMESTAMP '{model.NOW}')"
 NODES = """nodes AS (SELECT printf('%08x', c_custkey) AS id, c_custkey AS num, c_name AS longname, right(c_name, 4) AS shortname,
@@ -31,18 +27,6 @@ def km_sql(a: str, b: str, c: str, d: str) -> str:
     return f"round(2 * asin(sqrt(pow(sin(radians({c} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians({d} - {b}) / 2), 2))) * {m.EARTH_KM}, 2)"
 
 
-def query(sql: str | None = None):
-    """Register a function under its name, with its SQL."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def states(spark: SparkSession, sf: str) -> DataFrame:
     return state.current(state.fold(model.events(spark, sf)))
 
@@ -82,9 +66,12 @@ def nodes_name_contains(spark, sf):
     return n.filter(F.contains(F.lower("longname"), F.lower(F.trim(F.lit(" R#00000 ")))) & F.contains(F.lower("shortname"), F.lit("1"))).select("id", "longname", "shortname")
 
 
-@query(f"WITH {LIVE} SELECT id, longname, active FROM live WHERE NOT active AND last_us IS NOT NULL")
+@query(f"WITH {LIVE} SELECT id, longname, last_us FROM live WHERE NOT coalesce((epoch_us(TIMESTAMP '{model.LATER}') - last_us) // 1000000 < 7200, false) AND last_us IS NOT NULL")
 def nodes_offline(spark, sf):
-    return nodes_with_state(spark, sf).filter(~F.col("active") & F.col("last_us").isNotNull()).select("id", "longname", "active")
+    """Nodes not heard for two hours, some time after the log's end."""
+    later = F.unix_micros(F.lit(model.LATER).cast("timestamp"))
+    n = nodes_with_state(spark, sf).withColumn("active", state.is_active(F.col("last_us"), later, 7200))
+    return n.filter(~F.col("active") & F.col("last_us").isNotNull()).select("id", "longname", "last_us")
 
 
 @query(f"WITH {NODES} SELECT id, num, longname, role FROM nodes WHERE id = '00000011'")
@@ -152,12 +139,11 @@ def chat_three_way(spark, sf):
     return c.select("channel", "id", F.coalesce("from_short", F.lit("UNK")).alias("from_name"), F.coalesce("to_short", F.lit("ALL")).alias("to_name"), F.col("via_short").alias("via_name"), dx.alias("dx_km"))
 
 
-@query(f"WITH {CHAT} SELECT id, string_agg(channel || '/' || sender, ',' ORDER BY from_num) AS senders, arg_min(text, from_num) AS text FROM chat WHERE from_num < 50 GROUP BY id")
+@query(f"WITH {CHAT} SELECT channel, id, string_agg(DISTINCT sender, ',' ORDER BY sender) AS senders, first(text ORDER BY sender NULLS FIRST, text NULLS FIRST) AS text FROM chat GROUP BY channel, id")
 def chat_dedupe(spark, sf):
-    """Copies of a message as one row: the earliest copy's text, all senders in order."""
-    c = model.chat(spark, sf).filter("from_num < 50")
-    senders = F.transform(F.sort_array(F.collect_list(F.struct("from_num", F.concat_ws("/", "channel", "sender").alias("s")))), lambda x: x["s"])
-    return c.groupBy("id").agg(F.array_join(senders, ",").alias("senders"), F.min_by("text", "from_num").alias("text"))
+    """Copies of a message within a channel as one row: the first copy's text, every sender once."""
+    first = F.min(F.struct(F.col("sender"), F.col("text")))["text"]
+    return model.chat(spark, sf).groupBy("channel", "id").agg(F.array_join(F.sort_array(F.collect_set("sender")), ",").alias("senders"), first.alias("text"))
 
 
 @query(f"""WITH {CHAT} SELECT channel, id, string_agg(sender, ',' ORDER BY sender NULLS FIRST, text NULLS FIRST) AS senders, last(text ORDER BY sender NULLS FIRST, text NULLS FIRST) AS text, count(*) AS copies
@@ -182,31 +168,33 @@ def texts_for_node(spark, sf):
     return model.chat(spark, sf).filter((F.col("from_num") == 4) | (F.col("from_num") + F.col("id") == 4)).select("channel", "id", "sender", "text")
 
 
+def in_channels(chat: DataFrame, *channels: str) -> DataFrame:
+    """Messages of the displayed channels."""
+    return chat.filter(F.col("channel").isin(*channels))
+
+
 @query(f"WITH {CHAT} SELECT channel, id FROM chat WHERE contains(text, 'the') AND contains(text, 'and') AND contains(text, 'er') AND channel IN ('0', '1', '2')")
 def marker_in_channels(spark, sf):
     """Three markers in one text, in displayed channels."""
-    t = F.col("text")
-    return model.chat(spark, sf).filter(t.contains("the") & t.contains("and") & t.contains("er") & F.col("channel").isin("0", "1", "2")).select("channel", "id")
+    return in_channels(model.chat(spark, sf).filter(m.has_markers(F.col("text"), "the", "and", "er")), "0", "1", "2").select("channel", "id")
 
 
 @query(f"WITH {NODES}, {ROUTES}, h AS (SELECT seq, from_num, unnest(hops) AS hop, generate_subscripts(hops, 1) AS i FROM routes) SELECT seq, coalesce(any_value(f.shortname), 'UNK') AS from_name, string_agg(coalesce(n.shortname, 'UNK'), '>' ORDER BY i) AS path, count(*) AS hops FROM h LEFT JOIN (SELECT * FROM nodes WHERE role <> 5) n ON n.num = hop LEFT JOIN nodes f ON f.num = h.from_num GROUP BY seq")
 def traceroute_hops(spark, sf):
     n = model.nodes(spark, sf)
-    hops = model.routes(spark, sf).select("seq", "from_num", F.posexplode_outer("hops").alias("i", "hop"))
-    hops = hops.join(n.filter("role <> 5").select(F.col("num").alias("hop"), "shortname"), "hop", "left")
-    hop = F.struct("i", F.coalesce("shortname", F.lit("UNK")).alias("name"))
-    paths = hops.groupBy("seq", "from_num").agg(F.array_join(F.transform(F.sort_array(F.collect_list(hop)), lambda x: x["name"]), ">").alias("path"), F.count("*").alias("hops"))
-    paths = paths.join(n.select(F.col("num").alias("from_num"), F.col("shortname").alias("from_name")), "from_num", "left")
-    return paths.select("seq", F.coalesce("from_name", F.lit("UNK")).alias("from_name"), "path", "hops")
+    hop = n.filter("role <> 5").select(F.col("num").alias("hop"), F.col("shortname").alias("name"))
+    paths = model.hops(spark, sf).join(hop, "hop", "left").groupBy("seq").agg(model.in_order(F.coalesce("name", F.lit("UNK"))).alias("names"))
+    heads = model.heads(spark, sf).join(n.select(F.col("num").alias("from_num"), F.col("shortname").alias("from_name")), "from_num", "left")
+    return heads.join(paths, "seq").select("seq", F.coalesce("from_name", F.lit("UNK")).alias("from_name"), F.array_join("names", ">").alias("path"), F.size("names").cast("long").alias("hops"))
 
 
 @query(f"WITH {NODES}, {ROUTES}, h AS (SELECT seq, unnest(hops) AS hop, generate_subscripts(hops, 1) AS i FROM routes) SELECT seq, string_agg(coalesce(id, CAST(hop AS VARCHAR)), ',' ORDER BY i) AS route_ids FROM h LEFT JOIN (SELECT * FROM nodes WHERE role <> 5) n ON num = hop GROUP BY seq")
 def traceroute_resolution(spark, sf):
     """Hops as ids of known nodes, the raw value of others."""
     known = model.nodes(spark, sf).filter("role <> 5").select(F.col("num").alias("hop"), "id")
-    hops = model.routes(spark, sf).select("seq", F.posexplode("hops").alias("i", "hop")).join(known, "hop", "left")
-    hop = F.struct("i", F.coalesce("id", F.col("hop").cast("string")).alias("id"))
-    return hops.groupBy("seq").agg(F.array_join(F.transform(F.sort_array(F.collect_list(hop)), lambda x: x["id"]), ",").alias("route_ids"))
+    hops = model.hops(spark, sf).join(known, "hop", "left").withColumn("id", F.coalesce("id", F.col("hop").cast("string")))
+    routed = hops.groupBy("seq").agg(model.in_order(F.col("id")).alias("ids"))
+    return model.heads(spark, sf).join(routed, "seq").select("seq", F.array_join("ids", ",").alias("route_ids"))
 
 
 @query(f"WITH {ROUTES} SELECT seq, len(hops) AS n_hops FROM routes WHERE from_num = 7 OR list_contains(hops, 7)")
@@ -237,10 +225,7 @@ def reciprocal_edges(spark, sf):
 
 @query(f"WITH {EDGES}, u AS (SELECT src AS a, dst AS b, 1 AS heard, 0 AS heard_by FROM edges UNION ALL SELECT dst, src, 0, 1 FROM edges) SELECT a, b, CASE WHEN max(heard) + max(heard_by) = 2 THEN 'both' WHEN max(heard) = 1 THEN 'heard' ELSE 'heard by' END AS class FROM u GROUP BY 1, 2")
 def edge_classes(spark, sf):
-    e = model.edges(spark, sf)
-    both = e.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(1).alias("heard"), F.lit(0).alias("by")).unionByName(e.select(F.col("dst").alias("a"), F.col("src").alias("b"), F.lit(0).alias("heard"), F.lit(1).alias("by")))
-    kind = F.when(F.max("heard") + F.max("by") == 2, "both").when(F.max("heard") == 1, "heard").otherwise("heard by")
-    return both.groupBy("a", "b").agg(kind.alias("class"))
+    return graph.classes(model.edges(spark, sf))
 
 
 PLACED = "p AS (SELECT num, lat_i / 1e7 AS lat, lon_i / 1e7 AS lon FROM nodes WHERE coalesce(lat_i, 0) <> 0 AND coalesce(lon_i, 0) <> 0)"
@@ -279,12 +264,15 @@ def hex_roundtrip(spark, sf):
 
 @query(f"WITH {LIVE}, {CHAT} SELECT (SELECT count(*) FROM live WHERE active) AS active_nodes, (SELECT count(*) FROM chat WHERE channel = '0') AS total_chat, (SELECT count(*) FROM live) AS total_nodes, (SELECT count(*) FROM log) AS total_messages, (SELECT count(*) FROM log) AS total_mqtt_messages, (SELECT count(*) FROM log WHERE kind IN ('view', 'click')) AS total_telemetry, (SELECT count(*) FROM orders) AS total_traceroutes")
 def stats(spark, sf):
-    """Mesh-wide counters as one row; the cross joins are of one-row aggregates."""
-    live = nodes_with_state(spark, sf).agg(F.count_if("active").alias("active_nodes"), F.count("*").alias("total_nodes"))
-    log = model.events(spark, sf).agg(F.count("*").alias("total_messages"), F.count("*").alias("total_mqtt_messages"), F.count_if(F.col("kind").isin(*state.TELEMETRY)).alias("total_telemetry"))
+    """Mesh-wide counters as one row; the log is scanned once, the cross joins are of one-row aggregates."""
+    e = model.events(spark, sf)
+    senders = e.groupBy("from_num").agg(F.max("ts_us").alias("last_us"), F.count("*").alias("packets"), F.count_if(F.col("kind").isin(*state.TELEMETRY)).alias("reports"))
+    both = senders.join(model.nodes(spark, sf).select(F.col("num").alias("from_num"), F.lit(1).alias("node")), "from_num", "full")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    live = both.agg(F.count_if(F.col("node").isNotNull() & state.is_active(F.col("last_us"), model.now_us())).alias("active_nodes"), F.count("node").alias("total_nodes"), total("packets").alias("total_messages"), total("packets").alias("total_mqtt_messages"), total("reports").alias("total_telemetry"))
     chat = model.chat(spark, sf).agg(F.count_if(F.col("channel") == "0").alias("total_chat"))
     trace = model.table(spark, sf, "orders").agg(F.count("*").alias("total_traceroutes"))
-    return live.crossJoin(log).crossJoin(chat).crossJoin(trace)
+    return live.crossJoin(chat).crossJoin(trace).select("active_nodes", "total_chat", "total_nodes", "total_messages", "total_mqtt_messages", "total_telemetry", "total_traceroutes")
 
 
 @query(f"WITH {NODES} SELECT id FROM (SELECT id, CASE WHEN num % 7 = 0 THEN 'UNK' ELSE shortname END AS s, CASE WHEN num % 5 = 0 THEN NULL ELSE longname END AS l FROM nodes) WHERE s IS NULL OR l IS NULL OR s = 'UNK' OR l = 'Unknown'")
@@ -311,22 +299,24 @@ def seed_union(spark, sf):
     return state.seeded(model.nodes(spark, sf).select("id", "longname"), seeds)
 
 
-@query(f"WITH {EDGES}, RECURSIVE_EDGES AS (SELECT src, dst FROM edges WHERE snr > 150) SELECT node, CAST(min(level) AS INTEGER) AS level FROM (WITH RECURSIVE r AS (SELECT CAST(0 AS BIGINT) AS node, 0 AS level UNION SELECT e.dst, r.level + 1 FROM r JOIN RECURSIVE_EDGES e ON e.src = r.node WHERE r.level < 10) SELECT * FROM r) GROUP BY node")
-def graph_reach(spark, sf):
-    """Nodes within ten hops of node 0 over strong edges, with the least number of hops."""
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return graph.reach(model.edges(spark, sf).filter("snr > 150").select("src", "dst").checkpoint(), 0)
+def reach_sql(start: int) -> str:
+    return f"WITH RECURSIVE {EDGES}, r AS (SELECT CAST({start} AS BIGINT) AS node, 0 AS level UNION SELECT e.dst, r.level + 1 FROM r JOIN edges e ON e.src = r.node WHERE r.level < 10) SELECT node, CAST(min(level) AS INTEGER) AS level FROM r GROUP BY node"
 
 
-@query(f"WITH RECURSIVE {EDGES}, r AS (SELECT CAST(0 AS BIGINT) AS node, 0 AS level UNION SELECT e.dst, r.level + 1 FROM r JOIN edges e ON e.src = r.node WHERE r.level < 10) SELECT node, CAST(min(level) AS INTEGER) AS level FROM r GROUP BY node")
-def graph_reach_all(spark, sf):
+@query(reach_sql(0))
+def graph_reach(spark, sf):
     """Nodes within ten hops of node 0 over all edges, with the least number of hops."""
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    snapshot.use_checkpoints(spark)
     return graph.reach(model.edges(spark, sf).select("src", "dst").checkpoint(), 0)
 
 
+@query(reach_sql(7))
+def graph_reach_all(spark, sf):
+    """The same from node 7."""
+    snapshot.use_checkpoints(spark)
+    return graph.reach(model.edges(spark, sf).select("src", "dst").checkpoint(), 7)
+
+
 @query(f"WITH {LOG} SELECT seq, from_id, ts_us, kind FROM log")
 def log_clean(spark, sf):
     return model.events(spark, sf).drop("value", "props", "k", "from_num")
@@ -365,10 +355,11 @@ def expire(spark, sf):
     return s.select("from_num", state.is_active(F.col("last_us"), now).alias("active"), state.is_active(F.col("last_us"), now, 7200, within_day=True).alias("active_within_day"))
 
 
-@query(f"WITH {LIVE} SELECT id, shortname, row_number() OVER (ORDER BY shortname, num) AS rank FROM live WHERE active")
+@query(f"WITH {LIVE}, s AS (SELECT * FROM live WHERE active ORDER BY shortname, num LIMIT 100) SELECT id, shortname, row_number() OVER (ORDER BY shortname, num) AS rank FROM s")
 def nodes_sorted(spark, sf):
-    """Active nodes, a bounded view, ranked by short name."""
-    return nodes_with_state(spark, sf).filter("active").select("id", "shortname", F.row_number().over(Window.orderBy("shortname", "num")).cast("long").alias("rank"))
+    """The first hundred active nodes by short name; only these are numbered in one task."""
+    first = nodes_with_state(spark, sf).filter("active").orderBy("shortname", "num").limit(100)
+    return first.select("id", "shortname", F.row_number().over(Window.orderBy("shortname", "num")).cast("long").alias("rank"))
 
 
 @query(f"WITH {FOLD} SELECT from_num, CAST(last_us // 1000000 // 86400 AS VARCHAR) || 'd ' || CAST(last_us // 1000000 // 3600 AS VARCHAR) || 'h ' || CAST(last_us // 1000000 // 60 AS VARCHAR) || 'm ' || CAST(last_us // 1000000 % 60 AS VARCHAR) || 's' AS uptime, strftime(make_timestamp(last_us // 1000000 * 1000000), '%Y-%m-%d %H:%M:%S') || ' +0000' AS seen FROM state")
@@ -396,12 +387,10 @@ def state_fold(spark, sf):
 @query(ORACLE_SQL["state_fold"])
 def stream_fold(spark, sf):
     """The same state, folded by a stream over the log in micro-batches."""
-    from radiolake.streaming.fold import fold_stream
+    from radiolake.streaming.fold import fold_stream, latest
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    base = f"{shared.rstrip('/')}/radiolake/stream-{spark.sparkContext.applicationId}-{spark.sql('select uuid()').first()[0]}"
+    base = f"{snapshot.shared_dir(spark)}/radiolake/stream-{spark.sparkContext.applicationId}-{spark.sql('select uuid()').first()[0]}"
     model.events(spark, sf).repartitionByRange(3, "seq").write.parquet(f"{base}/log")
     log = spark.readStream.schema(model.events(spark, sf).schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/log")
-    done = fold_stream(log, f"{base}/state", f"{base}/offsets")
-    done.awaitTermination()
-    return state.current(spark.read.parquet(f"{base}/state/{done.lastProgress['batchId']}"))
+    fold_stream(log, f"{base}/state", f"{base}/offsets").awaitTermination()
+    return state.current(latest(spark, f"{base}/state", "from_num"))

@@ -2,23 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from radiolake.functions.mesh import hex_id, little_endian64, topic_matches
+from radiolake.functions.mesh import hex_id, little_endian64, topic_matches, utf8_or_null
 
 ENVELOPE = (
-    "id long, `from` long, `to` long, sender string, channel int, type string, timestamp long, rssi int, snr double, "
-    "hops_away int, payload string"
+    "id long, `from` long, `to` long, sender string, channel int, type string, timestamp long, rssi int, snr double, rx_time long, rx_rssi int, "
+    "rx_snr double, hop_limit int, hop_start int, hops_away int, priority int, want_ack boolean, payload string"
 )
-POSITION = "latitude_i int, longitude_i int, altitude int, precision_bits int, time long, sats_in_view int"
+POSITION = "latitude_i int, longitude_i int, altitude int, precision_bits int, time long, PDOP int, ground_speed int, sats_in_view int, ground_track int, timestamp long"
 NODEINFO = "id string, hardware int, hw_model int, longname string, long_name string, shortname string, short_name string, role int"
 TEXT = "text string"
 TRACEROUTE = "route array<string>"
-NEIGHBORINFO = "node_id long, neighbors array<struct<node_id:long,snr:double>>"
+NEIGHBORINFO = "node_id long, last_sent_by_id long, neighbors_count int, node_broadcast_interval_secs int, neighbors array<struct<node_id:long,snr:double,last_rx_time:long,node_broadcast_interval_secs:int>>"
+#: Application ports of the packet format and the kind that each carries.
+PORTS = {1: "text", 3: "position", 4: "nodeinfo", 5: "routing", 67: "telemetry", 70: "traceroute", 71: "neighborinfo", 73: "mapreport"}
+#: Kinds that are only logged.
+LOGGED_ONLY = ("mapreport", "routing", "unknown")
 PAYLOADS = {"position": POSITION, "nodeinfo": NODEINFO, "text": TEXT, "traceroute": TRACEROUTE, "neighborinfo": NEIGHBORINFO, "telemetry": "map<string,string>"}
 
 
@@ -42,6 +48,32 @@ def payloads(packets: DataFrame, kind: str) -> DataFrame:
     return packets.filter(F.col("type") == kind).withColumn("p", F.from_json("payload", PAYLOADS[kind])).drop("payload")
 
 
+def kind_of_port(port: Column) -> Column:
+    """The kind that a port carries; ``unknown`` for other ports and none."""
+    kinds = F.create_map(*[F.lit(x) for pair in PORTS.items() for x in pair])
+    return F.coalesce(kinds[port], F.lit("unknown"))
+
+
+def typed(packets: DataFrame) -> DataFrame:
+    """Packets with a column for each kind's payload, null for other kinds."""
+    return packets.select("*", *[F.when(F.col("type") == k, F.from_json("payload", f)).alias(k) for k, f in PAYLOADS.items()]).drop("payload")
+
+
+def metrics(device: Column, environment: Column) -> Column:
+    """A telemetry packet's metrics: those of the surroundings if there are any, else the device's."""
+    return F.coalesce(environment, device)
+
+
+def text_payload(data: Column) -> Column:
+    """Bytes of a text as text; null, so that no message is made, if they are not UTF-8."""
+    return utf8_or_null(data)
+
+
+def raw_payload(data: Column) -> Column:
+    """Bytes of an unknown kind as text, ``{}`` if they are not."""
+    return F.coalesce(utf8_or_null(data), F.lit("{}"))
+
+
 def clean_log(packets: DataFrame) -> DataFrame:
     return packets.drop("decoded", "encrypted")
 
@@ -59,5 +91,12 @@ def decrypted(data: Column, key: Column, packet_id: Column, sender: Column) -> C
         counter = F.concat(nonce, F.unhex(F.lpad(F.hex(i), 8, "0")))
         return F.hex(F.substring(F.aes_encrypt(counter, key, F.lit("ECB"), F.lit("PKCS")), 1, 16))
 
+    # data of whole blocks has one block of key stream more than it needs
     blocks = F.sequence(F.lit(0).cast("long"), F.ceil(F.length(data) / 16).cast("long"))
     return xor(data, F.unhex(F.array_join(F.transform(blocks, block), "")))
+
+
+def decrypted_by_any(data: Column, keys: list[str], packet_id: Column, sender: Column, parses: Callable[[Column], Column]) -> Column:
+    """The plaintext of the first of several base64 keys whose plaintext parses; null if none does."""
+    plain = [decrypted(data, F.unbase64(F.lit(k)), packet_id, sender) for k in keys]
+    return F.coalesce(*[F.when(parses(p), p) for p in plain])

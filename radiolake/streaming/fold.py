@@ -1,32 +1,52 @@
-"""Streaming fold of the packet log: every micro-batch is folded like a table and merged into state.
+"""Streaming folds of the packet log.
 
-The state is a Parquet table per batch id, written whole before a pointer (the highest complete id)
-moves, so a batch that runs again writes the same table again.
+The fold is a streaming aggregation, so Spark keeps the state by key and a micro-batch reads and
+writes only the keys that it touches. The keys that changed are written as the table of their batch;
+a batch that runs again writes the same table again. The current state is the newest row of each key.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from radiolake.operators.state import fold, merge
+from radiolake.operators.nodes import fold_nodes
+from radiolake.operators.state import fold
 
 
-def read_log(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1000) -> DataFrame:
+def read_log(spark: SparkSession, path: str, schema, files_per_batch: int = 1000) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def fold_stream(log: DataFrame, state_dir: str, checkpoint_dir: str) -> StreamingQuery:
-    """Fold a stream of log rows; the state after batch n is the table ``state_dir/n``."""
+def changes(folded: DataFrame, state_dir: str, checkpoint_dir: str) -> StreamingQuery:
+    """Write the keys that each batch of a streaming aggregation changed to ``state_dir/batch=n``."""
 
     def step(batch: DataFrame, n: int) -> None:
-        new = fold(batch)
-        if n:
-            new = merge(batch.sparkSession.read.parquet(f"{state_dir}/{n - 1}"), new)
-        new.write.mode("overwrite").parquet(f"{state_dir}/{n}")
+        batch.write.mode("overwrite").parquet(f"{state_dir}/batch={n}")
+
+    return folded.writeStream.outputMode("update").foreachBatch(step).option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start()
+
+
+def latest(spark: SparkSession, state_dir: str, key: str) -> DataFrame:
+    """The newest row of each key."""
+    newest = Window.partitionBy(key).orderBy(F.desc("batch"))
+    rows = spark.read.option("basePath", state_dir).parquet(f"{state_dir}/batch=*")
+    return rows.withColumn("__rank", F.row_number().over(newest)).filter("__rank = 1").drop("__rank", "batch")
+
+
+def fold_stream(log: DataFrame, state_dir: str, checkpoint_dir: str) -> StreamingQuery:
+    """Fold a stream of log rows per sender."""
+    return changes(fold(log), state_dir, checkpoint_dir)
+
+
+def node_stream(packets: DataFrame, state_dir: str, checkpoint_dir: str) -> StreamingQuery:
+    """Fold a stream of typed packets per node."""
+    return changes(fold_nodes(packets), state_dir, checkpoint_dir)
+
 
-    return log.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start()
+def latest_nodes(spark: SparkSession, state_dir: str) -> DataFrame:
+    return latest(spark, state_dir, "id")
 
 
 def windowed_counts(log: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from radiolake.functions import mesh as m
 from radiolake.operators import graph, state
-from radiolake.plans import catalog
+from radiolake.plans import registry as catalog
 from radiolake.sources import decode, model
 
 SF = "/root/testdata/sf0.001"
@@ -30,6 +30,17 @@ def test_parse_id(spark, raw, found):
     assert one(spark, m.parse_id(F.lit(raw))) == found
 
 
+def test_ids_of_nothing(spark):
+    text = lambda x: F.lit(x).cast("string")
+    assert one(spark, m.hex_id(F.lit(None).cast("long"))) is None and one(spark, m.uptime(F.lit(None).cast("long"))) is None
+    assert [one(spark, m.int_id(text(x))) for x in (None, "", "zz", "12g", "1" * 23, "!0000000F")] == [None, None, None, None, None, 15]
+    assert [one(spark, m.parse_id(text(x))) for x in (None, "12345678901234567890123", "-5", " 255 ")] == [None, None, None, "000000ff"]
+    assert [one(spark, m.valid_id(text(x))) for x in (None, "    null", "!0102030a", "102030a")] == [False, True, True, False]
+    assert m.parse_ids(" 3,!0000000c,,0000000C, 12345678") == ["00000003", "0000000c", "12345678"] and m.parse_ids(None) == []
+    m.register(spark)
+    assert spark.sql("select mesh_hex(null), mesh_int('zz'), mesh_int(null)").first()[:] == (None, None, None)
+
+
 def test_distance(spark):
     d = one(spark, m.haversine_km(*map(F.lit, (38.58, -121.49, 37.77, -122.42))))
     assert 115 < d < 125
@@ -80,15 +91,17 @@ def test_overlay_seed_enrich(spark):
 def test_reach_and_tree(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(12)] + [(2, 0)], "src long, dst long")
     assert dict(graph.reach(chain, 0).collect()) == {i: i for i in range(11)}
-    t = graph.tree({1: [2, 3], 2: [3, 1], 3: [2]}, 1)
-    assert [x["id"] for x in t["heard"]] == [2, 3] and t["heard"][0]["heard"][0]["heard"][0]["id"] == 2
+    edges = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "c"), ("b", "a"), ("c", "b"), ("c", "d"), ("d", "e"), ("x", "y")], "src string, dst string")
+    rows = sorted(map(tuple, graph.tree(edges, "a", 3).collect()))
+    assert rows == [("a", "a", 0, True), ("a>b", "b", 1, True), ("a>b>c", "c", 2, False), ("a>c", "c", 1, True), ("a>c>b", "b", 2, False), ("a>c>d", "d", 2, True), ("a>c>d>e", "e", 3, True)]
+    assert sorted(map(tuple, graph.tree(edges, "y").collect())) == [("y", "y", 0, True)]
 
 
 def test_decoding(spark):
     body = '{"from":16909060,"to":4294967295,"channel":0,"type":"position","timestamp":1,"payload":{"latitude_i":5,"longitude_i":-6}}'
     msgs = spark.createDataFrame([(1, "msh/X/2/json/a", body), (2, "msh/X/2/json/a", "junk"), (3, "other/x", body)], "seq long, topic string, body string")
     rows = decode.envelopes(decode.subscribed(msgs, ["msh/#"])).collect()
-    assert [(r["type"], r["from"]) for r in rows] == [("position", "01020304"), ("unknown", None)] or [r["type"] for r in rows] == ["position", "unknown"]
+    assert [(r["type"], r["from"], r["to"]) for r in rows] == [("position", "01020304", "ffffffff"), ("unknown", None, None)]
     p = decode.payloads(decode.envelopes(msgs.limit(1)), "position").first()
     assert p["p"]["latitude_i"] == 5
 
@@ -129,7 +142,7 @@ def test_reach_over_all_edges(spark):
     near = {}
     for src, dst in model.edges(spark, SF).select("src", "dst").collect():
         near.setdefault(src, set()).add(dst)
-    level, front = {0: 0}, {0}
+    level, front = {7: 0}, {7}
     for depth in range(1, 11):
         front = {d for s in front for d in near.get(s, ())} - set(level)
         level |= dict.fromkeys(front, depth)
