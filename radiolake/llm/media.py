@@ -1,25 +1,25 @@
 """Cropped and edited copies in a column of images, by local descriptors.
 
-Corners (Harris) are found at two scales, each gets an orientation from the centroid of its
-neighbourhood and 128 binary tests turned by it. Descriptors meet in six Hamming tables, one for each
-pair of the four quarters of their bits; two that meet and differ in at most ``MAX_BITS`` bits are a match, and a
-match of corners implies a shift, turn and scale between the images. Images are linked when at
-least ``MIN_VOTES`` different corners agree on these. Links join images into classes.
-
-Images with equal bytes are one image to all of this, so a large group of exact copies costs as
-much as one. Matches are made in tables keyed by bits, never between all images of a class. A
-bucket with more than ``HOT`` images (a patch seen everywhere) is not paired out. Its rows are
-keyed anew by the whole descriptor, then, where that is still too large, by the descriptor and its
-place; and at each of these levels every row is compared with the bucket's hub, the corner of the
-image that comes first in one fixed pseudo-random order of all images. Buckets with much the same
-images thus have the same hub, so its matches add up. No row of a large bucket is left out, and the
-work stays linear in its rows; but two images in large buckets are linked to each other only by way
-of hubs or finer keys: ``n_links`` counts the links made, and two images are missed if fewer than
-``MIN_VOTES`` of their shared corners meet in these ways.
-
-Images are binary PGM (8 bits); ``render`` draws one from a vector. Defined cases: a null or
-unreadable image, or one too small for a corner, has no corners and is a class of its own (equal
-ones share a class); repeated ids are kept row by row and share class and links; input columns
+Corners (Harris) of the locally normalised image are found at two scales, each gets an orientation
+from the centroid of its neighbourhood and 128 binary tests turned by it. Two images are *linked* if at
+least ``MIN_VOTES`` different corners of either, and ``MIN_SHARE`` of those of the image that has
+fewer, each alike one of the other (at most ``MAX_BITS`` differing bits), agree on one shift, turn and scale. Links join images into classes.
+
+Images that share a key in one of ``TABLES`` Hamming tables (``KEY_BITS`` of a corner's bits each) are
+candidates, and a candidate is decided on all corners of both images. A bucket of at most ``SMALL``
+images is paired out. In a larger one every image is first compared with the bucket's hub, the image
+that comes first in one fixed order, so a group of copies falls together at a cost that is linear in
+it. What is then left in a larger bucket, images of different classes, is dealt into parts of
+about ``PART`` images, and each two parts are compared in a cell of their own, which emits the links
+it finds and never the pairs. Parts of one class are not compared with each other. So every two
+images that share a key are decided on, or in one class already; only the key tables can miss a copy,
+and their recall is measured against all pairs. ``KEY_BITS`` should grow with the logarithm of the
+number of images: buckets of unrelated images get more with their square.
+
+Images with equal bytes are one image to all of this. Images are binary PGM (8 bits); ``render``
+draws one from a vector. Defined cases: a null or unreadable image, or one too small for a corner,
+has no corners and is a class of its own (equal ones share a class); repeated ids are kept row by
+row; a row without id never names a class unless no row of it has one (then it is null); input columns
 other than id and image are ignored.
 """
 
@@ -27,25 +27,33 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
-from itertools import combinations
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from radiolake.llm.shared import stage_table, table
+from radiolake.llm.shared import broadcast_if_small, drop_staged, stage_table, table
 from radiolake.llm.simhash import components
 
 SIDE = 96
-RADIUS = 10
+RADIUS = 11
 SCALES = (1, 2)
-CORNERS = (28, 12)
-TURNS = 32
-MAX_BITS = 14
+#: Corners of each scale in an area of SIDE x SIDE; larger images have more.
+DENSITY = (32, 16)
+TURNS = 128
+TESTS = 128
+MAX_BITS = 28
 MIN_VOTES = 4
-HOT = 64
+MIN_SHARE = 0.1
+TABLES = 8
+KEY_BITS = 48
+SMALL = 4
+PART = 256
+SLICES = 3
+BATCH = 32
+CORNER = np.dtype([("x", "<i4"), ("y", "<i4"), ("scale", "u1"), ("turn", "u1"), ("low", "<u8"), ("high", "<u8")])
 
 
 def write_pgm(image: np.ndarray) -> bytes:
@@ -65,9 +73,9 @@ def read_pgm(data: bytes | None) -> np.ndarray | None:
 
 
 def render(vector: np.ndarray) -> np.ndarray:
-    """A texture whose wave amplitudes are the vector's numbers."""
-    amplitude = np.zeros(64)
-    amplitude[: min(64, len(vector))] = np.nan_to_num(np.asarray(vector[:64], np.float64))
+    """A texture whose wave amplitudes are the vector's numbers, those beyond 64 added from the start again."""
+    vector = np.nan_to_num(np.asarray(vector, np.float64))
+    amplitude = np.bincount(np.arange(len(vector)) % 64, vector, 64)
     waves = np.cos(np.pi * np.outer(np.arange(SIDE) + 0.5, np.arange(11, 27, 2)) / SIDE + np.arange(8) ** 2)
     image = waves @ amplitude.reshape(8, 8) @ waves.T
     spread = image.max() - image.min()
@@ -80,143 +88,289 @@ def edited(image: np.ndarray, seed: int) -> np.ndarray:
     return np.rint(image[top : top + 80, left : left + 82] * 0.8 + 20).astype(np.uint8)
 
 
-def box(a: np.ndarray, r: int) -> np.ndarray:
-    """Sums over squares of 2r + 1, of the part where they fit; zero elsewhere."""
-    out, n = np.zeros_like(a), 2 * r + 1
-    s = np.zeros((a.shape[0] + 1, a.shape[1] + 1))
-    s[1:, 1:] = a.cumsum(0).cumsum(1)
-    out[r : a.shape[0] - r, r : a.shape[1] - r] = s[n:, n:] - s[:-n, n:] - s[n:, :-n] + s[:-n, :-n]
-    return out
+def means(a: np.ndarray, r: int) -> np.ndarray:
+    """Means over squares of 2r + 1 of images (n, h, w), edges repeated."""
+    n = 2 * r + 1
+    p = np.pad(a, ((0, 0), (r, r), (r, r)), mode="edge")
+    s = np.zeros((len(a), p.shape[1] + 1, p.shape[2] + 1))
+    s[:, 1:, 1:] = p.cumsum(1).cumsum(2)
+    return (s[:, n:, n:] - s[:, :-n, n:] - s[:, n:, :-n] + s[:, :-n, :-n]) / (n * n)
 
 
-def test_pattern() -> np.ndarray:
-    """(turns, 128, 2, 2): the tests' two points, for each orientation."""
-    rng = np.random.default_rng(7)
-    points = np.clip(rng.normal(0, RADIUS / 2, (128, 2, 2)), -0.7 * RADIUS, 0.7 * RADIUS)
+def disc(r: int) -> np.ndarray:
+    return np.array([(x, y) for x in range(-r, r + 1) for y in range(-r, r + 1) if x * x + y * y <= r * r])
+
+
+DISC = disc(RADIUS)
+
+
+def turned(points: np.ndarray) -> np.ndarray:
+    """(turns, n, 2, 2): the points of tests, for each orientation."""
     angles = 2 * np.pi * np.arange(TURNS) / TURNS
     turn = np.stack([np.stack([np.cos(angles), -np.sin(angles)], 1), np.stack([np.sin(angles), np.cos(angles)], 1)], 1)
     return np.rint(np.einsum("tij,npj->tnpi", turn, points)).astype(np.int64)
 
 
-PATTERN = test_pattern()
-DISC = np.array([(x, y) for x in range(-RADIUS, RADIUS + 1) for y in range(-RADIUS, RADIUS + 1) if x * x + y * y <= RADIUS * RADIUS])
-
+@cache
+def tests() -> np.ndarray:
+    """The binary tests' points: of a pool, those least correlated on drawn textures.
 
-def describe(image: np.ndarray | None) -> list[tuple[float, float, int, int, int, int]]:
-    """Corners of an image: (x, y, scale, turn, low bits, high bits), strongest first at each scale."""
-    out = []
-    for scale, most in zip(SCALES, CORNERS, strict=True):
-        if image is None or min(image.shape) // scale < 2 * RADIUS + 5:
-            continue
-        h, w = (n // scale * scale for n in image.shape)
-        a = image[:h, :w].reshape(h // scale, scale, w // scale, scale).mean((1, 3))
-        dx, dy = np.zeros_like(a), np.zeros_like(a)
-        dx[:, 1:-1], dy[1:-1] = a[:, 2:] - a[:, :-2], a[2:] - a[:-2]
-        xx, yy, xy = box(dx * dx, 2), box(dy * dy, 2), box(dx * dy, 2)
-        strength = xx * yy - xy * xy - 0.05 * (xx + yy) ** 2
-        edge = RADIUS + 1
-        inner = strength[edge:-edge, edge:-edge]
-        around = np.max([strength[edge + i : strength.shape[0] - edge + i, edge + j : strength.shape[1] - edge + j] for i in (-1, 0, 1) for j in (-1, 0, 1)], axis=0)
-        ys, xs = np.nonzero((inner >= around) & (inner > 0))
-        best = np.lexsort((xs, ys, -inner[ys, xs]))[:most]
-        ys, xs = ys[best] + edge, xs[best] + edge
-        if not len(xs):
-            continue
-        disc = a[ys[:, None] + DISC[:, 1], xs[:, None] + DISC[:, 0]]
-        turn = np.rint(np.arctan2(disc @ DISC[:, 1], disc @ DISC[:, 0]) / (2 * np.pi) * TURNS).astype(np.int64) % TURNS
-        smooth, p = box(a, 1), PATTERN[turn]
-        rows, cols = np.clip(ys[:, None, None] + p[..., 1], 0, a.shape[0] - 1), np.clip(xs[:, None, None] + p[..., 0], 0, a.shape[1] - 1)
-        values = smooth[rows, cols]
-        bits = np.packbits(values[..., 0] < values[..., 1], axis=1).view("<i8")
-        out += [(float(x * scale), float(y * scale), scale, int(t), int(b[0]), int(b[1])) for x, y, t, b in zip(xs, ys, turn, bits, strict=True)]
-    return out
-
-
-CORNER = "array<struct<x:double,y:double,scale:int,turn:int,low:bigint,high:bigint>>"
-CORNER_TYPE = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64()), ("scale", pa.int32()), ("turn", pa.int32()), ("low", pa.int64()), ("high", pa.int64())]))
+    Fixed by their seed; correlated tests would make unrelated corners alike.
+    """
+    rng = np.random.default_rng(7)
+    angle, far = rng.uniform(0, 2 * np.pi, (1200, 2)), 0.9 * RADIUS * np.sqrt(rng.uniform(0, 1, (1200, 2)))
+    points = np.stack([far * np.cos(angle), far * np.sin(angle)], -1)
+    pool = turned(points[np.hypot(*(points[:, 0] - points[:, 1]).T) > 0.4 * RADIUS])
+    textures = np.stack([means(rng.normal(size=(3, SIDE, SIDE)), r) for r in (1, 2, 3) for _ in range(3)]).reshape(-1, SIDE, SIDE)
+    textures = 255 * (textures - textures.min((1, 2), keepdims=True)) / np.ptp(textures, (1, 2), keepdims=True)
+    _, _, bits = found(textures, SIDE * SIDE, DENSITY[0], pool)
+    share = bits.mean(0)
+    z = (bits - share) / np.sqrt(share * (1 - share) + 1e-9)
+    alike, order = np.abs(z.T @ z) / len(z), np.argsort(np.abs(share - 0.5), kind="stable")
+    for most in np.arange(0.2, 1.01, 0.05):
+        chosen: list[int] = []
+        for i in order:
+            if len(chosen) < TESTS and (not chosen or alike[i, chosen].max() < most):
+                chosen.append(i)
+        if len(chosen) == TESTS:
+            break
+    return pool[:, chosen]
+
+
+def found(a: np.ndarray, area: int, density: int, pattern: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of images (n, h, w): (image, y, x) of each corner, its turn and its tests' bits."""
+    a = means(a, 1)
+    mean = means(a, 8)
+    a = (a - mean) / (np.sqrt(np.maximum(means(a * a, 8) - mean * mean, 0)) + 4)
+    dx, dy = np.zeros_like(a), np.zeros_like(a)
+    dx[:, :, 1:-1], dy[:, 1:-1] = a[:, :, 2:] - a[:, :, :-2], a[:, 2:] - a[:, :-2]
+    xx, yy, xy = means(dx * dx, 2), means(dy * dy, 2), means(dx * dy, 2)
+    strength = xx * yy - xy * xy - 0.05 * (xx + yy) ** 2
+    edge, (h, w) = RADIUS + 1, a.shape[1:]
+    inner = strength[:, edge:-edge, edge:-edge]
+    around = reduce(np.maximum, [strength[:, edge + i : h - edge + i, edge + j : w - edge + j] for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    at, ys, xs = np.nonzero((inner >= around) & (inner > 0))
+    order = np.lexsort((xs, ys, -inner[at, ys, xs], at))
+    at, ys, xs = at[order], ys[order] + edge, xs[order] + edge
+    rank = np.arange(len(at)) - np.searchsorted(at, at)
+    strong = rank < max(density, round(density * area / SIDE**2))
+    at, ys, xs = at[strong], ys[strong], xs[strong]
+    spot = a[at[:, None], ys[:, None] + DISC[:, 1], xs[:, None] + DISC[:, 0]]
+    turn = np.rint(np.arctan2(spot @ DISC[:, 1], spot @ DISC[:, 0]) / (2 * np.pi) * TURNS).astype(np.int64) % TURNS
+    smooth, p = means(a, 2), pattern[turn]
+    rows, cols = np.clip(ys[:, None, None] + p[..., 1], 0, h - 1), np.clip(xs[:, None, None] + p[..., 0], 0, w - 1)
+    values = smooth[at[:, None, None], rows, cols]
+    return np.stack([at, ys, xs], 1), turn, values[..., 0] < values[..., 1]
+
+
+def describe(images: list[np.ndarray | None]) -> list[np.ndarray]:
+    """Corners of each image, as arrays of ``CORNER``; images of one shape are worked on together."""
+    parts: list[list[np.ndarray]] = [[] for _ in images]
+    shapes: dict[tuple, list[int]] = {}
+    for i, image in enumerate(images):
+        if image is not None:
+            shapes.setdefault(image.shape, []).append(i)
+    for (height, width), members in shapes.items():
+        # large images go one by one, so that memory follows the largest of them
+        step = max(1, min(BATCH, BATCH * SIDE * SIDE // max(1, height * width)))
+        for lo in range(0, len(members), step):
+            some = members[lo : lo + step]
+            for scale, density in zip(SCALES, DENSITY, strict=True):
+                h, w = height // scale, width // scale
+                if min(h, w) < 2 * RADIUS + 5:
+                    continue
+                a = np.stack([images[i][: h * scale, : w * scale] for i in some]).astype(np.float64).reshape(len(some), h, scale, w, scale).mean((2, 4))
+                at, turn, bits = found(a, height * width, density, tests())
+                out = np.zeros(len(at), CORNER)
+                packed = np.packbits(bits, axis=1).view("<u8").reshape(-1, 2)
+                out["x"], out["y"], out["scale"], out["turn"], out["low"], out["high"] = at[:, 2] * scale, at[:, 1] * scale, scale, turn, packed[:, 0], packed[:, 1]
+                ends = np.searchsorted(at[:, 0], np.arange(len(some) + 1))
+                for k, i in enumerate(some):
+                    parts[i].append(out[ends[k] : ends[k + 1]])
+    return [np.concatenate(p) if p else np.zeros(0, CORNER) for p in parts]
+
+
+@cache
+def key_bits() -> np.ndarray:
+    """(tables, bits): the tests whose bits make each table's key."""
+    return np.stack([np.random.default_rng(i).permutation(TESTS)[:KEY_BITS] for i in range(TABLES)])
+
+
+def keys(corners: np.ndarray, table_: int) -> np.ndarray:
+    """Distinct keys of an image's corners in a table."""
+    bits = np.unpackbits(np.stack([corners["low"], corners["high"]], 1).view(np.uint8).reshape(-1, TESTS // 8), axis=1)
+    return np.unique(bits[:, key_bits()[table_]] @ (np.int64(1) << np.arange(KEY_BITS, dtype=np.int64)))
+
+
+def votes(a: np.ndarray, b: np.ndarray) -> int:
+    """How many different corners of each of two images agree on one placement of a in b.
+
+    A match of corners says where the middle of a's corners lies in b; it votes there, and for
+    its turn and scale, on two overlapping grids an axis.
+    """
+    if min(len(a), len(b)) < MIN_VOTES:
+        return 0
+    met = [np.nonzero(np.bitwise_count(a["low"][lo : lo + 1024, None] ^ b["low"]) + np.bitwise_count(a["high"][lo : lo + 1024, None] ^ b["high"]) <= MAX_BITS) for lo in range(0, len(a), 1024)]
+    i, j = np.concatenate([m[0] + 1024 * k for k, m in enumerate(met)]), np.concatenate([m[1] for m in met])
+    if len(i) < MIN_VOTES:
+        return 0
+    p, q = a[i], b[j]
+    turn = (q["turn"].astype(np.int64) - p["turn"]) % TURNS
+    angle, scale = turn * (2 * np.pi / TURNS), q["scale"] / p["scale"]
+    px, py = p["x"] - a["x"].mean(), p["y"] - a["y"].mean()
+    x = q["x"] - scale * (np.cos(angle) * px - np.sin(angle) * py)
+    y = q["y"] - scale * (np.sin(angle) * px + np.cos(angle) * py)
+    best = 0
+    for dx in (0, 6):
+        for dy in (0, 6):
+            for dt in (0, TURNS // 16):
+                place = np.stack([np.floor((x + dx) / 12), np.floor((y + dy) / 12), (turn + dt) % TURNS // (TURNS // 8), 2 * scale], 1).astype(np.int64)
+                _, place = np.unique(place, axis=0, return_inverse=True)
+                if np.bincount(place.ravel()).max() > best:
+                    of = [np.bincount(np.unique(np.stack([place.ravel(), side], 1), axis=0)[:, 0]) for side in (i, j)]
+                    best = max(best, int(np.minimum(*of).max()))
+    return best
+
+
+def linked(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether enough corners agree: chance agreement grows with the corners of the smaller image."""
+    return votes(a, b) >= max(MIN_VOTES, MIN_SHARE * min(len(a), len(b)))
 
 
 def corners(images: DataFrame) -> DataFrame:
-    """(id, sha, corners) a row of ``images(id, image)``."""
-    names = ("x", "y", "scale", "turn", "low", "high")
+    """(id, node, n_corners, corners) a row of ``images(id, image)``; node: 64 bits of the image's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                part = b.slice(lo, 500)
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
                 data = part.column("image").to_pylist()
-                found = [[dict(zip(names, c, strict=True)) for c in describe(read_pgm(x))] for x in data]
-                sha = pa.array([hashlib.sha256(x or b"").hexdigest() for x in data], pa.string())
-                yield pa.RecordBatch.from_arrays([part.column("id"), sha, pa.array(found, CORNER_TYPE)], names=["id", "sha", "corners"])
-
-    return images.select(F.col("id").cast("long").alias("id"), "image").mapInArrow(run, f"id bigint, sha string, corners {CORNER}")
-
-
-def matches(points: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of corners of different images that met in a table and are alike."""
-    low, high = F.col("low"), F.col("high")
-    quarters = [low.bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(low, 32), high.bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(high, 32)]
-    keys = F.array(*[F.xxhash64(F.lit(i), p, q) for i, (p, q) in enumerate(combinations(quarters, 2))])
-    names = points.columns
-    pairs = []
-
-    def paired(a: Column, b: Column) -> list[Column]:
-        return [side[c].alias(f"{s}_{c}") for s, side in (("a", a), ("b", b)) for c in names]
-
-    def met(rows: DataFrame, name: str) -> DataFrame:
-        """Pair out the usual buckets, and the others with their hubs; rows of the others."""
-        sizes = stage_table(rows.groupBy("key").agg(F.approx_count_distinct("id").alias("images"), F.count("*").alias("n")).filter("n > 1").select("key", (F.col("images") > HOT).alias("hot")), f"{name}-buckets")
-        rows = stage_table(rows.join(sizes, "key"), name)
-        corner = F.struct(*names)
-        usual, hot = rows.filter(~F.col("hot")).select("key", corner.alias("c")), rows.filter("hot").drop("hot")
-        pairs.append(usual.alias("a").join(usual.alias("b"), "key").filter("a.c.id < b.c.id").select(*paired(F.col("a.c"), F.col("b.c"))))
-        hubs = stage_table(hot.groupBy("key").agg(F.min(F.struct(F.xxhash64("id").alias("order"), corner.alias("c"))).alias("hub")).select("key", F.col("hub.c").alias("hub")), f"{name}-hubs")
-        spokes = hot.select("key", corner.alias("c")).join(hubs, "key").filter("c.id <> hub.id")
-        pairs.append(spokes.select(F.least("c", "hub").alias("a"), F.greatest("c", "hub").alias("b")).select(*paired(F.col("a"), F.col("b"))))
-        return hot
-
-    hot = met(points.withColumn("key", F.explode(keys)), "media-rows-of-tables")
-    hot = met(hot.withColumn("key", F.xxhash64("low", "high")).dropDuplicates(["id", "corner"]), "media-rows-alike")
-    met(hot.withColumn("key", F.xxhash64("low", "high", F.floor(F.col("x") / 4), F.floor(F.col("y") / 4))), "media-rows-placed-alike")
-    bits = F.bit_count(F.col("a_low").bitwiseXOR(F.col("b_low"))) + F.bit_count(F.col("a_high").bitwiseXOR(F.col("b_high")))
-    return reduce(DataFrame.unionByName, pairs).filter(bits <= MAX_BITS)
-
-
-def consensus(pairs: DataFrame) -> DataFrame:
-    """(a, b, votes) of images that enough corners place alike.
-
-    The turn and scale of a match say where image a's origin lies in image b; each match votes for
-    that place on two overlapping grids an axis.
+                made = describe([read_pgm(x) for x in data])
+                node = pa.array([int.from_bytes(hashlib.sha256(b"0" if x is None else b"1" + x).digest()[:8], "big", signed=True) for x in data], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("id"), node, pa.array([len(m) for m in made], pa.int32()), pa.array([m.tobytes() for m in made], pa.binary())], names=["id", "node", "n_corners", "corners"])
+
+    return images.select(F.col("id").cast("long").alias("id"), "image").mapInArrow(run, "id long, node long, n_corners int, corners binary")
+
+
+def keyed(images: DataFrame, table_: int) -> DataFrame:
+    """(key, node, label) of each of the corners' keys in a table of ``images(node, label, corners)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [keys(np.frombuffer(x, CORNER), table_) * TABLES + table_ for x in b.column("corners").to_pylist()]
+            sizes = [len(k) for k in own]
+            node, label = (np.repeat(b.column(c).to_numpy(), sizes) for c in ("node", "label"))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*own, np.zeros(0, np.int64)])), pa.array(node), pa.array(label)], names=["key", "node", "label"])
+
+    return images.filter("n_corners > 0").select("node", "label", "corners").mapInArrow(run, "key long, node long, label long")
+
+
+def decided(pairs: DataFrame, images: DataFrame) -> DataFrame:
+    """Those of ``pairs(a, b)`` that are linked."""
+    of = images.select("node", "corners")
+    both = pairs.join(of.select(F.col("node").alias("a"), F.col("corners").alias("ca")), "a").join(of.select(F.col("node").alias("b"), F.col("corners").alias("cb")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            alike = [linked(np.frombuffer(x, CORNER), np.frombuffer(y, CORNER)) for x, y in zip(b.column("ca").to_pylist(), b.column("cb").to_pylist(), strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
+
+    return both.select("a", "b", "ca", "cb").mapInArrow(run, "a long, b long")
+
+
+def first_links(images: DataFrame) -> DataFrame:
+    """Links between the images of paired out buckets, and between a larger one's images and its hub."""
+    images, met = images.withColumn("label", F.col("node")), []
+    for t in range(TABLES):
+        rows = keyed(images, t).select("key", "node")
+        sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node").alias("order"), "node")).alias("hub"))
+        shared = stage_table(rows.join(sizes.filter("n > 1").select("key", "n", F.col("hub.node").alias("hub")), "key"), f"media-shared-{t}")
+        few = shared.filter(F.col("n") <= SMALL).select("key", "node")
+        pairs = few.alias("a").join(few.alias("b"), "key").filter("a.node > b.node").select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+        spokes = shared.filter((F.col("n") > SMALL) & (F.col("node") != F.col("hub"))).select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b"))
+        met.append(stage_table(pairs.unionByName(spokes).distinct(), f"media-pairs-{t}"))
+        drop_staged(shared)
+    pairs = stage_table(reduce(DataFrame.unionByName, met).distinct(), "media-pairs")
+    drop_staged(*met)
+    # in slices, as both images' corners travel with a pair
+    links = [stage_table(decided(pairs.filter(F.pmod(F.xxhash64("a", "b"), F.lit(SLICES)) == i), images), f"media-links-{i}") for i in range(SLICES)]
+    drop_staged(pairs)
+    return reduce(DataFrame.unionByName, links)
+
+
+def mixed_rows(images: DataFrame) -> DataFrame:
+    """(key, node, label) of the larger buckets that hold more than one class. Staged.
+
+    Buckets are first only counted, so a large group of copies, which is one class, costs no more rows.
     """
-    turn = F.pmod(F.col("b_turn") - F.col("a_turn"), F.lit(TURNS))
-    angle, scale = turn * (2 * np.pi / TURNS), F.col("b_scale") / F.col("a_scale")
-    x = F.col("b_x") - scale * (F.cos(angle) * F.col("a_x") - F.sin(angle) * F.col("a_y"))
-    y = F.col("b_y") - scale * (F.sin(angle) * F.col("a_x") + F.cos(angle) * F.col("a_y"))
-    grids = F.explode(F.array(*[F.struct(F.floor((x + i) / 12).alias("gx"), F.floor((y + j) / 12).alias("gy"), F.floor((turn + k) / 4).alias("gt"), F.lit(36 * k + 6 * i + j).alias("grid")) for i in (0, 6) for j in (0, 6) for k in (0, 2)]))
-    votes = pairs.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.col("a_corner").alias("corner"), scale.alias("scale"), grids.alias("g")).distinct()
-    return votes.groupBy("a", "b", "scale", "g").count().groupBy("a", "b").agg(F.max("count").alias("votes")).filter(F.col("votes") >= MIN_VOTES)
-
-
-def image_classes(images: DataFrame) -> DataFrame:
-    """(id, class_id, n_links, n_corners) a row of ``images(id, image)``; class_id: smallest id of the class."""
-    # images stay where they are read: only hashes and corners are written and shuffled
+    out = []
+    for t in range(TABLES):
+        rows = keyed(images, t)
+        mixed = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter((F.col("n") > SMALL) & (F.col("low") != F.col("high")))
+        mixed = broadcast_if_small(stage_table(mixed.select("key"), f"media-mixed-{t}"))
+        out.append(stage_table(rows.join(mixed, "key"), f"media-mixed-rows-{t}"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def rest_links(images: DataFrame, part: int = PART) -> DataFrame:
+    """Links between images of different classes that share a larger bucket; ``images(node, label, corners)``."""
+    rows = mixed_rows(images)
+    groups = stage_table(rows.groupBy("key", "label").agg(F.count("*").alias("n")), "media-groups")
+    scattered = stage_table(groups.groupBy("key").agg(F.sum(F.when(F.col("n") < part, F.col("n")).otherwise(0)).alias("scattered")), "media-scattered")
+    # a class that fills a part has parts of its own; the others share parts, a class whole in one
+    own = groups.filter(F.col("n") >= part).withColumn("own", F.ceil(F.col("n") / part).cast("int")).drop("n")
+    rows = rows.join(scattered, "key").join(own, ["key", "label"], "left")
+    spread = F.greatest(F.lit(1), F.ceil(F.col("scattered") / part)).cast("int")
+    home = F.when(F.col("own").isNotNull(), F.col("label")).alias("home")
+    at = F.when(F.col("own").isNotNull(), F.pmod(F.xxhash64("node"), F.col("own"))).otherwise(F.pmod(F.xxhash64("label", F.lit(1)), spread)).cast("int").alias("at")
+    rows = stage_table(rows.select("key", "node", "label", home, at), "media-rest")
+    parts = stage_table(rows.groupBy("key", "home", "at").agg(F.lit(1).alias("__one")).select("key", "home", "at", F.xxhash64("home", F.coalesce("home", F.lit(0)), "at").alias("part")), "media-parts")
+    a, b = parts.alias("a"), parts.alias("b")
+    one_class = F.coalesce(F.col("a.home") == F.col("b.home"), F.lit(False))
+    cells = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.part") <= F.col("b.part")) & ~one_class).select(F.col("a.key").alias("key"), F.col("a.part").alias("low"), F.col("b.part").alias("high"))
+    cells = stage_table(cells, "media-cells")
+    dealt = rows.select("key", "node", "label", F.xxhash64("home", F.coalesce("home", F.lit(0)), "at").alias("part"))
+    sides = dealt.join(cells.withColumn("part", F.col("low")), ["key", "part"]).unionByName(dealt.join(cells.filter("low <> high").withColumn("part", F.col("high")), ["key", "part"]))
+    n = int(images.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sides = sides.join(images.select("node", "corners"), "node").select("key", "low", "high", "part", "node", "label", "corners").repartition(n, "key", "low", "high").sortWithinPartitions("key", "low", "high", "part")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, members = None, []
+        for b in batches:
+            cols = [b.column(c).to_pylist() for c in ("key", "low", "high", "part", "node", "label", "corners")]
+            out = []
+            for key, low, high, at, node, label, data in zip(*cols, strict=True):
+                if (key, low, high) != last:
+                    last, members = (key, low, high), []
+                mine = np.frombuffer(data, CORNER)
+                out += [(node, other) for part_of, other, of, c in members if of != label and (part_of != at or low == high) and linked(mine, c)]
+                if at == low:
+                    members.append((at, node, label, mine))
+            if out:
+                pairs = np.array(out, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    links = stage_table(sides.mapInArrow(search, "a long, b long").distinct(), "media-rest-links")
+    drop_staged(groups, scattered, rows, parts, cells)
+    return links
+
+
+def image_classes(images: DataFrame, part: int = PART) -> DataFrame:
+    """(id, class_id, n_corners) a row of ``images(id, image)``; class_id: smallest id of the class."""
     rows = stage_table(corners(images), "media-corners")
-    alike = stage_table(rows.groupBy("sha").agg(F.min("id").alias("rep")), "media-alike")
-    ones = rows.join(alike.withColumnRenamed("rep", "id"), ["id", "sha"], "left_semi").groupBy("id", "sha").agg(F.first("corners").alias("corners"))
-    ones = stage_table(ones.select("id", "sha", F.size("corners").alias("n_corners"), F.posexplode_outer("corners").alias("corner", "c")), "media-points")
-    # an id may have several images, whose corners are told apart by the hash
-    points = ones.filter("c is not null").select("id", F.xxhash64("sha", "corner").alias("corner"), "c.*")
-    links = stage_table(consensus(matches(points)), "media-links")
-    degree = links.select("a").union(links.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("n_links"))
-    sizes = ones.filter("coalesce(corner, 0) = 0").select(F.col("id").alias("rep"), "sha", "n_corners")
-    per_rep = alike.join(sizes, ["rep", "sha"], "left").join(stage_table(degree, "media-degree"), "rep", "left")
+    ones = stage_table(rows.groupBy("node").agg(F.first("n_corners").alias("n_corners"), F.first("corners").alias("corners")), "media-images")
+    links = first_links(ones)
+    label = F.coalesce("label", "node").alias("label")
     if links.limit(1).count():
-        labels = stage_table(components(links.select("a", "b")), "media-labels").select(F.col("node").alias("rep"), "label")
-        per_rep = per_rep.join(labels, "rep", "left").withColumn("class_id", F.coalesce("label", "rep"))
+        labels = stage_table(components(links), "media-labels")
+        more = rest_links(ones.join(labels, "node", "left").select("node", label, "n_corners", "corners"), part)
+        if more.limit(1).count():
+            labels = stage_table(components(links.unionByName(more)), "media-labels")
+        members = rows.select("id", "node", "n_corners").join(labels, "node", "left").select("id", label, "n_corners")
     else:
-        per_rep = per_rep.withColumn("class_id", F.col("rep"))
-    per_rep = stage_table(per_rep.select("sha", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_corners", F.lit(0)).alias("n_corners")), "media-classes")
-    return rows.join(per_rep, "sha").select("id", "class_id", "n_links", "n_corners")
+        members = rows.select("id", F.col("node").alias("label"), "n_corners")
+    least = stage_table(members.groupBy("label").agg(F.min("id").alias("class_id")), "media-classes")
+    return members.join(least, "label").select("id", "class_id", "n_corners")
 
 
 def drawn(vectors: DataFrame) -> DataFrame:
@@ -237,4 +391,4 @@ def drawn(vectors: DataFrame) -> DataFrame:
 
 def op7_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = image_classes(drawn(table(spark, sf_dir, "embeddings")))
-    return out.select(F.expr("id div 2").alias("vec_id"), (F.col("id") % 2 == 1).alias("edited"), F.col("id").alias("image_id"), "class_id", "n_links", "n_corners")
+    return out.select(F.expr("id div 2").alias("vec_id"), (F.col("id") % 2 == 1).alias("edited"), F.col("id").alias("image_id"), "class_id", "n_corners")
