@@ -16,7 +16,7 @@ from radiolake.llm import linededup, mixing, pieces, pii, quality, rules, shardi
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, shard string, __x int"
-SHARED = "one two three\nfour five six\nseven eight\nnine ten eleven\ntwelve\nthirteen fourteen\nfifteen"
+SHARED = "\n".join(f"line {i} of a passage that is shared, {w}." for i, w in enumerate("one two three four five six seven eight nine ten eleven twelve".split()))
 
 
 @pytest.fixture(scope="module")
@@ -75,6 +75,23 @@ def test_line_chunks_keep_the_first_copy(docs):
     assert out[12]["text"] == "naïve ▁ 😀\ttab"
 
 
+def test_repeated_passages_leave_no_long_run(spark):
+    """Passages of 60 words planted in other prose, within lines and across them: later copies do not stay whole."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(rng.randrange(2, 9)))
+    end = lambda style: rng.choice([". ", ", ", " ", " ", " ", "\n" if style else " "])
+    prose = lambda n, style: "".join(word() + end(style) for _ in range(n))
+    passages = [prose(60, i % 2) for i in range(100)]
+    rows = [(i, prose(rng.randrange(5, 80), i % 3) + p + prose(rng.randrange(5, 80), i % 2), p) for i, p in enumerate(passages * 3)]
+    alone = [(1000 + i, prose(150, i % 2), "") for i in range(60)]
+    out = {r[0]: r[1] for r in linededup.dedup_lines(spark.createDataFrame(rows + alone, "doc_id long, text string, p string")).select("doc_id", "text").collect()}
+    whole = [i for i, _, p in rows if i >= 100 and p in out[i]]
+    assert len(whole) <= 0.02 * 200
+    assert all(out[i] == t for i, t, _ in rows[:100] + alone)
+    kept = lambda t, p: max(n for n in range(61) if any(" ".join(p.split()[k : k + n]) in " ".join(t.split()) for k in range(61 - n)))
+    assert sum(kept(out[i], p) for i, _, p in rows[100:]) < 0.4 * 60 * 200
+
+
 def test_mix_targets():
     t = mixing.targets({"a": 10, "b": 100, None: 100})
     assert t["a"] == 30 and sum(t.values()) == pytest.approx(210) and t["b"] == pytest.approx(120)
