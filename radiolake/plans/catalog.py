@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from radiolake.functions import mesh as m
 from radiolake.operators import graph, state
 from radiolake.plans.registry import ORACLE_SQL, query
-from radiolake.sources import model, snapshot
+from radiolake.sources import decode, model, snapshot
 
 NOW_US = f"epoch_us(TIMESTAMP '{model.NOW}')"
 NODES = """nodes AS (SELECT printf('%08x', c_custkey) AS id, c_custkey AS num, c_name AS longname, right(c_name, 4) AS shortname,
@@ -98,10 +98,14 @@ def since_previous(spark, sf):
     return state.since_previous(model.events(spark, sf)).select("seq", "from_id", "since_us")
 
 
-@query(f"WITH {FOLD} SELECT from_num, (({NOW_US} - last_us) % 86400000000 + 86400000000) % 86400000000 // 1000000 AS age_s, ({NOW_US} - last_us) // 1000000 AS total_s FROM state WHERE last_us <= {NOW_US}")
+LATER_US = f"epoch_us(TIMESTAMP '{model.LATER}')"
+
+
+@query(f"WITH {FOLD} SELECT from_num, (({LATER_US} - last_us) % 86400000000 + 86400000000) % 86400000000 // 1000000 AS age_s, ({LATER_US} - last_us) // 1000000 AS total_s FROM state")
 def age_within_day(spark, sf):
-    age = model.now_us() - F.col("last_us")
-    return states(spark, sf).filter(F.col("last_us") <= model.now_us()).select("from_num", m.seconds_within_day(age).alias("age_s"), F.floor(age / 1_000_000).alias("total_s"))
+    """Seconds since a node was heard, in all and beyond whole days."""
+    age = F.unix_micros(F.lit(model.LATER).cast("timestamp")) - F.col("last_us")
+    return states(spark, sf).select("from_num", m.seconds_within_day(age).alias("age_s"), F.floor(age / 1_000_000).alias("total_s"))
 
 
 @query(f"WITH {LOG} SELECT seq, from_id, value FROM log WHERE kind IN ('view', 'click') ORDER BY seq DESC LIMIT 1000")
@@ -173,10 +177,13 @@ def in_channels(chat: DataFrame, *channels: str) -> DataFrame:
     return chat.filter(F.col("channel").isin(*channels))
 
 
-@query(f"WITH {CHAT} SELECT channel, id FROM chat WHERE contains(text, 'the') AND contains(text, 'and') AND contains(text, 'er') AND channel IN ('0', '1', '2')")
+SHOWN = [str(c) for c in range(0, 200, 2)]
+
+
+@query(f"WITH {CHAT} SELECT channel, id FROM chat WHERE contains(text, 'the') AND contains(text, 'and') AND contains(text, 'er') AND channel IN ({', '.join(f"'{c}'" for c in SHOWN)})")
 def marker_in_channels(spark, sf):
     """Three markers in one text, in displayed channels."""
-    return in_channels(model.chat(spark, sf).filter(m.has_markers(F.col("text"), "the", "and", "er")), "0", "1", "2").select("channel", "id")
+    return in_channels(model.chat(spark, sf).filter(m.has_markers(F.col("text"), "the", "and", "er")), *SHOWN).select("channel", "id")
 
 
 @query(f"WITH {NODES}, {ROUTES}, h AS (SELECT seq, from_num, unnest(hops) AS hop, generate_subscripts(hops, 1) AS i FROM routes) SELECT seq, coalesce(any_value(f.shortname), 'UNK') AS from_name, string_agg(coalesce(n.shortname, 'UNK'), '>' ORDER BY i) AS path, count(*) AS hops FROM h LEFT JOIN (SELECT * FROM nodes WHERE role <> 5) n ON n.num = hop LEFT JOIN nodes f ON f.num = h.from_num GROUP BY seq")
@@ -319,7 +326,9 @@ def graph_reach_all(spark, sf):
 
 @query(f"WITH {LOG} SELECT seq, from_id, ts_us, kind FROM log")
 def log_clean(spark, sf):
-    return model.events(spark, sf).drop("value", "props", "k", "from_num")
+    """The log without what only decoding needs."""
+    log = model.events(spark, sf).withColumnsRenamed({"props": "decoded", "value": "encrypted"})
+    return decode.clean_log(log).drop("k", "from_num")
 
 
 @query("SELECT event_id AS seq, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")

@@ -34,7 +34,7 @@ n AS (SELECT id, coalesce(longname, 'Unknown') AS longname, coalesce(shortname,
   CASE WHEN pos_seq % 13 <> 0 THEN (pos_num * 7000003 % 3600000000 - 1800000000) / 1e7 END AS longitude, CASE WHEN tel_seq % 10 <> 0 THEN CAST(tel_k AS DOUBLE) END AS battery_level,
   CASE WHEN tel_seq % 10 <> 0 THEN tel_value END AS voltage, near_k, near_value, board, last_us, coalesce(({NOW_US} - last_us) // 1000000 < 7200, false) AS active FROM f)"""
 E = f"{N}, e AS (SELECT id AS src, printf('%08x', near_k) AS dst, near_value AS snr FROM n WHERE near_k IS NOT NULL UNION ALL SELECT id, printf('%08x', near_k + 50), near_value / 2 FROM n WHERE near_k IS NOT NULL)"
-TEXTS = f"{P}, t AS (SELECT seq, from_id, num, ts_us, CASE WHEN seq % 4 = 0 THEN '0' ELSE CAST(seq % 3 AS VARCHAR) END AS channel, CASE WHEN seq % 3 = 0 THEN 'TC BBS Commands ' ELSE 'hello ' END || k AS text FROM p WHERE type = 'text')"
+TEXTS = f"{P}, t AS (SELECT seq, from_id, num, ts_us, k, value, CASE WHEN seq % 4 = 0 THEN '0' ELSE CAST(seq % 3 AS VARCHAR) END AS channel, CASE WHEN seq % 3 = 0 THEN 'TC BBS Commands ' ELSE 'hello ' END || k AS text FROM p WHERE type = 'text')"
 
 
 def now_us() -> F.Column:
@@ -156,12 +156,12 @@ def nodes_by_longname(spark, sf):
     return nodes.sorted_nodes(nodes.node_records(current(spark, sf)), "longname").limit(20).select("id", "longname")
 
 
-@query(f"WITH {TEXTS} SELECT seq, from_id, channel, CASE WHEN channel = '0' THEN 'General' ELSE 'Channel ' || channel END AS name, text, ts_us // 1000000 AS timestamp, contains(text, 'TC') AND contains(text, 'BBS') AND contains(text, 'Commands') AS board FROM t")
+@query(f"WITH {TEXTS} SELECT seq, from_id, channel, CASE WHEN channel = '0' THEN 'General' ELSE 'Channel ' || channel END AS name, text, ts_us // 1000000 AS timestamp, printf('%08x', CASE WHEN seq % 3 = 0 THEN num + 1 ELSE 4294967295 END) AS to_id, from_id AS sender, CAST(-k AS INTEGER) AS rssi, value AS snr, CASE WHEN seq % 4 <> 3 THEN CAST(seq % 4 AS INTEGER) END AS hops_away, contains(text, 'TC') AND contains(text, 'BBS') AND contains(text, 'Commands') AS board FROM t")
 def text_history(spark, sf):
     """Chat messages: channel 0 where none is given, channels with their names, the marked texts."""
     t = typed_packets(spark, sf).filter("type = 'text'").withColumn("channel", F.coalesce(F.col("channel").cast("string"), F.lit("0")))
     name = F.when(F.col("channel") == "0", "General").otherwise(F.concat(F.lit("Channel "), "channel"))
-    return t.select("seq", F.col("from").alias("from_id"), "channel", name.alias("name"), "text.text", "timestamp", m.has_markers(F.col("text.text"), *nodes.BOARD_MARKERS).alias("board"))
+    return t.select("seq", F.col("from").alias("from_id"), "channel", name.alias("name"), "text.text", "timestamp", F.col("to").alias("to_id"), m.strip_mark(F.col("sender")).alias("sender"), "rssi", "snr", "hops_away", m.has_markers(F.col("text.text"), *nodes.BOARD_MARKERS).alias("board"))
 
 
 @query(f"WITH {P} SELECT seq, from_id, CAST(k AS DOUBLE) AS battery_level, value AS voltage, 'fine' AS state, printf('%.2f V', value) AS voltage_text, k || '%' AS battery_text FROM p WHERE type = 'telemetry' AND seq % 10 <> 0")
@@ -305,6 +305,20 @@ def snapshot_round_trip(spark, sf):
     return snapshot.load(spark, base, marked.schema).select("id", "shortname", "board")
 
 
+@query("SELECT printf('%08x', c_custkey) AS id, 'Unknown' AS longname, 'UNK' AS shortname, false AS active FROM customer UNION ALL SELECT 'ffffffff', 'Everyone', 'ALL', false")
+def default_nodes(spark, sf):
+    """Nodes nothing is known of, and everyone's address."""
+    ids = model.nodes(spark, sf).select("id").unionByName(spark.createDataFrame([(model.EVERYONE,)], "id string"))
+    return nodes.default_nodes(ids).select("id", "longname", "shortname", "active")
+
+
+@query(f"WITH {N} SELECT id, altitude, CASE WHEN near_k IS NOT NULL THEN 900 END::INTEGER AS interval_s FROM n")
+def node_fields(spark, sf):
+    """Only the named members of nested records."""
+    few = snapshot.only_fields(current(spark, sf), {"id": True, "position": {"altitude": True}, "neighborinfo": {"node_broadcast_interval_secs": True}})
+    return few.select("id", F.col("position.altitude").cast("long").alias("altitude"), F.col("neighborinfo.node_broadcast_interval_secs").alias("interval_s"))
+
+
 @query(f"""WITH RECURSIVE {E}, ends AS (SELECT DISTINCT src, dst FROM e JOIN n ON n.id = dst WHERE src <> dst AND dst <> '00000003'),
 w AS (SELECT '00000003' AS node, 0 AS level UNION SELECT d.dst, w.level + 1 FROM w JOIN ends d ON d.src = w.node WHERE w.level < 4),
 r AS (SELECT node, min(level) AS level FROM w GROUP BY node), c AS (SELECT r.node, min(d.src) AS above FROM r JOIN ends d ON d.dst = r.node JOIN r p ON p.node = d.src AND p.level = r.level - 1 GROUP BY r.node),
