@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from radiolake.llm.shared import stage_table, table
+from radiolake.llm.shared import drop_staged, stage_table, table
 
 BANDS = 4
 MAX_TREE = 4096
@@ -184,17 +184,20 @@ def components(links: DataFrame) -> DataFrame:
     the rounds grow with the logarithm of the longest path; each round's labels are staged.
     """
     both = stage_table(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
-    labels = stage_table(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("label")), "labels")
+    last = stage_table(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.col("a").alias("old"), F.least("a", "least").alias("label")), "labels")
     while True:
+        labels = last.select("node", "label")
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
         near = stage_table(near.withColumnRenamed("a", "node"), "near")
         step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         step = stage_table(step, "step")
         jump = step.select(F.col("node").alias("label"), F.col("label").alias("above"))
-        step = stage_table(step.join(jump, "label", "left").select("node", "old", F.coalesce("above", "label").alias("label")), "labels")
-        labels = step.select("node", "label")
-        if not step.filter("label <> old").limit(1).count():
-            return labels
+        jumped = stage_table(step.join(jump, "label", "left").select("node", "old", F.coalesce("above", "label").alias("label")), "labels")
+        drop_staged(last, near, step)
+        last = jumped
+        if not last.filter("label <> old").limit(1).count():
+            drop_staged(both)
+            return last.select("node", "label")
 
 
 def link_documents(docs: DataFrame, radius: int = 2) -> DataFrame:
