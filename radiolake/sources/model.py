@@ -28,7 +28,7 @@ PHOTOS = (3, 4, 5, 7, 9, 10, 12, 16, 17, 18, 26, 30, 43, 44, 47, 48, 49, 50, 51,
 EVERYONE = "ffffffff"
 #: The views' clock; the model's events end on 2024-01-30.
 NOW = "2024-01-29 12:00:00"
-LATER = "2024-01-30 20:00:00"
+LATER = "2024-01-31 00:30:00"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
