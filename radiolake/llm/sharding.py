@@ -77,9 +77,12 @@ def number_rows(df: DataFrame, keys: Sequence[Column], name: str = "row_number",
     return df.withColumn(name, F.col("__first") + F.col("__rank") - 1).drop("__hash", "__bucket", "__first", "__rank"), total
 
 
-def shard_rows(df: DataFrame, shards: int, keys: Sequence[Column], seed: int = 0) -> DataFrame:
-    """Add ``shard`` (0..shards-1; sizes at most one apart) and ``slot`` (gapless from 0 in each)."""
-    df, n = number_rows(df.drop("shard", "slot"), keys, "__number")
+def shard_rows(df: DataFrame, shards: int, keys: Sequence[Column], seed: int = 0, buckets: int = BUCKETS) -> DataFrame:
+    """Add ``shard`` (0..shards-1; sizes at most one apart) and ``slot`` (gapless from 0 in each).
+
+    A task sorts a bucket's rows, so ``buckets`` should grow with the table; it changes the numbers.
+    """
+    df, n = number_rows(df.drop("shard", "slot"), keys, "__number", buckets)
     at = permuted(F.col("__number"), n, seed)
     df = df.withColumn("__at", at)
     return df.withColumn("shard", (F.col("__at") % shards).cast("int")).withColumn("slot", F.expr(f"__at div {shards}")).drop("__number", "__at")
