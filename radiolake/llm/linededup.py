@@ -1,14 +1,19 @@
 """Removal of repeated passages by content-defined chunks of lines.
 
-A text is cut into chunks of lines. Whether a chunk ends after a line is decided by a polynomial
-rolling hash over that line's hash and those of the lines before it (``WINDOW`` in all), so an
-inserted or deleted line shifts no cut beyond its window. A chunk of at least two lines that
-occurs more than once in the corpus stays only where it is first: in the rows with the smallest
-doc_id that have it, at its first place in the text. Everything else about a text is kept.
-
-Chunks are grouped by hash *and* bytes, pre-aggregated before the shuffle; a hash that two
-different chunks share removes nothing. Decisions travel as hashes, so the texts are shuffled
-once to group chunks and once to apply decisions.
+A text is cut into lines: at line feeds, after punctuation, and after words that end in one of a fixed
+class of letter pairs, so that a passage within a long line has lines of its own. Chunks of lines are
+content-defined: whether a chunk ends after a line is decided by a polynomial rolling hash over that
+line's hash and those of the lines before it (``WINDOW`` in all), so an inserted or deleted line, or a
+passage that begins in the middle of one, shifts no cut beyond its window. A chunk that occurs more than
+once in the corpus counts as repeated except where it is first: in the rows with the smallest
+doc_id that have it, at its first place in the text. Consecutive repeated chunks are removed if they
+have at least two lines and ``MIN_CHARS`` characters together, so a short line that many texts share
+stays; and at least one of them must have ``ANCHOR_CHARS``, as shorter ones repeat by chance. Everything
+else about a text is kept.
+
+Chunks are counted by hash; the bytes of those that share a hash are then compared, and a hash that
+two different chunks share removes nothing. Counts and decisions travel as hashes, so the texts are
+shuffled once to compare bytes and once to apply decisions.
 
 Defined cases: a null text stays null, an empty one empty; a text whose chunks all go becomes
 empty, its row stays; a null doc_id counts as the smallest; rows that repeat a doc_id share its
@@ -24,9 +29,14 @@ from pyspark.sql import functions as F
 
 from radiolake.llm.shared import stage_table, table, text_hash
 
-WINDOW = 3
+WINDOW = 2
 #: A line ends a chunk with probability 1 / MEAN_LINES.
-MEAN_LINES = 4
+MEAN_LINES = 2
+MIN_CHARS = 64
+ANCHOR_CHARS = 24
+LINE_END = r"\n|[.!?,;:|] |[a-hA-H][x-zX-Z] "
+LINE_ENDS = r"(?<=\n)|(?<=[.!?,;:|] )|(?<=[a-hA-H][x-zX-Z] )"
+MARK = "\x01"
 MODULUS = 2**31 - 1
 BASE = 1000003
 
@@ -40,8 +50,14 @@ def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line.cast("binary")), 1, 7), 16, 10).cast("long")
 
 
+def lines_of(text: Column) -> Column:
+    """A text's lines, with their ends. Cutting at a mark set after every end is the faster way, for texts without that mark."""
+    marked_ends = F.split(F.regexp_replace(text, LINE_END, "$0" + MARK), MARK, -1)
+    return F.when(text.contains(MARK), F.split(text, LINE_ENDS, -1)).otherwise(marked_ends)
+
+
 def chunks(text: Column) -> Column:
-    """Array of (n: lines, body) whose bodies, joined by newlines, are the text."""
+    """Array of (n: lines, body) whose bodies, joined, are the text."""
 
     def rolling(hashes: Column, at: Column) -> Column:
         terms = [F.coalesce(F.get(hashes, at - 1 - k), F.lit(0)) * pow(BASE, k, MODULUS) for k in range(WINDOW)]
@@ -54,60 +70,105 @@ def chunks(text: Column) -> Column:
         def chunk(ends: Column) -> Column:
             def one(end: Column, k: Column) -> Column:
                 start = F.coalesce(F.get(ends, k - 1), F.lit(0))
-                return F.struct((end - start).alias("n"), F.array_join(F.slice(lines, start + 1, end - start), "\n").alias("body"))
+                return F.struct((end - start).alias("n"), F.array_join(F.slice(lines, start + 1, end - start), "").alias("body"))
 
             return F.transform(ends, one)
 
         return let(ends, chunk)
 
-    return let(F.split(text, "\n", -1), lambda lines: let(F.transform(lines, line_hash), lambda hashes: cut(lines, hashes)))
+    return let(lines_of(text), lambda lines: let(F.transform(lines, line_hash), lambda hashes: cut(lines, hashes)))
 
 
-def without(parts: Column, dropped: Column) -> Column:
-    """The chunks that stay: single lines, and multi-line ones neither in ``dropped`` nor seen before.
+def marked(parts: Column, dropped: Column) -> Column:
+    """(i, n, body, repeats) of each chunk, in order: whether it is in ``dropped`` or was seen before.
 
     Sorting by hash puts a dropped hash, and any earlier copy, just before a chunk.
     """
     own = F.transform(parts, lambda c, i: F.struct(F.xxhash64(c["body"]).alias("h"), i.alias("i"), c["n"].alias("n"), c["body"].alias("body")))
     gone = F.transform(F.coalesce(dropped, F.array().cast("array<bigint>")), lambda h: F.struct(h.alias("h"), F.lit(-1).alias("i"), F.lit(0).alias("n"), F.lit("").alias("body")))
 
-    def marked(sorted_: Column) -> Column:
-        def mark(x: Column, k: Column) -> Column:
+    def mark(sorted_: Column) -> Column:
+        def one(x: Column, k: Column) -> Column:
             before = F.get(sorted_, k - 1)
             repeats = (before["h"] == x["h"]) & ((before["i"] < 0) | (before["body"] == x["body"]))
-            drop = (x["n"] > 1) & F.coalesce(repeats, F.lit(False))
-            return F.struct(x["i"].alias("i"), x["body"].alias("body"), drop.alias("drop"))
+            return F.struct(x["i"].alias("i"), x["n"].alias("n"), x["body"].alias("body"), F.coalesce(repeats, F.lit(False)).alias("repeats"))
+
+        return F.transform(sorted_, one)
+
+    return F.filter(F.sort_array(let(F.sort_array(F.concat(gone, own)), mark)), lambda x: x["i"] >= 0)
+
+
+def without_runs(flags: Column) -> Column:
+    """(text, removed) of marked chunks, without the runs of repeated ones that are long enough."""
+    total = lambda a, f: F.aggregate(F.transform(a, f), F.lit(0), lambda x, y: x + y)
+    bodies = lambda a: F.array_join(F.transform(a, lambda x: x["body"]), "")
+
+    def edges(c: Column, other: int) -> Column:
+        places = F.sequence(F.lit(0), F.size(c) - 1)
+        return F.filter(places, lambda j: F.get(c, j)["repeats"] & ~F.coalesce(F.get(c, j + other)["repeats"], F.lit(False)))
+
+    def by_runs(c: Column, starts: Column, ends: Column) -> Column:
+        def one(start: Column, k: Column) -> Column:
+            before = F.coalesce(F.get(ends, k - 1), F.lit(-1))
+            run = F.slice(c, start + 1, F.get(ends, k) - start + 1)
+            goes = (total(run, lambda x: F.length(x["body"])) >= MIN_CHARS) & (total(run, lambda x: x["n"]) > 1) & F.exists(run, lambda x: F.length(x["body"]) >= ANCHOR_CHARS)
+            plain = bodies(F.slice(c, before + 2, start - before - 1))
+            return F.when(goes, F.struct(plain.alias("text"), F.size(run).alias("removed"))).otherwise(F.struct(F.concat(plain, bodies(run)).alias("text"), F.lit(0).alias("removed")))
+
+        last = F.coalesce(F.get(ends, F.size(ends) - 1), F.lit(-1))
+        tail = F.struct(bodies(F.slice(c, last + 2, F.size(c) - last - 1)).alias("text"), F.lit(0).alias("removed"))
+        return let(F.concat(F.transform(starts, one), F.array(tail)), lambda r: F.struct(F.array_join(F.transform(r, lambda x: x["text"]), "").alias("text"), total(r, lambda x: x["removed"]).cast("long").alias("removed")))
+
+    return let(flags, lambda c: let(edges(c, -1), lambda starts: let(edges(c, 1), lambda ends: by_runs(c, starts, ends))))
+
 
-        return F.transform(sorted_, mark)
+def listed_chunks(docs: DataFrame) -> DataFrame:
+    """(__key, __text, inner, h, chars) of each row's chunks; inner: whether the row repeats an anchor. Staged as a list a row."""
 
-    def kept(flags: Column) -> Column:
-        return F.transform(F.filter(F.sort_array(flags), lambda x: (x["i"] >= 0) & ~x["drop"]), lambda x: x["body"])
+    def lists(parts: Column) -> Column:
+        hashes = F.transform(parts, lambda c: F.xxhash64(c["body"]))
+        anchors = F.transform(F.filter(parts, lambda c: F.length(c["body"]) >= ANCHOR_CHARS), lambda c: F.xxhash64(c["body"]))
+        inner = let(anchors, lambda a: F.size(F.array_distinct(a)) < F.size(a))
+        return F.struct(hashes.alias("h"), F.transform(parts, lambda c: F.length(c["body"])).alias("chars"), inner.alias("inner"))
 
-    return let(let(F.sort_array(F.concat(gone, own)), marked), kept)
+    rows = docs.filter("text is not null").select("__key", "__text", let(chunks(F.col("text")), lists).alias("own"))
+    rows = stage_table(rows.select("__key", "__text", "own.*"), "listed-chunks")
+    return rows.select("__key", "__text", "inner", F.inline(F.arrays_zip("h", "chars")))
 
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """(h, first): hash of each multi-line chunk found in more than one row, smallest key that has it."""
-    multi = F.array_distinct(F.filter(chunks(F.col("text")), lambda c: c["n"] > 1))
-    found = docs.select("__key", F.inline(multi)).groupBy(F.xxhash64("body").alias("h"), "body").agg(F.count("*").alias("rows"), F.min("__key").alias("first"))
-    alike = found.groupBy("h").agg(F.count("*").alias("bodies"), F.sum("rows").alias("rows"), F.min("first").alias("first"))
-    return alike.filter("bodies = 1 and rows > 1").select("h", "first")
+def clashing_hashes(docs: DataFrame, shared: DataFrame) -> DataFrame:
+    """(h) that stand for chunks of different bytes, of all that ``shared(__key, __text, __shared)`` lists. Staged."""
+    texts = docs.join(shared.select("__key", "__text", "__shared").hint("merge"), ["__key", "__text"])
+    flagged = F.filter(marked(chunks(F.col("text")), F.col("__shared")), lambda c: c["repeats"])
+    bodies = texts.select(F.inline(flagged)).groupBy(F.xxhash64("body").alias("h"), "body").agg(F.lit(1).alias("one"))
+    return stage_table(bodies.groupBy("h").agg(F.count("*").alias("bodies")).filter("bodies > 1").select("h"), "clashing-hashes")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text, ...)`` with repeated chunks cut from ``text``, and ``removed_chunks`` added."""
     names = [c for c in docs.columns if c != "removed_chunks"]
     docs = docs.select(*names, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("__key"), text_hash(F.col("text")).alias("__text"))
-    repeated = stage_table(repeated_chunks(docs), "repeated-chunks")
-    hashes = F.array_distinct(F.transform(F.filter(chunks(F.col("text")), lambda c: c["n"] > 1), lambda c: F.xxhash64(c["body"])))
-    places = docs.select("__key", "__text", F.explode(hashes).alias("h")).join(repeated, "h").filter("first <> __key")
-    dropped = stage_table(places.groupBy("__key", "__text").agg(F.collect_set("h").alias("__dropped")), "dropped-chunks")
+    listed = listed_chunks(docs)
+    repeated = stage_table(listed.groupBy("h").agg(F.count("*").alias("places"), F.min("__key").alias("first")).filter("places > 1").select("h", "first"), "repeated-chunks")
+    away = F.col("first") != F.col("__key")
+    shared = listed.join(repeated, "h").groupBy("__key", "__text").agg(
+        F.collect_set("h").alias("__shared"), F.collect_set(F.when(away, F.col("h"))).alias("__dropped"), F.max(away & (F.col("chars") >= ANCHOR_CHARS)).alias("anchored"), F.max("inner").alias("inner"),
+    )
+    shared = stage_table(shared, "shared-chunks")
+    # a text is worked on if it repeats an anchor of its own, or has one that is first elsewhere
+    dropped = shared.filter("anchored or inner").select("__key", "__text", "__dropped")
+    # the bytes of what goes are compared with each other and with those of the rows that are first
+    gone = dropped.select(F.explode("__dropped").alias("h")).distinct()
+    firsts = stage_table(gone.join(repeated, "h").select(F.col("first").alias("__key")).distinct(), "first-rows")
+    clashing = clashing_hashes(docs, shared.filter("anchored or inner").unionByName(shared.filter("not (anchored or inner)").join(firsts, "__key", "left_semi")))
+    if clashing.limit(1).count():
+        kept = dropped.select("__key", "__text", F.explode_outer("__dropped").alias("h")).join(clashing.withColumn("clash", F.lit(True)), "h", "left")
+        dropped = stage_table(kept.groupBy("__key", "__text").agg(F.collect_set(F.when(F.col("clash").isNull(), F.col("h"))).alias("__dropped")), "dropped-chunks")
     # the decisions grow with the corpus, so they are never broadcast, however small they are
     out = docs.join(dropped.hint("merge"), ["__key", "__text"], "left")
-    # a struct keeps how many chunks there were beside those that stay
-    both = let(chunks(F.col("text")), lambda parts: let(without(parts, F.col("__dropped")), lambda stay: F.struct(F.array_join(stay, "\n").alias("text"), (F.size(parts) - F.size(stay)).cast("long").alias("removed"))))
-    out = out.withColumn("__out", both)
-    return out.select(*[F.col("__out.text").alias("text") if c == "text" else F.col(c) for c in names], F.coalesce("__out.removed", F.lit(0)).cast("long").alias("removed_chunks"))
+    cut = F.when(F.col("__dropped").isNotNull(), without_runs(marked(chunks(F.col("text")), F.col("__dropped"))))
+    out = out.withColumn("__out", cut)
+    return out.select(*[F.coalesce("__out.text", "text").alias("text") if c == "text" else F.col(c) for c in names], F.coalesce("__out.removed", F.lit(0)).cast("long").alias("removed_chunks"))
 
 
 def op2_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,16 +176,17 @@ def op2_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP2_SQL = rf"""
-WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS line
-           FROM documents WHERE text IS NOT NULL),
+WITH p AS (SELECT doc_id, string_split(regexp_replace(text, '(\n|[.!?,;:|] |[a-hA-H][x-zX-Z] )', '\1' || chr(1), 'g'), chr(1)) AS parts FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, generate_subscripts(parts, 1) AS i, unnest(parts) AS line FROM p),
 h AS (SELECT *, ('0x' || substr(md5(line), 1, 7))::BIGINT AS r FROM l),
 b AS (SELECT *, ({" + ".join(f"coalesce(lag(r, {k}) OVER w, 0) * {pow(BASE, k, MODULUS)}" for k in range(WINDOW))}) % {MODULUS} % {MEAN_LINES} = 0 AS cut
       FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 k AS (SELECT *, coalesce(sum(cut::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM b),
-c AS (SELECT doc_id, chunk, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body FROM k GROUP BY ALL),
-s AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, chunk) AS seen FROM c),
-t AS (SELECT doc_id, string_agg(body, chr(10) ORDER BY chunk) FILTER (WHERE n = 1 OR seen = 1) AS text,
-             count(*) FILTER (WHERE n > 1 AND seen > 1) AS removed FROM s GROUP BY doc_id)
+c AS (SELECT doc_id, chunk, count(*) AS n, string_agg(line, '' ORDER BY i) AS body FROM k GROUP BY ALL),
+s AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, chunk) > 1 AS repeats FROM c),
+r AS (SELECT *, chunk - row_number() OVER (PARTITION BY doc_id, repeats ORDER BY chunk) AS run FROM s),
+g AS (SELECT *, repeats AND sum(length(body)) OVER x >= {MIN_CHARS} AND sum(n) OVER x > 1 AND max(length(body)) OVER x >= {ANCHOR_CHARS} AS goes FROM r WINDOW x AS (PARTITION BY doc_id, repeats, run)),
+t AS (SELECT doc_id, string_agg(body, '' ORDER BY chunk) FILTER (WHERE NOT goes) AS text, count(*) FILTER (WHERE goes) AS removed FROM g GROUP BY doc_id)
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(t.text, '') END AS text, coalesce(t.removed, 0) AS removed_chunks
 FROM documents d LEFT JOIN t USING (doc_id)
 """

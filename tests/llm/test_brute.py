@@ -236,7 +236,7 @@ def without_repeats(rows):
             while end < len(flags) and flags[end] == flags[k]:
                 end += 1
             run = chunks[i][k:end]
-            if not (flags[k] and sum(len(b) for _, b in run) >= linededup.MIN_CHARS and sum(n for n, _ in run) > 1):
+            if not (flags[k] and sum(len(b) for _, b in run) >= linededup.MIN_CHARS and sum(n for n, _ in run) > 1 and max(len(b) for _, b in run) >= linededup.ANCHOR_CHARS):
                 out += [b for _, b in run]
             k = end
         texts[i] = "".join(out)
