@@ -278,16 +278,17 @@ def decided(pairs: DataFrame, images: DataFrame) -> DataFrame:
     return both.select("a", "b", "ca", "cb").mapInArrow(run, "a long, b long")
 
 
-def first_links(images: DataFrame) -> DataFrame:
-    """Links between the images of paired out buckets, and between a larger one's images and its hub."""
-    images, met = images.withColumn("label", F.col("node")), []
-    for t in range(TABLES):
-        rows = keyed(images, t).select("key", "node")
-        sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node").alias("order"), "node")).alias("hub"))
-        shared = stage_table(rows.join(sizes.filter("n > 1").select("key", "n", F.col("hub.node").alias("hub")), "key"), f"media-shared-{t}")
-        few = shared.filter(F.col("n") <= SMALL).select("key", "node")
-        pairs = few.alias("a").join(few.alias("b"), "key").filter("a.node > b.node").select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
-        spokes = shared.filter((F.col("n") > SMALL) & (F.col("node") != F.col("hub"))).select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b"))
+def first_links(images: DataFrame, tables: range) -> DataFrame:
+    """Links of images of different labels that meet in some tables: in small buckets any two, in larger ones each and the hub."""
+    met = []
+    for t in tables:
+        rows = keyed(images, t)
+        sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct(F.xxhash64("node").alias("order"), "node", "label")).alias("hub"))
+        shared = sizes.filter("n > 1 and low <> high").select("key", "n", F.col("hub.node").alias("hub"), F.col("hub.label").alias("hub_label"))
+        shared = stage_table(rows.join(shared, "key"), f"media-shared-{t}")
+        few = shared.filter(F.col("n") <= SMALL).select("key", "node", "label")
+        pairs = few.alias("a").join(few.alias("b"), "key").filter("a.node > b.node and a.label <> b.label").select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+        spokes = shared.filter((F.col("n") > SMALL) & (F.col("label") != F.col("hub_label"))).select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b"))
         met.append(stage_table(pairs.unionByName(spokes).distinct(), f"media-pairs-{t}"))
         drop_staged(shared)
     pairs = stage_table(reduce(DataFrame.unionByName, met).distinct(), "media-pairs")
@@ -301,7 +302,7 @@ def first_links(images: DataFrame) -> DataFrame:
 def mixed_rows(images: DataFrame) -> DataFrame:
     """(key, node, label) of the larger buckets that hold more than one class. Staged.
 
-    Buckets are first only counted, so a large group of copies, which is one class, costs no more rows.
+    Buckets are first only counted, so a large group of copies, which is one class, makes no rows.
     """
     out = []
     for t in range(TABLES):
@@ -359,16 +360,23 @@ def image_classes(images: DataFrame, part: int = PART) -> DataFrame:
     """(id, class_id, n_corners) a row of ``images(id, image)``; class_id: smallest id of the class."""
     rows = stage_table(corners(images), "media-corners")
     ones = stage_table(rows.groupBy("node").agg(F.first("n_corners").alias("n_corners"), F.first("corners").alias("corners")), "media-images")
-    links = first_links(ones)
-    label = F.coalesce("label", "node").alias("label")
-    if links.limit(1).count():
-        labels = stage_table(components(links), "media-labels")
-        more = rest_links(ones.join(labels, "node", "left").select("node", label, "n_corners", "corners"), part)
-        if more.limit(1).count():
-            labels = stage_table(components(links.unionByName(more)), "media-labels")
-        members = rows.select("id", "node", "n_corners").join(labels, "node", "left").select("id", label, "n_corners")
-    else:
-        members = rows.select("id", F.col("node").alias("label"), "n_corners")
+    labels = stage_table(ones.select("node", F.col("node").alias("label")), "media-labels")
+
+    def joined(found: DataFrame) -> DataFrame:
+        """Labels after some more links between nodes."""
+        if not found.limit(1).count():
+            return labels
+        of = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label"))
+        drawn = found.join(of("a"), "a").join(of("b"), "b").select(F.col("a_label").alias("a"), F.col("b_label").alias("b")).distinct()
+        above = components(drawn).select(F.col("node").alias("label"), F.col("label").alias("above"))
+        return stage_table(labels.join(above, "label", "left").select("node", F.coalesce("above", "label").alias("label")), "media-labels")
+
+    # the first table joins most copies, so that the others are asked only for what it left apart
+    for step in (lambda x: first_links(x, range(1)), lambda x: first_links(x, range(1, TABLES)), lambda x: rest_links(x, part)):
+        labelled = stage_table(ones.join(labels, "node").select("node", "label", "n_corners", "corners"), "media-labelled")
+        labels = joined(step(labelled))
+        drop_staged(labelled)
+    members = rows.select("id", "node", "n_corners").join(labels, "node").select("id", "label", "n_corners")
     least = stage_table(members.groupBy("label").agg(F.min("id").alias("class_id")), "media-classes")
     return members.join(least, "label").select("id", "class_id", "n_corners")
 

@@ -180,24 +180,29 @@ def fingerprint_links(fps: DataFrame, radius: int = 2, max_tree: int = MAX_TREE)
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of every node of ``links(a, b)``; label: the least node of its component.
 
-    Each round takes the least label among neighbours and then jumps to the label's own label, so
-    the rounds grow with the logarithm of the longest path; each round's labels are staged.
+    Each round points every node to the least of itself and its neighbours, and then to where that one
+    points; links are drawn anew between the nodes pointed to. At least half of the nodes that still
+    have links go with each round, so the rounds grow with the logarithm of their number, and the links
+    shrink. Each round is staged. At the end the pointers are followed round by round.
     """
-    both = stage_table(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
-    last = stage_table(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.col("a").alias("old"), F.least("a", "least").alias("label")), "labels")
-    while True:
-        labels = last.select("node", "label")
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        near = stage_table(near.withColumnRenamed("a", "node"), "near")
-        step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        step = stage_table(step, "step")
-        jump = step.select(F.col("node").alias("label"), F.col("label").alias("above"))
-        jumped = stage_table(step.join(jump, "label", "left").select("node", "old", F.coalesce("above", "label").alias("label")), "labels")
-        drop_staged(last, near, step)
-        last = jumped
-        if not last.filter("label <> old").limit(1).count():
-            drop_staged(both)
-            return last.select("node", "label")
+    edges, rounds = stage_table(links.select("a", "b").filter("a <> b").distinct(), "links"), []
+    alone = links.filter("a = b").select(F.col("a").alias("node")).distinct()
+    while edges.limit(1).count():
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = stage_table(both.groupBy("a").agg(F.min("b").alias("near")).select(F.col("a").alias("node"), F.least("a", "near").alias("label")), "near")
+        above = least.select(F.col("node").alias("label"), F.col("label").alias("above"))
+        to = stage_table(least.join(above, "label").select("node", F.col("above").alias("label")), "labels")
+        ends = edges.join(to.select(F.col("node").alias("a"), F.col("label").alias("new_a")), "a").join(to.select(F.col("node").alias("b"), F.col("label").alias("new_b")), "b")
+        drawn = stage_table(ends.filter("new_a <> new_b").select(F.greatest("new_a", "new_b").alias("a"), F.least("new_a", "new_b").alias("b")).distinct(), "links")
+        drop_staged(edges, least)
+        rounds.append(to)
+        edges = drawn
+    if not rounds:
+        return alone.withColumn("label", F.col("node"))
+    labels = rounds[0]
+    for to in rounds[1:]:
+        labels = labels.join(to.select(F.col("node").alias("label"), F.col("label").alias("above")), "label", "left").select("node", F.coalesce("above", "label").alias("label"))
+    return labels.unionByName(alone.join(labels, "node", "left_anti").withColumn("label", F.col("node"))) if alone.limit(1).count() else labels
 
 
 def link_documents(docs: DataFrame, radius: int = 2) -> DataFrame:
