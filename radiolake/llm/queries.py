@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from radiolake.llm.importance import OP11_SQL, op11_importance_resampling
 from radiolake.llm.linededup import OP2_SQL, op2_line_chunks
 from radiolake.llm.media import op7_image_copies
 from radiolake.llm.mixing import op4_source_mix
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_nbest_pieces": op8_nbest_pieces,
     "op9_divergence_rules": op9_divergence_rules,
     "op10_simhash_bktree": op10_simhash_bktree,
+    "op11_importance_resampling": op11_importance_resampling,
 }
 
 OP1_SQL = r"""
@@ -43,4 +45,5 @@ FROM f
 ORACLE_SQL = {
     "op1_warc": OP1_SQL,
     "op2_line_chunks": OP2_SQL,
+    "op11_importance_resampling": OP11_SQL,
 }
