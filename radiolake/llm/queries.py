@@ -13,6 +13,7 @@ from radiolake.llm.rules import op9_divergence_rules
 from radiolake.llm.sharding import op3_feistel_sharding
 from radiolake.llm.simhash import op10_simhash_bktree
 from radiolake.llm.warc import op1_warc
+from radiolake.llm.whitening import op12_embedding_whitening
 
 QUERIES = {
     "op1_warc": op1_warc,
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_divergence_rules": op9_divergence_rules,
     "op10_simhash_bktree": op10_simhash_bktree,
     "op11_importance_resampling": op11_importance_resampling,
+    "op12_embedding_whitening": op12_embedding_whitening,
 }
 
 OP1_SQL = r"""
