@@ -9,6 +9,7 @@ from radiolake.llm.mixing import op4_source_mix
 from radiolake.llm.pieces import op8_nbest_pieces
 from radiolake.llm.pii import op5_bootstrapped_pii
 from radiolake.llm.quality import op6_pu_quality
+from radiolake.llm.recurrent import op13_recurrent_scores
 from radiolake.llm.rules import op9_divergence_rules
 from radiolake.llm.sharding import op3_feistel_sharding
 from radiolake.llm.simhash import op10_simhash_bktree
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_simhash_bktree": op10_simhash_bktree,
     "op11_importance_resampling": op11_importance_resampling,
     "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_recurrent_scores": op13_recurrent_scores,
 }
 
 OP1_SQL = r"""
