@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from radiolake.functions.mesh import degrees_of, distance_km, first_known, has_markers, has_position, hex_id, known_id
 from radiolake.operators.state import is_active
+from radiolake.sources import decode
 
 #: Texts that have all of these mark their sender as a bulletin board.
 BOARD_MARKERS = ("TC", "BBS", "Commands")
@@ -54,6 +55,46 @@ def fold_nodes(packets: DataFrame, markers: tuple[str, ...] = BOARD_MARKERS) ->
     )
 
 
+def latest_seqs(messages: DataFrame, markers: tuple[str, ...] = BOARD_MARKERS) -> DataFrame:
+    """Per node the ``seq`` of the packet that decides each field; only routing fields, and the payloads of two kinds, are read.
+
+    All aggregates are longs, so this is a hash aggregation whose rows are as small as its keys, combined before the shuffle.
+    """
+    kind, seq = F.col("type"), F.col("seq")
+    rows = decode.routed(messages).filter(kind.isin(*FOLDED))
+    rows = decode.parsed(rows, F.when(kind == "nodeinfo", F.col("payload")), decode.NODEINFO)
+    marked = has_markers(F.from_json(F.when(kind == "text", F.col("payload")), decode.TEXT)["text"], *markers)
+    rows = rows.withColumn("id", F.when(kind == "nodeinfo", known_id(F.col("id"))).otherwise(F.col("from"))).filter("id is not null")
+    sets = {
+        "known": kind != "text", "heard": kind != "text", "texted": kind == "text", "board": marked, "role": kind == "nodeinfo",
+        "hardware": first_known(F.col("hardware"), F.col("hw_model")).isNotNull(), "longname": first_known(F.col("longname"), F.col("long_name")).isNotNull(),
+        "shortname": first_known(F.col("shortname"), F.col("short_name")).isNotNull(), **{k: kind == k for k in ("position", "telemetry", "neighborinfo")},
+    }
+    return rows.groupBy("id").agg(*[(F.min if k == "known" else F.max)(F.when(v, seq)).alias(f"{k}_seq") for k, v in sets.items()])
+
+
+def fold_log(messages: DataFrame, markers: tuple[str, ...] = BOARD_MARKERS) -> DataFrame:
+    """``fold_nodes`` of a log of messages in two phases: which packet decides each field, then only those packets are decoded.
+
+    The first phase's exchange serves both its uses, so its columns are the same in both. The second reads the log again through a semi join
+    with the deciding packets, at most eleven a node: a broadcast, or a filter on the scan, as their number allows.
+    """
+    seqs = latest_seqs(messages, markers)
+    of = [c for c in seqs.columns if c != "id"]
+    deciding = seqs.select(F.explode(F.array(*of)).alias("seq")).filter("seq is not null")
+    packets = node_key(decode.typed(decode.envelopes(messages.join(deciding, "seq", "left_semi"))))
+    values = [v.alias(k) for k, (v, _) in field_values().items()]
+    found = packets.groupBy("id").agg(F.collect_list(F.struct("seq", "ts_us", *values)).alias("found"))  # a node's deciding packets, at most eleven
+    rows = seqs.join(found, "id")
+
+    def decided(field: str) -> Column:
+        return F.get(F.filter("found", lambda x: x["seq"] == F.col(f"{field}_seq")), F.lit(0))
+
+    heard = [F.when(F.col(f"{c}_seq").isNotNull(), F.struct(F.col(f"{c}_seq").alias("seq"), decided(c)["ts_us"].alias("ts_us"))).alias(c) for c in ("heard", "texted")]
+    fields = [x for k in FIELDS for x in (decided(k)[k].alias(k), F.col(f"{k}_seq"))]
+    return rows.select("id", "known_seq", *heard, "board_seq", *fields)
+
+
 def merge_nodes(one: DataFrame, two: DataFrame) -> DataFrame:
     """Folds of two parts of a log, in any order, as the fold of both."""
     both = one.alias("a").join(two.alias("b"), "id", "full")

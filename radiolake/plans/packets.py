@@ -45,8 +45,12 @@ def typed_packets(spark: SparkSession, sf: str) -> DataFrame:
     return model.packets(model.messages(spark, sf))
 
 
+def subscribed(spark: SparkSession, sf: str) -> DataFrame:
+    return decode.subscribed(model.messages(spark, sf), model.TOPICS)
+
+
 def current(spark: SparkSession, sf: str) -> DataFrame:
-    return nodes.known_nodes(nodes.fold_nodes(typed_packets(spark, sf)), now_us())
+    return nodes.known_nodes(nodes.fold_log(subscribed(spark, sf)), now_us())
 
 
 def flat(records: DataFrame, *more: str) -> DataFrame:
@@ -71,8 +75,8 @@ def packet_nodes(spark, sf):
 @query(ORACLE_SQL["packet_nodes"])
 def packet_nodes_in_parts(spark, sf):
     """The same from two parts of the log, folded apart and merged."""
-    p = typed_packets(spark, sf)
-    parts = [nodes.fold_nodes(p.filter(F.col("seq") % 3 == 0)), nodes.fold_nodes(p.filter(F.col("seq") % 3 != 0))]
+    p = subscribed(spark, sf)
+    parts = [nodes.fold_log(p.filter(F.col("seq") % 3 == 0)), nodes.fold_log(p.filter(F.col("seq") % 3 != 0))]
     return flat(nodes.node_records(nodes.known_nodes(nodes.merge_nodes(*parts), now_us())))
 
 

@@ -28,6 +28,12 @@ LOGGED_ONLY = ("mapreport", "routing", "unknown")
 PAYLOADS = {"position": POSITION, "nodeinfo": NODEINFO, "text": TEXT, "traceroute": TRACEROUTE, "neighborinfo": NEIGHBORINFO, "telemetry": "map<string,string>"}
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """A batch table of fewer partitions than cores, dealt out to all of them, as decoding costs far more than moving the rows; else as it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def subscribed(messages: DataFrame, topics: list[str]) -> DataFrame:
     """Messages of any of the topic filters."""
     wanted = F.lit(False)
@@ -36,10 +42,28 @@ def subscribed(messages: DataFrame, topics: list[str]) -> DataFrame:
     return messages.filter(wanted)
 
 
+#: What decides which node a packet touches, and how.
+ROUTING = "`from` long, type string, payload string"
+
+
+def parsed(rows: DataFrame, document: Column, fields: str) -> DataFrame:
+    """``rows`` with the fields of a JSON column, of nulls where it is none.
+
+    As the output of a generator, each document is parsed once; as a struct, the optimizer would parse it once a field that is used.
+    """
+    return rows.select("*", F.inline(F.array(F.from_json(document, fields))))
+
+
+def routed(messages: DataFrame) -> DataFrame:
+    """JSON messages ``(seq, ts_us, topic, body)`` as (seq, ts_us, from, type, payload), payloads undecoded."""
+    rows = messages.filter(F.col("topic").contains("/2/json/")).select("seq", "ts_us", F.col("body").cast("string").alias("__body"))
+    return parsed(rows, F.col("__body"), ROUTING).select("seq", "ts_us", hex_id(F.col("from")).alias("from"), F.coalesce("type", F.lit("unknown")).alias("type"), "payload")
+
+
 def envelopes(messages: DataFrame) -> DataFrame:
     """JSON messages ``(seq, topic, body)`` with envelope columns and hex ids; bad JSON gives kind ``unknown``."""
-    rows = messages.filter(F.col("topic").contains("/2/json/")).withColumn("m", F.from_json(F.col("body").cast("string"), ENVELOPE))
-    rows = rows.select(*[c for c in messages.columns if c != "body"], "m.*")
+    rows = messages.filter(F.col("topic").contains("/2/json/"))
+    rows = parsed(rows, F.col("body").cast("string"), ENVELOPE).drop("body")
     return rows.withColumn("from", hex_id(F.col("from"))).withColumn("to", hex_id(F.col("to"))).withColumn("type", F.coalesce("type", F.lit("unknown")))
 
 

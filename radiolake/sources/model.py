@@ -26,6 +26,7 @@ HARDWARE = (
 #: Codes of the hardware that there is a photo of, ``<name>.png``.
 PHOTOS = (3, 4, 5, 7, 9, 10, 12, 16, 17, 18, 26, 30, 43, 44, 47, 48, 49, 50, 51, 53, 57, 58, 63, 255)
 EVERYONE = "ffffffff"
+TOPICS = ["msh/XX/2/json/#"]
 #: The views' clock; the model's events end on 2024-01-30.
 NOW = "2024-01-29 12:00:00"
 LATER = "2024-01-31 00:30:00"
@@ -54,7 +55,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     Kinds follow the event types; some packets lack a payload or a field, some bodies are broken, some
     topics are not subscribed to, and some nodes announce another id than their own.
     """
-    e = events(spark, sf_dir)
+    e = decode.spread(events(spark, sf_dir))
     seq, num, k, value = F.col("seq"), F.col("from_num"), F.col("k"), F.col("value")
     every = lambda n, r=0: seq % n == r
     kind = F.col("kind")
@@ -84,7 +85,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def packets(messages: DataFrame) -> DataFrame:
     """Subscribed messages as envelopes with typed payloads."""
-    return decode.typed(decode.envelopes(decode.subscribed(messages, ["msh/XX/2/json/#"])))
+    return decode.typed(decode.envelopes(decode.subscribed(messages, TOPICS)))
 
 
 def hardware(spark: SparkSession) -> DataFrame:
