@@ -55,16 +55,21 @@ def fold_nodes(packets: DataFrame, markers: tuple[str, ...] = BOARD_MARKERS) ->
     )
 
 
+def touches(messages: DataFrame) -> DataFrame:
+    """Of a log of JSON messages what touches a node: (id, seq, ts_us, type, payload) with the fields of nodeinfo payloads; only routing fields and these are decoded."""
+    kind = F.col("type")
+    rows = decode.routed(messages).filter(kind.isin(*FOLDED))
+    rows = decode.parsed(rows.withColumnRenamed("from", "sent_by"), F.when(kind == "nodeinfo", F.col("payload")), decode.NODEINFO)
+    return rows.withColumn("id", F.when(kind == "nodeinfo", known_id(F.col("id"))).otherwise(F.col("sent_by"))).drop("sent_by").filter("id is not null")
+
+
 def latest_seqs(messages: DataFrame, markers: tuple[str, ...] = BOARD_MARKERS) -> DataFrame:
     """Per node the ``seq`` of the packet that decides each field; only routing fields, and the payloads of two kinds, are read.
 
     All aggregates are longs, so this is a hash aggregation whose rows are as small as its keys, combined before the shuffle.
     """
-    kind, seq = F.col("type"), F.col("seq")
-    rows = decode.routed(messages).filter(kind.isin(*FOLDED))
-    rows = decode.parsed(rows, F.when(kind == "nodeinfo", F.col("payload")), decode.NODEINFO)
+    kind, seq, rows = F.col("type"), F.col("seq"), touches(messages)
     marked = has_markers(F.from_json(F.when(kind == "text", F.col("payload")), decode.TEXT)["text"], *markers)
-    rows = rows.withColumn("id", F.when(kind == "nodeinfo", known_id(F.col("id"))).otherwise(F.col("from"))).filter("id is not null")
     sets = {
         "known": kind != "text", "heard": kind != "text", "texted": kind == "text", "board": marked, "role": kind == "nodeinfo",
         "hardware": first_known(F.col("hardware"), F.col("hw_model")).isNotNull(), "longname": first_known(F.col("longname"), F.col("long_name")).isNotNull(),

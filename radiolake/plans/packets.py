@@ -93,6 +93,35 @@ def packet_nodes_stream(spark, sf):
     return flat(nodes.node_records(nodes.known_nodes(fold.latest_nodes(spark, f"{base}/changes"), now_us())))
 
 
+TRANSITIONS = f"""WITH {N}, k AS (SELECT id, min(ts_us) AS known_us FROM touch WHERE type <> 'text' GROUP BY id),
+g AS (SELECT id, ts_us, lag(ts_us) OVER w AS before_us, lead(ts_us) OVER w AS after_us FROM touch JOIN k USING (id) WHERE ts_us >= known_us WINDOW w AS (PARTITION BY id ORDER BY ts_us))
+SELECT id, 'appeared' AS event, ts_us AS at_us, NULL::BIGINT AS since_us FROM g WHERE before_us IS NULL UNION ALL SELECT id, 'returned', ts_us, ts_us - before_us FROM g WHERE ts_us - before_us >= 7200000000
+UNION ALL SELECT id, 'expired', ts_us + 7200000000, NULL FROM g WHERE coalesce(after_us - ts_us >= 7200000000, ts_us + 7200000000 <= epoch_us(TIMESTAMP '{model.LATER}'))"""
+
+
+@query(TRANSITIONS)
+def node_transitions(spark, sf):
+    """When every node appeared, expired by silence, and returned."""
+    from radiolake.streaming import activity
+
+    return activity.transitions(activity.heard(subscribed(spark, sf)), F.unix_micros(F.lit(model.LATER).cast("timestamp")))
+
+
+@query(TRANSITIONS)
+def node_transitions_stream(spark, sf):
+    """The same from a stream with timers, in micro-batches; a last tick of the clock moves the watermark past the log's end."""
+    from radiolake.streaming import activity, fold
+
+    base = f"{snapshot.shared_dir(spark)}/radiolake/activity-{spark.sql('select uuid()').first()[0]}"
+    rows = activity.heard(subscribed(spark, sf))
+    for part in ("ts < '2024-01-10'", "ts >= '2024-01-10' and ts < '2024-01-20'", "ts >= '2024-01-20'"):  # two files each, newer than those before
+        rows.filter(part).repartition(2).write.mode("append").parquet(f"{base}/heard")
+    tick = F.lit(model.LATER).cast("timestamp") + F.expr("interval 10 minutes")
+    spark.range(1).select(F.lit("").alias("id"), tick.alias("ts"), F.unix_micros(tick).alias("ts_us"), F.lit(False).alias("makes_known")).write.mode("append").parquet(f"{base}/heard")
+    activity.transitions_stream(fold.read_log(spark, f"{base}/heard", rows.schema, files_per_batch=2), f"{base}/out", f"{base}/offsets").awaitTermination()
+    return activity.read_transitions(spark, f"{base}/out")
+
+
 @query(f"WITH {N}, h AS (SELECT * FROM (VALUES {', '.join(f'''({c}, '{n}', {f"'{n}.png'" if c in model.PHOTOS else 'NULL'})''' for c, n in model.HARDWARE)}) v(hardware, name, photo)) SELECT id, name, photo FROM n LEFT JOIN h USING (hardware)")
 def node_hardware(spark, sf):
     """Hardware names and photos of nodes; null for codes that are not listed."""

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from radiolake.operators import nodes
-from radiolake.plans import registry
+from radiolake.plans import packets, registry  # noqa: F401
 from radiolake.sources import decode, model, snapshot
 from radiolake.streaming import fold
 
@@ -62,8 +62,12 @@ def replay(messages):
     return known
 
 
+def messages_of(spark, messages):
+    return spark.createDataFrame(messages, "seq long, ts_us long, topic string, body string")
+
+
 def packets_of(spark, messages):
-    return model.packets(spark.createDataFrame(messages, "seq long, ts_us long, topic string, body string"))
+    return model.packets(messages_of(spark, messages))
 
 
 def as_dict(folded):
@@ -81,6 +85,12 @@ def test_fold_is_the_replay(spark, seed):
     assert as_dict(nodes.fold_nodes(packets_of(spark, messages))) == replay(messages)
     parts = [nodes.fold_nodes(packets_of(spark, messages[i::3])) for i in range(3)]
     assert as_dict(nodes.merge_nodes(parts[2], nodes.merge_nodes(parts[1], parts[0]))) == replay(messages)
+    log = messages_of(spark, messages)
+    assert as_dict(nodes.fold_log(log)) == replay(messages)
+    assert as_dict(nodes.merge_nodes(nodes.fold_log(log.filter("seq % 3 = 1")), nodes.fold_log(log.filter("seq % 3 <> 1")))) == replay(messages)
+    assert nodes.fold_log(log.limit(0)).count() == 0
+    plan = nodes.fold_log(log)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
     twice = messages + messages[:40]
     assert as_dict(nodes.fold_nodes(packets_of(spark, twice))) == replay(messages)
 
