@@ -27,7 +27,7 @@ import hashlib
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, replace
 from itertools import repeat
 
 import numpy as np
@@ -37,14 +37,14 @@ from pyspark.sql import functions as F
 
 from radiolake.llm.shared import broadcast_if_small, stage_table, table
 
-FREQUENT = 1 << 17
+FREQUENT = 1 << 18
 HEAD, WIDTH, TAILS = 512, 32, 32
 CLASSES = HEAD // WIDTH + TAILS
 HIDDEN = 16
 WINDOW = 16
 #: Parts of the training texts that the rounds take, in 16ths.
 ROUNDS = (1, 2, 13)
-CHUNK_BYTES, CHUNK_TOKENS = 8 << 20, 3 << 20
+CHUNK_BYTES, CHUNK_TOKENS = 8 << 20, 6 << 20
 END = b""
 COUNTED = pa.schema([("token", pa.binary()), ("c", pa.int64())])
 
@@ -89,38 +89,28 @@ def token_counts(texts: DataFrame) -> DataFrame:
 
 @dataclass
 class Vocabulary:
-    """Counts of the frequent tokens, in falling order, and each tail class's (N, V)."""
+    """Counts of the frequent tokens, in falling order, the tail class of each, and every tail class's (N, V)."""
 
     tokens: list[bytes]
     counts: np.ndarray
     tails: np.ndarray
     n: int
     v: int
-    ids: dict[bytes, int] = field(default_factory=dict)
     tail: np.ndarray | None = None
 
-    def ready(self) -> Vocabulary:
-        """Fill what is derived: ids of tokens and the tail class of each."""
-        if not self.ids:
-            self.ids = {t: i for i, t in enumerate(self.tokens)}
-            self.tail = np.array([tail_class(t) for t in self.tokens] or [0], np.int64)
-        return self
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"ids": {}, "tail": None}
-
-    def numbers(self, tokens: list[bytes]) -> np.ndarray:
-        """Ids of tokens; of those that aren't frequent ``-1 - class``."""
-        out = np.fromiter(map(self.ids.get, tokens, repeat(-1)), np.int64, len(tokens))
-        rare = np.flatnonzero(out < 0)
-        out[rare] = [-1 - tail_class(tokens[i]) for i in rare.tolist()]
-        return out
+    def __post_init__(self) -> None:
+        if self.tail is None:
+            self.tail = np.array([tail_class(t) for t in self.tokens] or [0], np.int16)
+
+    def by_number(self) -> Vocabulary:
+        """All that is needed where tokens are numbers already."""
+        return replace(self, tokens=[])
 
     def units(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """What the network reads and predicts: (class, place in class) of each; the place is -1 in tail classes."""
         known = np.maximum(numbers, 0)
         cls = np.where(numbers < 0, -1 - numbers, np.where(known < HEAD, known // WIDTH, self.tail[known]))
-        return cls, np.where((numbers >= 0) & (numbers < HEAD), known % WIDTH, -1)
+        return cls.astype(np.int16), np.where((numbers >= 0) & (numbers < HEAD), known % WIDTH, -1).astype(np.int16)
 
     def tail_log(self, numbers: np.ndarray) -> np.ndarray:
         """Natural log of a frequent token's share of its tail class; 0 for others."""
@@ -130,6 +120,24 @@ class Vocabulary:
         return out
 
 
+_ids: dict[str, object] = {}
+
+
+def ids_of(tokens: list[bytes]) -> dict[bytes, int]:
+    """Tokens' places in their list; kept for the next task of a worker that has the same list."""
+    if _ids.get("of") is not tokens:
+        _ids.update(of=tokens, ids={t: i for i, t in enumerate(tokens)})
+    return _ids["ids"]
+
+
+def numbers_of(tokens: list[bytes], ids: dict[bytes, int]) -> np.ndarray:
+    """Ids of tokens; of those that aren't frequent ``-1 - class``."""
+    out = np.fromiter(map(ids.get, tokens, repeat(-1)), np.int32, len(tokens))
+    rare = np.flatnonzero(out < 0)
+    out[rare] = [-1 - tail_class(tokens[i]) for i in rare.tolist()]
+    return out
+
+
 def vocabulary(counts: DataFrame) -> Vocabulary:
     """From the staged counts: their sums, the frequent tokens, and sums of every tail class over all others."""
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
@@ -188,7 +196,7 @@ class Network:
         return cls(p)
 
     def inputs(self, cls: np.ndarray, place: np.ndarray) -> np.ndarray:
-        return np.where(place >= 0, cls * WIDTH + place, HEAD + cls - HEAD // WIDTH)
+        return np.where(place >= 0, cls * WIDTH + place, HEAD + cls - HEAD // WIDTH).astype(np.int16)
 
     def states(self, x: np.ndarray, h: np.ndarray, kept: np.ndarray | None = None) -> np.ndarray:
         """States (time, lane, hidden) behind each input; ``kept`` gets, of each, the state before, both gates, what was reset, and the new part."""
@@ -327,9 +335,10 @@ def windows(net: Network, vocabulary: Vocabulary, numbers: np.ndarray, lengths:
     order = np.array([i for own in dealt for i in rng.permutation(own)], np.int64)
     starts, sizes = (np.cumsum(lengths) - lengths)[order], lengths[order]
     begins = np.cumsum(sizes) - sizes
-    back = np.repeat(starts - begins, sizes) + np.arange(len(numbers))  # lanes one behind the other
+    back = np.repeat((starts - begins).astype(np.int32), sizes)
+    back += np.arange(len(numbers), dtype=np.int32)  # lanes one behind the other
     cls, place = vocabulary.units(numbers[back])
-    previous = np.empty(len(numbers), np.int64)
+    previous = np.empty(len(numbers), np.int16)
     previous[1:] = net.inputs(cls[:-1], place[:-1])
     previous[begins] = net.BEGIN
     spans = np.array([lengths[own].sum() for own in dealt], np.int64)
@@ -339,7 +348,7 @@ def windows(net: Network, vocabulary: Vocabulary, numbers: np.ndarray, lengths:
         at = k + np.arange(WINDOW)[:, None]
         on = at < spans[:open_]
         where = np.minimum(first[:open_] + at, len(numbers) - 1)
-        yield np.where(on, previous[where], net.BEGIN), cls[where], place[where], np.where(on, back[where], -1)
+        yield np.where(on, previous[where], net.BEGIN).astype(np.int64), cls[where].astype(np.int64), place[where].astype(np.int64), np.where(on, back[where], -1)
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
@@ -356,17 +365,16 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterato
 
 def numbered(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """Texts as numbers of tokens, with the base's sums over frequent tokens, and their other tokens, counted; staged, with a number a row."""
-    base_all = float(vocabulary.n + vocabulary.v + 1)
+    shared, counts, base_all = texts.sparkSession.sparkContext.broadcast(vocabulary.tokens), vocabulary.counts, float(vocabulary.n + vocabulary.v + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = vocabulary.ready()
-        logs = np.append(np.log10((words.counts + 1.0) / base_all), 0.0)
+        ids, logs = ids_of(shared.value), np.append(np.log10((counts + 1.0) / base_all), 0.0)
         for piece in pieces(batches, "text", CHUNK_BYTES):
             tokens = [tokens_of(t) for t in piece.column("text").to_pylist()]
             lengths = np.array([len(t) for t in tokens])
             ends = np.append(0, np.cumsum(lengths))
             flat = [t for own in tokens for t in own]
-            numbers = words.numbers(flat)
+            numbers = numbers_of(flat, ids)
             of, known = np.repeat(np.arange(len(tokens)), lengths), numbers >= 0
             rare: list[Counter[bytes]] = [Counter() for _ in tokens]
             for i in np.flatnonzero(~known).tolist():
@@ -387,10 +395,10 @@ def numbered(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 def flat_ids(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """(numbers, texts' lengths) of a piece."""
     ids = piece.column("ids")
-    return ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.diff(np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1].astype(np.int64))
+    return ids.flatten().to_numpy(zero_copy_only=False), np.diff(np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1].astype(np.int64))
 
 
-def lanes_for(tokens: int, texts: int, most: int) -> int:
+def lanes_for(tokens: int, texts: int, most: int = 512) -> int:
     return int(np.clip(tokens // (WINDOW * 120), min(16, max(1, texts)), min(most, max(1, texts))))
 
 
@@ -402,14 +410,13 @@ def trained(rows: DataFrame, start: Network, vocabulary: Vocabulary, rate: float
         return np.concatenate([p[k].ravel() for k in names]).astype(np.float64)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = vocabulary.ready()
         net = Network({k: v.copy() for k, v in start.p.items()})
         adam, seen = Adam(net.p, rate), 0
         for piece in pieces(batches, "ids", CHUNK_TOKENS):
             numbers, lengths = flat_ids(piece)
-            lanes = lanes_for(len(numbers), len(lengths), 512)
+            lanes = lanes_for(len(numbers), len(lengths))
             h = np.zeros((lanes, HIDDEN), np.float32)
-            for x, cls, place, position in windows(net, words, numbers, lengths, lanes):
+            for x, cls, place, position in windows(net, vocabulary, numbers, lengths, lanes):
                 g, h, _ = net.gradients(x, h[: x.shape[1]], cls, place, position >= 0)
                 adam.step(g, int((position >= 0).sum()), lanes * WINDOW)
             seen += len(numbers)
@@ -449,12 +456,11 @@ def with_model(rows: DataFrame, net: Network, vocabulary: Vocabulary) -> DataFra
     """Rows with ``model``: the sum, over a text's tokens, of log10 of their class and of their share of it, but for the shares of tokens that aren't frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = vocabulary.ready()
         for piece in pieces(batches, "ids", CHUNK_TOKENS):
             numbers, lengths = flat_ids(piece)
-            logs, lanes = words.tail_log(numbers), lanes_for(len(numbers), len(lengths), 1024)
+            logs, lanes = vocabulary.tail_log(numbers), lanes_for(len(numbers), len(lengths), 1024)
             h = np.zeros((lanes, HIDDEN), np.float32)
-            for x, cls, place, position in windows(net, words, numbers, lengths, lanes):
+            for x, cls, place, position in windows(net, vocabulary, numbers, lengths, lanes):
                 states = net.states(x, h[: x.shape[1]])
                 h, on = states[-1], position >= 0
                 logs[position[on]] += net.logs(states[on], cls[on], place[on])
@@ -472,7 +478,7 @@ def score(docs: DataFrame, training: Column | None = None) -> DataFrame:
     counts = stage_table(token_counts(texts.filter("learnt")), "recurrent-counts")
     words = vocabulary(counts)
     rows = numbered(texts, words)
-    net = fitted(rows, words)
+    net = fitted(rows, words.by_number())
     # tokens that aren't frequent: none is more than one in FREQUENT of all
     entries = rows.select("row", F.inline("rare"))
     tails = F.array(*[F.lit(float(x)) for x in words.tails.sum(0) + 1])
@@ -484,7 +490,7 @@ def score(docs: DataFrame, training: Column | None = None) -> DataFrame:
         F.sum(F.col("n") * F.log10(more / F.get(tails, tail.cast("int")))).alias("model_rare"),
     )
     zero = F.lit(0.0)
-    return with_model(rows, net, words).join(sums, "row", "left").select(
+    return with_model(rows, net, words.by_number()).join(sums, "row", "left").select(
         "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(words.n).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("base_rare", zero)).alias("base_score"), (F.col("model") + F.coalesce("model_rare", zero)).alias("score"),
     )

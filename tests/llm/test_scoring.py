@@ -208,7 +208,7 @@ def small():
     tails = np.zeros((2, recurrent.TAILS))
     for t, c in zip(tokens[recurrent.HEAD :], counts[recurrent.HEAD :].tolist(), strict=True):
         tails[:, recurrent.tail_class(t) - recurrent.HEAD // recurrent.WIDTH] += c, 1
-    return recurrent.Vocabulary(tokens, counts, tails, int(counts.sum()), 900).ready()
+    return recurrent.Vocabulary(tokens, counts, tails, int(counts.sum()), 900)
 
 
 def test_token_probabilities_sum_to_one(small):
@@ -225,7 +225,7 @@ def test_token_probabilities_sum_to_one(small):
 def test_gradients(small):
     rng = np.random.default_rng(2)
     net = recurrent.Network.first(small, 5)
-    numbers, lengths = small.numbers([b"w%d" % i for i in rng.zipf(1.3, 90) % 1000]), np.array([30, 1, 25, 34])
+    numbers, lengths = recurrent.numbers_of([b"w%d" % i for i in rng.zipf(1.3, 90) % 1000], recurrent.ids_of(small.tokens)), np.array([30, 1, 25, 34])
     x, cls, place, position = next(recurrent.windows(net, small, numbers, lengths, 3))
     h = rng.normal(size=(x.shape[1], recurrent.HIDDEN)).astype(np.float32)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
@@ -245,7 +245,7 @@ def test_state_is_carried_and_neighbours_do_not_matter(small):
     rng = np.random.default_rng(3)
     net = recurrent.Network.first(small, 6)
     lengths = np.array([70, 1, 33, 5, 16, 200])
-    numbers = small.numbers([b"w%d" % i for i in rng.integers(0, 1000, lengths.sum())])
+    numbers = recurrent.numbers_of([b"w%d" % i for i in rng.integers(0, 1000, lengths.sum())], recurrent.ids_of(small.tokens))
     for lanes in (1, 2, 6):
         logs, h = np.zeros(len(numbers)), np.zeros((lanes, recurrent.HIDDEN), np.float32)
         for x, cls, place, position in recurrent.windows(net, small, numbers, lengths, lanes):
