@@ -11,7 +11,8 @@ sorted, so no task sees more than its share.
 
 Defined cases: null key values hash and sort like any other value; rows that are equal in every
 key column are interchangeable and share the bucket's consecutive numbers; an empty table stays
-empty; input columns named like an output column are replaced.
+empty; input columns named like an output column are replaced, and those that begin with two underscores are left out
+(but for the keys).
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from radiolake.llm.shared import crc32_text, table, text_hash
+from radiolake.llm.shared import crc32_text, plain, table, text_hash
 
 #: Groups among which rows are numbered; bounds the only table that is broadcast.
 BUCKETS = 4096
@@ -65,7 +66,7 @@ def permuted(x: Column, n: int, seed: int = 0, rounds: int = 6) -> Column:
 
 def number_rows(df: DataFrame, keys: Sequence[Column], name: str = "row_number", buckets: int = BUCKETS) -> tuple[DataFrame, int]:
     """Add the row's global number, from 0, in the order of (bucket, hash, keys); also the row count."""
-    df = df.withColumn("__hash", F.xxhash64(*keys)).withColumn("__bucket", F.pmod("__hash", F.lit(buckets)).cast("int"))
+    df = df.drop("__bucket", "__first", "__rank").withColumn("__hash", F.xxhash64(*keys)).withColumn("__bucket", F.pmod("__hash", F.lit(buckets)).cast("int"))
     counts = sorted((r[0], r[1]) for r in df.groupBy("__bucket").count().collect())  # one row a bucket at most
     first, total = [], 0
     for bucket, n in counts:
@@ -85,7 +86,7 @@ def shard_rows(df: DataFrame, shards: int, keys: Sequence[Column], seed: int = 0
     df, n = number_rows(df.drop("shard", "slot"), keys, "__number", buckets)
     at = permuted(F.col("__number"), n, seed)
     df = df.withColumn("__at", at)
-    return df.withColumn("shard", (F.col("__at") % shards).cast("int")).withColumn("slot", F.expr(f"__at div {shards}")).drop("__number", "__at")
+    return plain(df.withColumn("shard", (F.col("__at") % shards).cast("int")).withColumn("slot", F.expr(f"__at div {shards}")))
 
 
 def op3_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

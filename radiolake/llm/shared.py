@@ -23,6 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def plain(docs: DataFrame) -> DataFrame:
+    """``docs`` without columns that begin with two underscores: these names are the operators' own."""
+    return docs.drop(*[c for c in docs.columns if c.startswith("__")])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a new temporary one only where all runs in one local process."""
     path = spark.conf.get("spark.checkpoint.dir", None)

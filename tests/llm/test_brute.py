@@ -130,6 +130,64 @@ def test_mix_shards(spark, documents):
     assert mixing.plan_mix(docs, shard_words=5000).shards == math.ceil(sum(s for s, _ in per_doc) / 5000)
 
 
+def test_mix_of_many_shards(spark):
+    """More shards than a source has blocks: none stays empty (a shard has 16 documents on average), and each has its share of either source."""
+    rows = [(i, f"word {i} and more", "ab"[i % 5 == 0]) for i in range(80_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    planned = mixing.plan_mix(docs.filter("source = 'a'"), 4000)
+    assert planned.parts >= 32000 / sum(n // planned.parts for _, n in planned.quotas)
+    found = Counter(r["shard"] for r in mixing.mix(docs.filter("source = 'a'"), 4000).select("shard").collect())
+    assert len(found) == 4000 and max(found.values()) <= 48
+    both = Counter((r["shard"], r["source"]) for r in mixing.mix(docs, 600).select("shard", "source").collect())
+    assert len({k for k, _ in both}) == 600 and max(both.values()) < 4 * sum(both.values()) / 600
+
+
+def test_leaves_are_the_tree():
+    quotas, shards = np.array([50, 0, 333]), 13
+    per_shard = mixing.split_quotas(quotas, shards, 5)
+    source = np.repeat(np.arange(3), quotas)
+    place = np.concatenate([np.arange(n) for n in quotas])
+    expected = np.concatenate([np.repeat(np.arange(shards), per_shard[:, i]) for i in range(3)])
+    order = np.random.default_rng(1).permutation(len(place))
+    assert (mixing.leaves(quotas, shards, 5, source[order], place[order]) == expected[order]).all()
+
+
+NAMES = ["taken", "draw", "draws", "size", "target", "source_size", "parts", "block", "words", "fp", "node", "label", "key", "first", "hash", "place", "keys"]
+
+
+@pytest.mark.parametrize("operator", ["mix", "drop_similar", "drop_near_duplicates", "shard_rows"])
+def test_columns_of_clashing_names(spark, hostile, operator):
+    """An operator's own names in its input: with underscores they are left out, without they stay."""
+    from radiolake.llm import similar
+
+    own = ["__draw", "__draws", "__block", "__node", "__first", "__hash", "__fp", "__kept", "__id", "__size", "__number", "__rank", "__at", "__source", "__target", "__order", "__bucket"]
+    wide = hostile.withColumns({n: F.lit(n) for n in [*NAMES, *own]})
+    run = {"mix": mixing.mix, "drop_similar": similar.drop_similar, "drop_near_duplicates": simhash.drop_near_duplicates, "shard_rows": lambda d: sharding.shard_rows(d, 3, [F.col("doc_id"), F.col("text")])}[operator]
+    out = run(wide)
+    assert set(hostile.columns) | set(NAMES) <= set(out.columns) and not any(c.startswith("__") for c in out.columns)
+    rows = out.collect()
+    assert all(r[n] == n for r in rows for n in NAMES)
+    key = lambda r: tuple(map(str, (r[c] for c in hostile.columns)))
+    assert sorted(map(key, rows)) == sorted(map(key, run(hostile).collect()))
+
+
+def test_trees_hold_many_fingerprints(spark):
+    """Half the fingerprints of a table lie in shards of at least a hundred, whatever their number, and shards meet all pairs."""
+    rng = np.random.default_rng(12)
+    for n in (300, 5_000, 40_000):
+        fps = spark.createDataFrame([(int(x),) for x in rng.integers(-(2**63), 2**63 - 1, n)], "fp long")
+        sizes = [r["count"] for r in fps.select(F.explode(simhash.shard_keys(F.col("fp"), simhash.shard_bits(n))).alias("key")).groupBy("key").count().collect()]
+        assert sum(sizes) == 3 * n and np.median(sizes) >= 100 and max(sizes) < 2000
+    for bits in (0, 5, 21, 25, 32):
+        for _ in range(40):
+            a = int(rng.integers(0, 2**63))
+            b = a ^ (1 << int(rng.integers(0, 64))) ^ (1 << int(rng.integers(0, 64)))
+            rows = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in (a, b)], "fp long") if not _ % 20 else None
+            if rows is not None:
+                one, two = (set(r[0]) for r in rows.select(simhash.shard_keys(F.col("fp"), bits)).collect())
+                assert one & two
+
+
 def test_risk_and_its_gradient():
     rng = np.random.default_rng(4)
     x = np.hstack([rng.normal(size=(60, 3)), np.ones((60, 1))])
