@@ -1,7 +1,9 @@
 """SimHash fingerprints, linked within a Hamming radius through sharded BK-trees.
 
-A fingerprint's shards are named by pairs of its four 16-bit bands: two fingerprints that differ
-in at most two bits agree in at least two bands, so they meet in one of the six shards of either.
+Two fingerprints that differ in at most two bits agree in one of three blocks of 21, 21 and 22 bits, so they meet in one of the
+three shards of either, if a shard is named by a block, or by the leading bits of one. As many bits are taken as leave some
+hundreds of fingerprints a shard (``SHARD``), chosen from how many there are; a shorter name loses no link. (Where 21 bits
+leave more, beyond 500 million fingerprints, shards are named by the leading bits of pairs of four 16-bit bands, of which two agree.)
 A BK-tree (children keyed by their integer distance to the parent) is built for each shard, is
 shipped only to the tasks whose fingerprints belong there, and a search follows only the edges
 whose key is within the radius. A tree's size is bounded by ``MAX_TREE``: a larger shard is dealt
@@ -17,7 +19,7 @@ Defined cases: a null text has no words; a text without words has fingerprint ze
 any other; a text with fewer words than a shingle is one shingle; equal texts, and repeated rows,
 share a component; a row without doc_id takes part but never names a component unless its whole
 component has no doc_id (then it is null); other columns are kept by ``near_duplicates`` and
-``fingerprint``/``component_id`` replace input columns of that name.
+``fingerprint``/``component_id`` replace input columns of that name; columns that begin with two underscores are left out.
 """
 
 from __future__ import annotations
@@ -33,10 +35,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from radiolake.llm.shared import drop_staged, stage_table, table
+from radiolake.llm.shared import drop_staged, plain, stage_table, table
 
 BANDS = 4
-MAX_TREE = 4096
+BLOCKS = ((0, 21), (21, 21), (42, 22))
+SHARD, MAX_TREE = 256, 4096
+PAIR_BITS = 32
 
 
 def shingle_hashes(text: str | None, words_each: int = 3) -> np.ndarray:
@@ -120,10 +124,21 @@ def local_links(built: list[int], probes: list[int] | None, radius: int) -> list
     return [(x, top(x)) for x in parent if top(x) != x]
 
 
-def shard_keys(fp: Column) -> Column:
-    """The six (pair of bands, their 32 bits) of a fingerprint, as one long each."""
+def shard_bits(n: int) -> int:
+    """Bits of a shard's name that leave ``SHARD`` to twice as many of ``n`` evenly spread fingerprints in a shard."""
+    return min(PAIR_BITS, max(0, (n // SHARD).bit_length() - 1))
+
+
+def shard_keys(fp: Column, bits: int) -> Column:
+    """A fingerprint's shards: (which blocks, their leading bits), as one long each."""
+
+    def named(k: int, value: Column) -> Column:
+        return F.shiftleft(F.lit(k).cast("long"), PAIR_BITS).bitwiseOR(value)
+
+    if bits <= min(width for _, width in BLOCKS):
+        return F.array(*[named(k, F.shiftrightunsigned(fp, at + width - bits).bitwiseAND((1 << bits) - 1)) for k, (at, width) in enumerate(BLOCKS)])
     band = [F.shiftrightunsigned(fp, 16 * i).bitwiseAND(0xFFFF) for i in range(BANDS)]
-    return F.array(*[F.shiftleft(F.lit(k).cast("long"), 32).bitwiseOR(F.shiftleft(band[i], 16)).bitwiseOR(band[j]) for k, (i, j) in enumerate(combinations(range(BANDS), 2))])
+    return F.array(*[named(k, F.shiftrightunsigned(F.shiftleft(band[i], 16).bitwiseOR(band[j]), PAIR_BITS - bits)) for k, (i, j) in enumerate(combinations(range(BANDS), 2))])
 
 
 def dealt_cells(keyed: DataFrame, name: str, most: int) -> DataFrame:
@@ -141,8 +156,8 @@ def dealt_cells(keyed: DataFrame, name: str, most: int) -> DataFrame:
 def fingerprint_links(fps: DataFrame, radius: int = 2, max_tree: int = MAX_TREE) -> DataFrame:
     """Links (a, b), a > b, that connect the distinct fingerprints ``fps(fp)`` within ``radius`` <= 2."""
     if radius > 2:
-        raise ValueError("pairs of four bands reach two differing bits at most")
-    keyed = fps.select("fp", F.explode(shard_keys(F.col("fp"))).alias("key"))
+        raise ValueError("three blocks reach two differing bits at most")
+    keyed = fps.select("fp", F.explode(shard_keys(F.col("fp"), shard_bits(fps.count()))).alias("key"))
     cells = dealt_cells(keyed, "fp", max_tree)
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = cells.repartition(n, "key", "tree", "by").sortWithinPartitions("key", "tree", "by", "probe")
@@ -233,6 +248,7 @@ def drop_near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
     Rows that repeat a doc_id with texts of other components stand for themselves; a component
     without any doc_id keeps one row.
     """
+    docs = plain(docs)
     kept = link_documents(docs, radius).filter("doc_id <=> component_id").groupBy("label", "doc_id").agg(F.min("fp").alias("fp"))
     kept = stage_table(kept, "kept").withColumnsRenamed({"doc_id": "__id", "fp": "__kept"})
     rows = docs.withColumn("__fp", fingerprint3("text"))
