@@ -263,6 +263,22 @@ def decrypted_texts(spark, sf):
     return sent.select("seq", m.utf8_or_null(decode.decrypted_by_any(F.col("data"), KEYS, F.col("seq"), F.col("from_num"), reads)).alias("text"))
 
 
+def binary_packets_of(spark: SparkSession, sf: str) -> DataFrame:
+    return decode.binary(decode.subscribed(model.binary_messages(spark, sf, KEYS[::-1]), ["msh/XX/2/e/#", "msh/XX/2/map/#"]), KEYS)
+
+
+@query(f"WITH {P} SELECT seq, type, CASE WHEN type <> 'unknown' THEN from_id END AS from_id, CASE WHEN type <> 'unknown' THEN printf('%08x', CASE WHEN seq % 3 = 0 THEN num + 1 ELSE 4294967295 END) END AS to_id, CASE WHEN type <> 'unknown' THEN CAST(-k AS INTEGER) END AS rssi, CASE WHEN type = 'traceroute' THEN printf('%08x', k) || ',' || printf('%08x', k + 1) END AS route FROM p")
+def binary_packets(spark, sf):
+    """Binary envelopes, plain and under either of two keys; routes as hex ids."""
+    return binary_packets_of(spark, sf).select("seq", "type", F.col("from").alias("from_id"), F.col("to").alias("to_id"), "rssi", F.array_join("traceroute.route", ",").alias("route"))
+
+
+@query(f"WITH {N} SELECT {FLAT.replace('voltage', 'CAST(CAST(voltage AS FLOAT) AS DOUBLE) AS voltage')} FROM n")
+def binary_nodes(spark, sf):
+    """The node fold of binary packets: that of the same packets in JSON, with numbers of single precision."""
+    return flat(nodes.node_records(nodes.known_nodes(nodes.fold_nodes(binary_packets_of(spark, sf)), now_us())))
+
+
 PORT_VALUES = ", ".join(f"({p}, '{k}')" for p, k in decode.PORTS.items())
 
 

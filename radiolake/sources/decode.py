@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from radiolake.functions.mesh import hex_id, little_endian64, topic_matches, utf8_or_null
+from radiolake.functions.mesh import hex_id, little_endian64, strip_mark, topic_matches, utf8_or_null
+from radiolake.sources import wire
 
 ENVELOPE = (
     "id long, `from` long, `to` long, sender string, channel int, type string, timestamp long, rssi int, snr double, rx_time long, rx_rssi int, "
@@ -107,8 +109,8 @@ def xor(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else (np.frombuffer(x, np.uint8) ^ np.frombuffer(y, np.uint8)[: len(x)]).tobytes() for x, y in zip(a, b, strict=True)])
 
 
-def decrypted(data: Column, key: Column, packet_id: Column, sender: Column) -> Column:
-    """AES-CTR: the key stream is the encrypted counter blocks, made by the built-in block cipher."""
+def key_stream(length: Column, key: Column, packet_id: Column, sender: Column) -> Column:
+    """Counter mode's key stream: the encrypted counter blocks, made by the built-in block cipher."""
     nonce = F.concat(little_endian64(packet_id), F.substring(little_endian64(sender), 1, 4))
 
     def block(i: Column) -> Column:
@@ -116,11 +118,54 @@ def decrypted(data: Column, key: Column, packet_id: Column, sender: Column) -> C
         return F.hex(F.substring(F.aes_encrypt(counter, key, F.lit("ECB"), F.lit("PKCS")), 1, 16))
 
     # data of whole blocks has one block of key stream more than it needs
-    blocks = F.sequence(F.lit(0).cast("long"), F.ceil(F.length(data) / 16).cast("long"))
-    return xor(data, F.unhex(F.array_join(F.transform(blocks, block), "")))
+    return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.ceil(length / 16).cast("long")), block), ""))
+
+
+def decrypted(data: Column, key: Column, packet_id: Column, sender: Column) -> Column:
+    """AES-CTR."""
+    return xor(data, key_stream(F.length(data), key, packet_id, sender))
 
 
 def decrypted_by_any(data: Column, keys: list[str], packet_id: Column, sender: Column, parses: Callable[[Column], Column]) -> Column:
     """The plaintext of the first of several base64 keys whose plaintext parses; null if none does."""
     plain = [decrypted(data, F.unbase64(F.lit(k)), packet_id, sender) for k in keys]
     return F.coalesce(*[F.when(parses(p), p) for p in plain])
+
+
+def kinds_of(ports: pa.Array, bodies: pa.Array) -> pa.Array:
+    return wire.payloads(ports, bodies, PORTS)
+
+
+def metric_map(values: Column, names: list[str]) -> Column:
+    """A struct of numbers as a map of texts, without its nulls."""
+    entries = F.filter(F.array(*[F.struct(F.lit(n).alias("key"), values[n].cast("string").alias("value")) for n in names]), lambda e: e["value"].isNotNull())
+    return F.when(values.isNotNull(), F.map_from_entries(entries))
+
+
+def binary(messages: DataFrame, keys: list[str]) -> DataFrame:
+    """Binary messages ``(seq, ts_us, topic, body)`` as packets with a column for each kind's payload, as ``typed`` has them.
+
+    Packets that come encrypted are tried with each of the base64 ``keys``: the first whose plaintext can be read counts. What can't be
+    read (cut or foreign bytes, no key that fits, an empty payload of no port) is a packet of kind ``unknown``; envelopes that can't be have no sender either.
+    """
+    packet_columns, opened_data, payload_columns = F.arrow_udf(wire.packets, wire.PACKETS), F.arrow_udf(wire.opened, wire.OPENED), F.arrow_udf(kinds_of, wire.PAYLOADS)
+    rows = messages.filter(F.col("topic").contains("/2/e/") | F.col("topic").contains("/2/map/"))
+    rows = rows.withColumn("m", packet_columns(F.coalesce(F.col("body").cast("binary"), F.lit(b"")))).select("seq", "ts_us", "topic", "m.*")
+    secret = F.col("encrypted").isNotNull() & F.col("port").isNull() & F.col("id").isNotNull() & F.col("from").isNotNull()
+    streams = F.array(*[key_stream(F.length("encrypted"), F.unbase64(F.lit(k)), F.col("id"), F.col("from")) for k in keys]) if keys else F.lit(None).cast("array<binary>")
+    rows = rows.withColumn("o", opened_data(F.when(secret, F.col("encrypted")).otherwise(F.lit(b"")), F.when(secret, streams)))
+    rows = rows.withColumn("d", payload_columns(F.coalesce("port", "o.port"), F.coalesce("data", "o.data", F.lit(b""))))
+    kind = F.when(F.col("d.whole"), F.col("d.kind")).otherwise("unknown")
+    info, near, hop, c = F.col("d.nodeinfo"), F.col("d.neighborinfo"), F.lit(None), F.col
+    ints = lambda at, fields: F.when(at.isNotNull(), F.struct(*[at[f].cast(t).alias(f) for f, t in fields]))
+    place = [tuple(f.split()) for f in POSITION.split(", ")]
+    user = F.when(info.isNotNull(), F.struct(strip_mark(info["id"]).alias("id"), hop.cast("int").alias("hardware"), info["hw_model"].cast("int").alias("hw_model"), hop.cast("string").alias("longname"), info["long_name"].alias("long_name"), hop.cast("string").alias("shortname"), info["short_name"].alias("short_name"), info["role"].cast("int").alias("role")))
+    neighbors = F.transform(near["neighbors"], lambda n: F.struct(n["node_id"].alias("node_id"), n["snr"].alias("snr"), n["last_rx_time"].alias("last_rx_time"), n["node_broadcast_interval_secs"].cast("int").alias("node_broadcast_interval_secs")))
+    heard = F.when(near.isNotNull(), F.struct(near["node_id"].alias("node_id"), near["last_sent_by_id"].alias("last_sent_by_id"), F.size(neighbors).alias("neighbors_count"), near["node_broadcast_interval_secs"].cast("int").alias("node_broadcast_interval_secs"), neighbors.alias("neighbors")))
+    telemetry = metrics(metric_map(c("d.device"), list(wire.DEVICE)), metric_map(c("d.environment"), list(wire.ENVIRONMENT)))
+    return rows.select(
+        "seq", "ts_us", "topic", "id", hex_id(c("from")).alias("from"), hex_id(c("to")).alias("to"), hop.cast("string").alias("sender"), c("channel").cast("int").alias("channel"), kind.alias("type"), c("rx_time").alias("timestamp"),
+        c("rx_rssi").cast("int").alias("rssi"), c("rx_snr").alias("snr"), "rx_time", c("rx_rssi").cast("int").alias("rx_rssi"), "rx_snr", c("hop_limit").cast("int").alias("hop_limit"), c("hop_start").cast("int").alias("hop_start"),
+        hop.cast("int").alias("hops_away"), c("priority").cast("int").alias("priority"), "want_ack", ints(c("d.position"), place).alias("position"), user.alias("nodeinfo"), F.when(c("d.text").isNotNull(), F.struct(c("d.text").alias("text"))).alias("text"),
+        F.when(kind == "traceroute", F.struct(F.transform("d.route", hex_id).alias("route"))).alias("traceroute"), heard.alias("neighborinfo"), telemetry.alias("telemetry"), ints(c("d.mapreport"), place).alias("mapreport"), c("d.routing").alias("routing"),
+    )

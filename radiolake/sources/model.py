@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import struct
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from radiolake.functions.mesh import hex_id
-from radiolake.sources import decode
+from radiolake.sources import decode, wire
 
 #: Role codes in order, with the abbreviation shown in lists.
 ROLES = (
@@ -83,6 +87,66 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("seq", "ts_us", topic.alias("topic"), F.encode(body, "UTF-8").alias("body"))
 
 
+def encoded(message: dict[str, tuple[int, str]], values: dict) -> bytes:
+    """A message of the binary packet format; fields without a value are left out, lists are repeated fields."""
+
+    def varint(v: int) -> bytes:
+        v, out = v & (1 << 64) - 1, b""
+        while v > 127:
+            out, v = out + bytes([v & 127 | 128]), v >> 7
+        return out + bytes([v])
+
+    out = b""
+    for name, (number, kind) in message.items():
+        value = values.get(name)
+        for v in value if isinstance(value, list) else [] if value is None else [value]:
+            code = wire.KINDS[kind]
+            raw = v.encode() if isinstance(v, str) else v
+            body = varint(int(v)) if code == 0 else struct.pack("<f" if kind == "float" else "<i" if kind == "sfixed" else "<I", v) if code == 5 else varint(len(raw)) + raw
+            out += varint(number << 3 | code) + body
+    return out
+
+
+@F.pandas_udf(T.BinaryType())
+def data_of(seq: pd.Series, num: pd.Series, k: pd.Series, value: pd.Series, kind: pd.Series) -> pd.Series:
+    """Port and payload of an event's packet."""
+    ports = {name: port for port, name in decode.PORTS.items()}
+
+    def one(seq: int, num: int, k: int, value: float, kind: str) -> bytes:
+        name = f"Node {num}" + (" b" if seq % 2 else "")
+        payload = {
+            "telemetry": lambda: encoded(wire.TELEMETRY, {"time": seq, "device_metrics": encoded(wire.DEVICE, {"battery_level": k, "voltage": value}) if seq % 10 else None}),
+            "nodeinfo": lambda: encoded(wire.USER, {"id": f"{num + 1000:08x}" if seq % 11 == 0 else f"!{num:08x}", "hw_model": (k, k % 66, None)[seq % 3], "long_name": name, "short_name": f"{'nN'[seq % 2]}{num}", "role": num % 11 if seq % 5 else None}),
+            "position": lambda: encoded(wire.POSITION, {"latitude_i": num * 1000003 % 1800000000 - 900000000, "longitude_i": num * 7000003 % 3600000000 - 1800000000, "altitude": k} if seq % 13 else {}),
+            "neighborinfo": lambda: encoded(wire.NEIGHBORINFO, {"node_id": num, "node_broadcast_interval_secs": 900, "neighbors": [encoded(wire.NEIGHBOR, {"node_id": k + 50 * i, "snr": value / (i + 1)}) for i in (0, 1)]}),
+            "text": lambda: f"{'hello ' if seq % 3 else 'TC BBS Commands '}{k}".encode(), "traceroute": lambda: encoded({"route": (wire.ROUTE, "bytes")}, {"route": struct.pack("<2I", k, k + 1)}),
+        }[kind]()
+        return encoded(wire.DATA, {"port": ports[kind], "payload": payload or None})
+
+    return pd.Series([one(*x) for x in zip(seq, num, k, value, kind, strict=True)])
+
+
+@F.pandas_udf(T.BinaryType())
+def envelope_of(seq: pd.Series, num: pd.Series, k: pd.Series, value: pd.Series, data: pd.Series, cipher: pd.Series) -> pd.Series:
+    def one(seq: int, num: int, k: int, value: float, data: bytes, cipher: bytes | None) -> bytes:
+        head = {"from": num, "to": 4294967295 if seq % 3 else num + 1, "channel": seq % 3, "id": seq, "rx_time": 1_700_000_000, "rx_snr": value, "hop_limit": 3, "rx_rssi": -k}
+        return encoded(wire.ENVELOPE, {"packet": encoded(wire.PACKET, head | ({"decoded": data} if cipher is None else {"encrypted": cipher})), "channel_id": "Test", "gateway_id": f"!{num:08x}"})
+
+    return pd.Series([one(*x) for x in zip(seq, num, k, value, data, cipher, strict=True)])
+
+
+def binary_messages(spark: SparkSession, sf_dir: str, keys: list[str]) -> DataFrame:
+    """The log of ``messages`` in the binary format, as (seq, ts_us, topic, body); every other packet is encrypted, under one of the keys in turn."""
+    e = decode.spread(events(spark, sf_dir))
+    seq, num, kind = F.col("seq"), F.col("from_num"), F.col("kind")
+    type_ = F.when(kind == "view", "telemetry").when(kind == "signup", "nodeinfo").when(kind == "purchase", "position").when(kind == "error", "neighborinfo").when(seq % 2 == 0, "text").otherwise("traceroute")
+    key = F.unbase64(F.element_at(F.array(*[F.lit(k) for k in keys]), (F.floor(seq / 2) % len(keys) + 1).cast("int")))
+    e = e.withColumn("data", data_of(seq, num, "k", "value", type_))
+    e = e.withColumn("cipher", F.when(seq % 2 == 1, decode.decrypted(F.col("data"), key, seq, num)))  # counter mode: encrypting is the same
+    body = F.when(seq % 97 == 0, F.encode(F.lit("{broken"), "UTF-8")).otherwise(envelope_of(seq, num, "k", "value", "data", "cipher"))
+    return e.select("seq", "ts_us", F.concat(F.when(seq % 50 == 0, "other").otherwise("msh/XX"), F.lit("/2/e/Test/!"), hex_id(num)).alias("topic"), body.alias("body"))
+
+
 def packets(messages: DataFrame) -> DataFrame:
     """Subscribed messages as envelopes with typed payloads."""
     return decode.typed(decode.envelopes(decode.subscribed(messages, TOPICS)))
