@@ -66,6 +66,23 @@ def packet_envelopes(spark, sf):
     return typed_packets(spark, sf).select("seq", "type", F.col("from").alias("from_id"), F.col("to").alias("to_id"), "rssi", "hops_away")
 
 
+@query(ORACLE_SQL["packet_envelopes"])
+def replayed_envelopes(spark, sf):
+    """The same from recorded frames of two brokers, by a stream that is stopped and goes on from its checkpoint."""
+    from radiolake.sources import frames
+
+    base = f"{snapshot.shared_dir(spark)}/radiolake/frames-{spark.sql('select uuid()').first()[0]}"
+    frames.register(spark)
+    messages = model.messages(spark, sf)
+    for i, part in enumerate(("seq % 3 = 0", "seq % 3 <> 0")):
+        for broker in ("one", "two"):
+            frames.record(messages.filter(part).filter(F.col("seq") % 2 == (1 if broker == "one" else 0)), f"{base}/frames", broker, f"{i:04d}")
+        stream = spark.readStream.format("broker_frames").options(path=f"{base}/frames", topics=",".join(model.TOPICS), part_bytes="262144").load()
+        stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/offsets").trigger(availableNow=True).start().awaitTermination()
+    read = spark.read.schema(stream.schema).parquet(f"{base}/out")
+    return decode.envelopes(read.filter("error is null").select("seq", "ts_us", "topic", "body")).select("seq", "type", F.col("from").alias("from_id"), F.col("to").alias("to_id"), "rssi", "hops_away")
+
+
 @query(f"WITH {N} SELECT {FLAT} FROM n")
 def packet_nodes(spark, sf):
     """Message, envelope, payload, fold, record: every handler's fields of every node."""
