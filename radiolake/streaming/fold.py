@@ -1,48 +1,44 @@
 """Streaming folds of the packet log.
 
 The fold is a streaming aggregation, so Spark keeps the state by key and a micro-batch reads and
-writes only the keys that it touches. The keys that changed are written as the table of their batch;
-a batch that runs again writes the same table again. The current state is the newest row of each key.
+writes only the keys that it touches. The keys that changed are committed to a ``StateTable``, once a batch, however often
+a batch runs; the current state is read from there at the cost of the live keys.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from radiolake.operators.nodes import fold_nodes
 from radiolake.operators.state import fold
+from radiolake.streaming.state_table import StateTable
 
 
 def read_log(spark: SparkSession, path: str, schema, files_per_batch: int = 1000) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def changes(folded: DataFrame, state_dir: str, checkpoint_dir: str) -> StreamingQuery:
-    """Write the keys that each batch of a streaming aggregation changed to ``state_dir/batch=n``."""
-
-    def step(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{state_dir}/batch={n}")
-
-    return folded.writeStream.outputMode("update").foreachBatch(step).option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start()
+def changes(folded: DataFrame, state_dir: str, checkpoint_dir: str, key: str) -> StreamingQuery:
+    """Commit the keys that each batch of a streaming aggregation changed."""
+    table = StateTable(folded.sparkSession, state_dir, key)
+    return folded.writeStream.outputMode("update").foreachBatch(table.commit).option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start()
 
 
 def latest(spark: SparkSession, state_dir: str, key: str) -> DataFrame:
     """The newest row of each key."""
-    newest = Window.partitionBy(key).orderBy(F.desc("batch"))
-    rows = spark.read.option("basePath", state_dir).parquet(f"{state_dir}/batch=*")
-    return rows.withColumn("__rank", F.row_number().over(newest)).filter("__rank = 1").drop("__rank", "batch")
+    return StateTable(spark, state_dir, key).read()
 
 
 def fold_stream(log: DataFrame, state_dir: str, checkpoint_dir: str) -> StreamingQuery:
     """Fold a stream of log rows per sender."""
-    return changes(fold(log), state_dir, checkpoint_dir)
+    return changes(fold(log), state_dir, checkpoint_dir, "from_num")
 
 
 def node_stream(packets: DataFrame, state_dir: str, checkpoint_dir: str) -> StreamingQuery:
     """Fold a stream of typed packets per node."""
-    return changes(fold_nodes(packets), state_dir, checkpoint_dir)
+    return changes(fold_nodes(packets), state_dir, checkpoint_dir, "id")
 
 
 def latest_nodes(spark: SparkSession, state_dir: str) -> DataFrame:
