@@ -134,7 +134,7 @@ def node_transitions_stream(spark, sf):
     for part in ("ts < '2024-01-10'", "ts >= '2024-01-10' and ts < '2024-01-20'", "ts >= '2024-01-20'"):  # two files each, newer than those before
         rows.filter(part).repartition(2).write.mode("append").parquet(f"{base}/heard")
     tick = F.lit(model.LATER).cast("timestamp") + F.expr("interval 10 minutes")
-    spark.range(1).select(F.lit("").alias("id"), tick.alias("ts"), F.unix_micros(tick).alias("ts_us"), F.lit(False).alias("makes_known")).write.mode("append").parquet(f"{base}/heard")
+    spark.range(1).select(F.lit("").alias("id"), F.lit(-1).cast("long").alias("seq"), tick.alias("ts"), F.unix_micros(tick).alias("ts_us"), F.lit(False).alias("makes_known")).write.mode("append").parquet(f"{base}/heard")
     activity.transitions_stream(fold.read_log(spark, f"{base}/heard", rows.schema, files_per_batch=2), f"{base}/out", f"{base}/offsets").awaitTermination()
     return activity.read_transitions(spark, f"{base}/out")
 
@@ -371,6 +371,65 @@ def snapshot_round_trip(spark, sf):
     return snapshot.load(spark, base, marked.schema).select("id", "shortname", "board")
 
 
+@query(f"WITH {TEXTS} SELECT 'chat' AS part, seq, from_id, text AS detail FROM t UNION ALL SELECT 'telemetry', seq, from_id, CAST(k AS VARCHAR) FROM p WHERE type = 'telemetry' AND seq % 10 <> 0 UNION ALL SELECT 'routes', seq, from_id, 'Node ' || k || ',nobody ' || k || ',Node ' || (k + 1) || ' b' FROM p WHERE type = 'traceroute'")
+def archived_history(spark, sf):
+    """Chat, telemetry and routes from the newest of two dated sets of tables, of which one stays."""
+    import datetime
+
+    from radiolake.sources.archive import Archive
+
+    t = typed_packets(spark, sf)
+    tables = {"nodes": current(spark, sf), "chat": t.filter("type = 'text'").select("seq", "from", "text"), "telemetry": t.filter("telemetry is not null").select("seq", "from", "telemetry"), "routes": t.filter("type = 'traceroute'").select("seq", "from", "traceroute")}
+    archive = Archive(spark, f"{snapshot.shared_dir(spark)}/radiolake/archive-{spark.sql('select uuid()').first()[0]}", keep=1)
+    archive.publish({k: v.limit(1) for k, v in tables.items()}, datetime.datetime(2024, 1, 30, tzinfo=datetime.UTC))
+    archive.publish(tables, datetime.datetime(2024, 1, 31, tzinfo=datetime.UTC))
+    again = archive.load()
+    detail = {"chat": F.col("text.text"), "telemetry": F.col("telemetry")["battery_level"], "routes": F.array_join("traceroute.route", ",")}
+    parts = [again[k].select(F.lit(k).alias("part"), "seq", F.col("from").alias("from_id"), d.alias("detail")) for k, d in detail.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(f"WITH {N} SELECT id, shortname, board, CAST(altitude AS BIGINT) AS altitude FROM n")
+def keyed_objects(spark, sf):
+    """Nodes as files of JSON objects from marked ids to records, and back through variants."""
+    from radiolake.sources import archive
+
+    base = f"{snapshot.shared_dir(spark)}/radiolake/objects-{spark.sql('select uuid()').first()[0]}"
+    n = current(spark, sf)
+    archive.save_objects(n.select(F.concat(F.lit("!"), "id").alias("id"), F.struct(*n.columns).alias("record")), base, each=100)
+    member = lambda path, kind: F.try_variant_get("record", path, kind)
+    return archive.load_objects(spark, base).select("id", member("$.shortname", "string").alias("shortname"), member("$.board", "boolean").alias("board"), member("$.position.altitude", "long").alias("altitude"))
+
+
+SESSIONS = f"""WITH {N}, g AS (SELECT id, ts_us, coalesce(ts_us - lag(ts_us) OVER (PARTITION BY id ORDER BY ts_us) >= 7200000000, true)::INTEGER AS new FROM touch),
+s AS (SELECT id, ts_us, sum(new) OVER (PARTITION BY id ORDER BY ts_us) AS session FROM g) SELECT id, min(ts_us) AS first_us, max(ts_us) + 7200000000 AS end_us, count(*) AS packets FROM s GROUP BY id, session"""
+
+
+@query(SESSIONS)
+def node_sessions(spark, sf):
+    """Spells of packets of a node with less than two hours between them."""
+    from radiolake.streaming import activity, fold
+
+    return fold.sessions(activity.heard(subscribed(spark, sf)))
+
+
+@query(SESSIONS)
+def node_sessions_stream(spark, sf):
+    """The same from a stream in which every packet comes twice, once late; repeats are dropped within the watermark."""
+    from radiolake.streaming import activity, fold
+
+    base = f"{snapshot.shared_dir(spark)}/radiolake/sessions-{spark.sql('select uuid()').first()[0]}"
+    rows = activity.heard(subscribed(spark, sf))
+    for part in ("ts < '2024-01-10'", "ts >= '2024-01-10' and ts < '2024-01-20'", "ts >= '2024-01-20'"):
+        rows.filter(part).unionAll(rows.filter(part)).repartition(1).write.mode("append").parquet(f"{base}/heard")
+    tick = F.lit(model.LATER).cast("timestamp") + F.expr("interval 1 day")
+    spark.range(1).select(F.lit("").alias("id"), F.lit(-1).cast("long").alias("seq"), tick.alias("ts"), F.unix_micros(tick).alias("ts_us"), F.lit(False).alias("makes_known")).write.mode("append").parquet(f"{base}/heard")
+    stream = fold.read_log(spark, f"{base}/heard", rows.schema, files_per_batch=1)
+    out = fold.sessions(stream, late="10 minutes", once=True)
+    out.writeStream.format("parquet").outputMode("append").option("path", f"{base}/out").option("checkpointLocation", f"{base}/offsets").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{base}/out").filter("id <> ''")
+
+
 @query("SELECT printf('%08x', c_custkey) AS id, 'Unknown' AS longname, 'UNK' AS shortname, false AS active FROM customer UNION ALL SELECT 'ffffffff', 'Everyone', 'ALL', false")
 def default_nodes(spark, sf):
     """Nodes nothing is known of, and everyone's address."""

@@ -87,8 +87,8 @@ class Activity(StatefulProcessor):
 
 
 def heard(messages: DataFrame) -> DataFrame:
-    """Messages, of a table or a stream, as (id, ts, ts_us, makes_known)."""
-    return touches(messages).select("id", F.timestamp_micros("ts_us").alias("ts"), "ts_us", (F.col("type") != "text").alias("makes_known"))
+    """Messages, of a table or a stream, as (id, seq, ts, ts_us, makes_known)."""
+    return touches(messages).select("id", "seq", F.timestamp_micros("ts_us").alias("ts"), "ts_us", (F.col("type") != "text").alias("makes_known"))
 
 
 def transitions_stream(heard: DataFrame, out: str, checkpoint: str, inactive_s: int = 7200, late: str = "10 minutes") -> StreamingQuery:
@@ -97,7 +97,7 @@ def transitions_stream(heard: DataFrame, out: str, checkpoint: str, inactive_s:
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)  # the only one with timers; a started query keeps it
     try:
-        changes = heard.withWatermark("ts", late).groupBy("id").transformWithStateInPandas(statefulProcessor=Activity(inactive_s * 1_000_000), outputStructType=OUT, outputMode="Append", timeMode="EventTime")
+        changes = heard.select("id", "ts", "ts_us", "makes_known").withWatermark("ts", late).groupBy("id").transformWithStateInPandas(statefulProcessor=Activity(inactive_s * 1_000_000), outputStructType=OUT, outputMode="Append", timeMode="EventTime")
         return changes.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)

@@ -48,3 +48,15 @@ def latest_nodes(spark: SparkSession, state_dir: str) -> DataFrame:
 def windowed_counts(log: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Packets a kind and window of event time, closed by a watermark (an addition to the model)."""
     return log.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("packets"))
+
+
+def sessions(heard: DataFrame, gap_s: int = 7200, late: str = "10 minutes", once: bool = False) -> DataFrame:
+    """(id, first_us, end_us, packets): spells of packets of a node with gaps of less than ``gap_s``, of a table or a stream ``heard``.
+
+    A stream's spell comes out once the watermark has passed its end. With ``once`` packets that repeat by ``seq`` within the watermark count once.
+    """
+    rows = heard.withWatermark("ts", late)
+    if once:
+        rows = rows.dropDuplicatesWithinWatermark(["id", "seq"]) if heard.isStreaming else rows.dropDuplicates(["id", "seq"])
+    spells = rows.groupBy("id", F.session_window("ts", f"{gap_s} seconds").alias("spell")).agg(F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"), F.count("*").alias("packets"))
+    return spells.select("id", "first_us", (F.col("last_us") + gap_s * 1_000_000).alias("end_us"), "packets")

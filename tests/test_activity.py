@@ -90,3 +90,24 @@ def test_previous_across_chunks(spark):
         own = sorted(t for i, t in rows if i == k)
         expected += [(k, t, p) for p, t in zip([-1, *own], own, strict=False)]
     assert got == sorted(expected)
+
+
+def test_sessions_of_late_repeated_and_unordered_packets(spark, packets, tmp_path):
+    rng, known = random.Random(11), []
+    for i, r in enumerate(packets):
+        known.append((r[0], i, r[1], r[2], r[3]))
+    arrived = sorted(known + known[::3], key=lambda r: r[3] + rng.randrange(9 * MINUTE))
+    schema = "id string, seq long, ts timestamp, ts_us long, makes_known boolean"
+    batches = [arrived[:250], arrived[250:500], [*arrived[500:], ("clock", -1, *row("clock", packets[-1][2] + 9_000 * MINUTE)[1:])]]
+    for batch in batches:
+        rng.shuffle(batch)
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = fold.sessions(fold.read_log(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema, files_per_batch=1), once=True)
+        stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/offsets").trigger(availableNow=True).start().awaitTermination()
+    expected = []
+    for node in sorted({r[0] for r in known}):
+        own = sorted(r[3] for r in known if r[0] == node)
+        cuts = [0, *(i for i in range(1, len(own)) if own[i] - own[i - 1] >= 120 * MINUTE), len(own)]
+        expected += [(node, own[a], own[b - 1] + 120 * MINUTE, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+    out = spark.read.schema(stream.schema).parquet(f"{tmp_path}/out").filter("id <> 'clock'").collect()
+    assert sorted(map(tuple, out)) == sorted(expected)
