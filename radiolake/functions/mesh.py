@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -122,6 +123,25 @@ def with_unit(metric: Column, unit: str, decimals: int = 0) -> Column:
     return F.when(number.isNotNull(), F.concat(F.format_string(f"%.{decimals}f", F.round(number, decimals)), F.lit(unit))).otherwise(metric.cast("string"))
 
 
+#: Unit and decimals that each metric is shown with; ``*_ch1`` to ``*_ch3`` as their metric.
+UNITS = {
+    "air_util_tx": ("%", 2), "channel_utilization": ("%", 1), "battery_level": ("%", 2), "voltage": (" V", 2), "current": (" mA", 2), "barometric_pressure": (" hPa", 2),
+    "relative_humidity": ("%", 2), "temperature": ("°C", 2), "gas_resistance": (" Ohm", 2), "distance": (" km", 2), "altitude": (" m", 0),
+}
+
+
+def shown(metrics: Column, name: str) -> Column:
+    """A metric of a map as it is shown, with its unit; null where there is none."""
+    unit, decimals = UNITS[re.sub("_ch[123]$", "", name)]
+    return with_unit(metrics[name], unit, decimals)
+
+
+def place_name(*parts: Column) -> Column:
+    """The parts of an address that are there, from the nearest on, by commas; null if none is."""
+    name = F.concat_ws(", ", *[F.nullif(F.trim(p), F.lit("")) for p in parts])
+    return F.nullif(name, F.lit(""))
+
+
 def all_known(*metrics: Column) -> Column:
     """Whether none is null."""
     out = F.lit(True)

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from radiolake.functions.mesh import degrees_of, distance_km, first_known, has_markers, has_position, hex_id, known_id
+from radiolake.functions.mesh import degrees_of, distance_km, first_known, has_markers, has_position, hex_id, known_id, uptime
 from radiolake.operators.state import is_active
 from radiolake.sources import decode
 
@@ -153,7 +153,7 @@ def node_records(nodes: DataFrame, host: DataFrame | None = None) -> DataFrame:
     at = position_record(F.col("position"))
     out = nodes.select(
         "id", "longname", "shortname", "hardware", "role", at.alias("position"), F.col("telemetry")["battery_level"].try_cast("double").alias("battery_level"), F.col("telemetry")["voltage"].try_cast("double").alias("voltage"),
-        F.size("neighborinfo.neighbors").alias("neighbors"), "board", "last_us", "active",
+        F.coalesce("neighborinfo.neighbors_count", F.size("neighborinfo.neighbors")).alias("neighbors"), "board", "last_us", "active",
     )
     out = out.withColumn("neighbors", F.when(F.col("neighbors") >= 0, F.col("neighbors")))
     if host is None:
@@ -164,6 +164,13 @@ def node_records(nodes: DataFrame, host: DataFrame | None = None) -> DataFrame:
     return out.crossJoin(here).withColumn("dx_km", dx).drop("__lat", "__lon")
 
 
+def summary(nodes: DataFrame, messages: DataFrame, started_us: Column, now_us: Column) -> DataFrame:
+    """One row on the mesh: nodes known and online, messages since the start, and the time since then."""
+    counted = nodes.agg(F.count("*").alias("known_nodes"), F.count_if("active").alias("online_nodes"))
+    since = messages.filter((F.col("ts_us") >= started_us) & (F.col("ts_us") <= now_us)).agg(F.count("*").alias("messages"))
+    return counted.crossJoin(since).withColumn("uptime", uptime(F.floor((now_us - started_us) / 1_000_000)))  # one row each
+
+
 def neighbor_edges(nodes: DataFrame) -> DataFrame:
     """(src, dst, snr): the neighbours that each node's newest report lists."""
     return nodes.select(F.col("id").alias("src"), F.inline("neighborinfo.neighbors")).select("src", hex_id(F.col("node_id")).alias("dst"), "snr")

@@ -254,6 +254,32 @@ def chat_senders(spark, sf):
     return t.groupBy("channel", "text").agg(F.array_join(F.sort_array(F.collect_set("shortname")), ",").alias("senders"), F.max("dx_km").alias("farthest_km"))
 
 
+@query(f"WITH {TEXTS}, {N[len(P) + 2 :]}, s AS (SELECT DISTINCT t.channel, t.text, t.from_id, n.shortname, CASE WHEN coalesce(n.latitude, 0) <> 0 AND coalesce(n.longitude, 0) <> 0 THEN {km_sql('host.latitude', 'host.longitude', 'n.latitude', 'n.longitude')} END AS dx_km FROM t JOIN n ON n.id = t.from_id, (SELECT * FROM n WHERE id = '00000003') host) SELECT channel, text, from_id, shortname, dx_km FROM s WHERE dx_km <> 0")
+def chat_distances(spark, sf):
+    """Each known sender of a text within a channel, with its distance; those without a place, or at distance zero, have none to show. Rows, not lists: a text may have any number of senders."""
+    n = current(spark, sf)
+    host = n.filter("id = '00000003'").select(nodes.position_record(F.col("position")).alias("p")).select(F.col("p.latitude").alias("lat"), F.col("p.longitude").alias("lon"))
+    near = nodes.node_records(n, host).filter("dx_km <> 0").select(F.col("id").alias("from"), "shortname", "dx_km")
+    t = typed_packets(spark, sf).filter("type = 'text'").select("from", F.coalesce(F.col("channel").cast("string"), F.lit("0")).alias("channel"), "text.text").distinct()
+    return t.join(near, "from").select("channel", "text", F.col("from").alias("from_id"), "shortname", "dx_km")
+
+
+@query(f"WITH {N} SELECT (SELECT count(*) FROM n) AS known_nodes, (SELECT count(*) FROM n WHERE active) AS online_nodes, (SELECT count(*) FROM p WHERE type = 'text' AND ts_us >= epoch_us(TIMESTAMP '2024-01-15 00:00:00') AND ts_us <= {NOW_US}) AS messages, (SELECT s // 86400 || 'd ' || s // 3600 || 'h ' || s // 60 || 'm ' || s % 60 || 's' FROM (SELECT ({NOW_US} - epoch_us(TIMESTAMP '2024-01-15 00:00:00')) // 1000000 AS s)) AS uptime")
+def mesh_summary(spark, sf):
+    """What the mesh command tells: nodes known and online, messages since the start, and how long that is ago."""
+    texts = typed_packets(spark, sf).filter("type = 'text'")
+    return nodes.summary(current(spark, sf), texts, F.unix_micros(F.lit("2024-01-15 00:00:00").cast("timestamp")), now_us())
+
+
+@query("SELECT c.c_custkey AS num, nullif(concat_ws(', ', nullif(trim(CASE WHEN c.c_custkey % 3 = 0 THEN '' ELSE c.c_mktsegment END), ''), CASE WHEN c.c_custkey % 5 <> 0 THEN trim(n.n_name) END, nullif(trim(r.r_name), '')), '') AS place FROM customer c LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey LEFT JOIN region r ON r.r_regionkey = n.n_regionkey")
+def place_names(spark, sf):
+    """Places by the parts of their address, which are joined from look-up tables; parts that are missing or empty are left out."""
+    c, n, r = (model.table(spark, sf, t) for t in ("customer", "nation", "region"))
+    at = c.join(n, c["c_nationkey"] == n["n_nationkey"], "left").join(r, n["n_regionkey"] == r["r_regionkey"], "left")
+    town, state = F.when(F.col("c_custkey") % 3 == 0, "").otherwise(F.col("c_mktsegment")), F.when(F.col("c_custkey") % 5 != 0, F.col("n_name"))
+    return at.select(F.col("c_custkey").alias("num"), m.place_name(town, state, F.col("r_name")).alias("place"))
+
+
 @query(f"WITH {P} SELECT type, count(*) AS packets, count(DISTINCT CASE WHEN type <> 'unknown' THEN from_id END) AS senders FROM p WHERE ts_us >= epoch_us(TIMESTAMP '2024-01-15 00:00:00') GROUP BY type")
 def session_counts(spark, sf):
     """Packets of each kind since a session's start."""
@@ -290,12 +316,29 @@ def binary_packets(spark, sf):
     return binary_packets_of(spark, sf).select("seq", "type", F.col("from").alias("from_id"), F.col("to").alias("to_id"), "rssi", F.array_join("traceroute.route", ",").alias("route"))
 
 
-@query(f"WITH {N} SELECT {FLAT.replace('voltage', 'CAST(CAST(voltage AS FLOAT) AS DOUBLE) AS voltage')} FROM n")
+BINARY_FLAT = FLAT.replace("battery_level, voltage", "CASE WHEN tel_seq % 4 <> 0 THEN battery_level END AS battery_level, CAST(CAST(CASE WHEN tel_seq % 4 = 0 THEN voltage / 2 ELSE voltage END AS FLOAT) AS DOUBLE) AS voltage")
+
+
+@query(f"WITH {N.replace('near_k, near_value, board, last_us, coalesce', 'tel_seq, near_k, near_value, board, last_us, coalesce')} SELECT {BINARY_FLAT} FROM n")
 def binary_nodes(spark, sf):
-    """The node fold of binary packets: that of the same packets in JSON, with numbers of single precision."""
+    """The node fold of binary packets: that of the same packets in JSON, with numbers of single precision, and metrics of the surroundings over the device's."""
     return flat(nodes.node_records(nodes.known_nodes(nodes.fold_nodes(binary_packets_of(spark, sf)), now_us())))
 
 
+def shown_sql(value: str, unit: str, decimals: int = 2) -> str:
+    return f"printf('%.{decimals}f{unit.replace('%', '%%')}', round(CAST(CAST({value} AS FLOAT) AS DOUBLE), {decimals}))"
+
+
+@query(f"""WITH {P} SELECT seq, CASE WHEN seq % 4 <> 0 THEN {shown_sql('k', '%')} END AS battery_level, {shown_sql('CASE WHEN seq % 4 = 0 THEN value / 2 ELSE value END', ' V')} AS voltage, CASE WHEN seq % 4 <> 0 THEN {shown_sql('value / 4', '%')} END AS air_util_tx,
+  CASE WHEN seq % 4 = 0 THEN {shown_sql('value - 20', '°C')} END AS temperature, CASE WHEN seq % 4 = 0 THEN {shown_sql('k / 2', '%')} END AS relative_humidity, CASE WHEN seq % 4 = 0 THEN {shown_sql('900 + value', ' hPa')} END AS barometric_pressure,
+  CASE WHEN seq % 4 = 0 THEN {shown_sql('k * 3', ' Ohm')} END AS gas_resistance, CASE WHEN seq % 4 = 0 THEN {shown_sql('-value', ' mA')} END AS current FROM p WHERE type = 'telemetry' AND seq % 10 <> 0""")
+def telemetry_units(spark, sf):
+    """Metrics of binary telemetry packets, the surroundings' over the device's, as they are shown."""
+    t = binary_packets_of(spark, sf).filter("telemetry is not null")
+    names = ("battery_level", "voltage", "air_util_tx", "temperature", "relative_humidity", "barometric_pressure", "gas_resistance", "current")
+    return t.select("seq", *[m.shown(F.col("telemetry"), n).alias(n) for n in names])
+
+
 PORT_VALUES = ", ".join(f"({p}, '{k}')" for p, k in decode.PORTS.items())
 
 

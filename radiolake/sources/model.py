@@ -73,7 +73,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(every(2, 1), F.concat(F.lit("N"), num)).alias("short_name"), F.when(~every(5), num % 11).alias("role"),
         )),
         "position": F.when(~every(13), F.to_json(F.struct((num * 1000003 % 1800000000 - 900000000).alias("latitude_i"), (num * 7000003 % 3600000000 - 1800000000).cast("int").alias("longitude_i"), k.alias("altitude")))),
-        "neighborinfo": F.to_json(F.struct(num.alias("node_id"), F.lit(900).alias("node_broadcast_interval_secs"), F.array(F.struct(k.alias("node_id"), value.alias("snr")), F.struct((k + 50).alias("node_id"), (value / 2).alias("snr"))).alias("neighbors"))),
+        "neighborinfo": F.to_json(F.struct(num.alias("node_id"), F.lit(900).alias("node_broadcast_interval_secs"), F.when(every(2), 2).alias("neighbors_count"), F.array(F.struct(k.alias("node_id"), value.alias("snr")), F.struct((k + 50).alias("node_id"), (value / 2).alias("snr"))).alias("neighbors"))),
         "text": F.to_json(F.struct(F.concat(F.when(every(3), "TC BBS Commands ").otherwise("hello "), k).alias("text"))),
         "traceroute": F.to_json(F.struct(F.array(F.concat(F.lit("Node "), k), F.concat(F.lit("nobody "), k), F.concat(F.lit("Node "), k + 1, F.lit(" b"))).alias("route"))),
     }
@@ -114,8 +114,9 @@ def data_of(seq: pd.Series, num: pd.Series, k: pd.Series, value: pd.Series, kind
 
     def one(seq: int, num: int, k: int, value: float, kind: str) -> bytes:
         name = f"Node {num}" + (" b" if seq % 2 else "")
+        surroundings = {"temperature": value - 20, "relative_humidity": k / 2, "barometric_pressure": 900 + value, "gas_resistance": k * 3, "voltage": value / 2, "current": -value}
         payload = {
-            "telemetry": lambda: encoded(wire.TELEMETRY, {"time": seq, "device_metrics": encoded(wire.DEVICE, {"battery_level": k, "voltage": value}) if seq % 10 else None}),
+            "telemetry": lambda: encoded(wire.TELEMETRY, {"time": seq, "device_metrics": encoded(wire.DEVICE, {"battery_level": k, "voltage": value, "air_util_tx": value / 4}) if seq % 10 else None, "environment_metrics": encoded(wire.ENVIRONMENT, surroundings) if seq % 10 and seq % 4 == 0 else None}),
             "nodeinfo": lambda: encoded(wire.USER, {"id": f"{num + 1000:08x}" if seq % 11 == 0 else f"!{num:08x}", "hw_model": (k, k % 66, None)[seq % 3], "long_name": name, "short_name": f"{'nN'[seq % 2]}{num}", "role": num % 11 if seq % 5 else None}),
             "position": lambda: encoded(wire.POSITION, {"latitude_i": num * 1000003 % 1800000000 - 900000000, "longitude_i": num * 7000003 % 3600000000 - 1800000000, "altitude": k} if seq % 13 else {}),
             "neighborinfo": lambda: encoded(wire.NEIGHBORINFO, {"node_id": num, "node_broadcast_interval_secs": 900, "neighbors": [encoded(wire.NEIGHBOR, {"node_id": k + 50 * i, "snr": value / (i + 1)}) for i in (0, 1)]}),

@@ -108,3 +108,11 @@ def test_keys(spark):
     assert [r["type"] for r in rows_of(spark, bodies, KEYS[:1])] == ["text", "unknown", "unknown", "unknown"]
     assert [r["type"] for r in rows_of(spark, bodies, [])] == ["unknown"] * 4
     assert rows_of(spark, bodies[:1], topic="msh/XX/2/json/a") == [] and rows_of(spark, []) == []
+
+
+def test_names_and_units(spark):
+    from radiolake.functions import mesh as m
+
+    row = spark.sql("select map('voltage', '3.456', 'voltage_ch2', '1', 'temperature', '-4.25', 'battery_level', 'USB', 'channel_utilization', '7.25') t, '' a, ' town ' b, cast(null as string) c")
+    shown = row.select(*[m.shown(F.col("t"), n).alias(n) for n in ("voltage", "voltage_ch2", "temperature", "battery_level", "channel_utilization", "current")], m.place_name(F.col("a"), F.col("b"), F.col("c"), F.lit("land")).alias("p"), m.place_name(F.col("a"), F.col("c")).alias("none")).first()
+    assert tuple(shown) == ("3.46 V", "1.00 V", "-4.25°C", "USB", "7.3%", None, "town, land", None)
