@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from radiolake.functions.mesh import degrees_of, distance_km, has_position
@@ -96,6 +96,22 @@ def neighborhood(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return out.select(nodes["id"], F.coalesce("heard", F.lit("")).alias("heard"), F.coalesce("heard_by", F.lit("")).alias("heard_by"))
 
 
+def chunked_lists(rows: DataFrame, key: str, value: str, most: int = 1000) -> DataFrame:
+    """(key, chunk, before, values): each key's distinct values, in order, as chunks of at most ``most``.
+
+    ``chunk`` counts from 1 within a key and ``before`` is the number of its values in earlier chunks; the chunks, joined, are the sorted list. Rows are dealt out by
+    ranges of key and value together, so a key with a third of all rows is the work of a third of the tasks, and no list
+    is longer than a chunk. Nulls are left out.
+    """
+    pairs = rows.select(key, value).dropna().distinct().repartitionByRange(key, value).sortWithinPartitions(key, value)
+    at = F.monotonically_increasing_id()  # the partition above, the place in it below
+    cut = pairs.withColumn("__at", at).withColumn("__part", F.shiftright("__at", 33)).withColumn("__block", F.floor(F.col("__at").bitwiseAND((1 << 33) - 1) / most))
+    chunks = cut.groupBy(key, "__part", "__block").agg(F.sort_array(F.collect_list(value)).alias("values"))
+    order = Window.partitionBy(key).orderBy("__part", "__block")
+    before = F.coalesce(F.sum(F.size("values")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return chunks.select(key, F.row_number().over(order).alias("chunk"), before.alias("before"), "values")
+
+
 def reciprocal_pairs(edges: DataFrame) -> DataFrame:
     """(a, b, a_hears, b_hears, snrs): both directions of each pair of ends in one row, by one grouping."""
     a, b = F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")

@@ -187,6 +187,14 @@ def node_neighborhood(spark, sf):
     return graph.neighborhood(current(spark, sf).select("id"), nodes.neighbor_edges(current(spark, sf)))
 
 
+@query(f"WITH {P}, e AS (SELECT DISTINCT from_id AS src, printf('%08x', k) AS dst FROM p WHERE k IS NOT NULL), d AS (SELECT src AS id, 'heard' AS side, dst AS other FROM e UNION ALL SELECT dst, 'heard_by', src FROM e) SELECT id, side, other, row_number() OVER (PARTITION BY id, side ORDER BY other) AS rank FROM d")
+def neighbor_chunks(spark, sf):
+    """Every node's neighbours over the whole log, both ways, from chunks of at most sixteen, with their places in the whole list."""
+    e = subscribed(spark, sf).select("seq").join(model.events(spark, sf), "seq").filter("k is not null").select(F.col("from_id").alias("src"), m.hex_id(F.col("k")).alias("dst"))
+    sides = [graph.chunked_lists(e, a, b, 16).select(F.col(a).alias("id"), F.lit(side).alias("side"), "before", F.posexplode("values").alias("at", "other")) for a, b, side in (("src", "dst", "heard"), ("dst", "src", "heard_by"))]
+    return sides[0].unionByName(sides[1]).select("id", "side", "other", (F.col("before") + F.col("at") + 1).cast("long").alias("rank"))
+
+
 @query(f"WITH {N} SELECT said, coalesce(a.id, b.id) AS id FROM (VALUES ('!0000000C'), (' N5'), ('0000ffff'), ('nobody')) w(said) LEFT JOIN n a ON a.id = replace(lower(trim(said)), '!', '') LEFT JOIN (SELECT lower(shortname) AS s, min(id) AS id FROM n GROUP BY 1) b ON b.s = lower(trim(said))")
 def node_found(spark, sf):
     """A node by id, else the first of that short name in any case."""

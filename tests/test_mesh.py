@@ -1,6 +1,7 @@
 """Scalar functions, state fold, graph and decoding against values worked out by hand."""
 
 import math
+import random
 
 import duckdb
 import pytest
@@ -97,6 +98,24 @@ def test_reach_and_tree(spark):
     assert sorted(map(tuple, graph.tree(edges, "y").collect())) == [("y", "y", 0, True)]
 
 
+def test_lists_of_a_hub_in_chunks(spark):
+    """A hub with a third of all edges is built by several tasks; its chunks, joined, are its list."""
+    rng = random.Random(5)
+    rows = [("hub", f"{rng.randrange(900):04d}") for _ in range(1500)] + [(f"n{rng.randrange(300)}", f"{rng.randrange(50):04d}") for _ in range(3000)] + [(None, "x"), ("y", None), ("z", "one")]
+    edges = spark.createDataFrame(rows, "src string, dst string").repartition(6)
+    chunks = graph.chunked_lists(edges, "src", "dst", 40).withColumn("part", F.spark_partition_id()).collect()
+    lists, expected = {}, {}
+    for r in sorted(chunks, key=lambda r: r["chunk"]):
+        own = lists.setdefault(r["src"], [])
+        assert r["before"] == len(own) and 0 < len(r["values"]) <= 40
+        own.extend(r["values"])
+    for a, b in rows:
+        if a is not None and b is not None:
+            expected.setdefault(a, set()).add(b)
+    assert lists == {k: sorted(v) for k, v in expected.items()} and len([r for r in chunks if r["src"] == "hub"]) >= len(expected["hub"]) // 40
+    assert graph.chunked_lists(edges.limit(0), "src", "dst").count() == 0
+
+
 def test_decoding(spark):
     body = '{"from":16909060,"to":4294967295,"channel":0,"type":"position","timestamp":1,"payload":{"latitude_i":5,"longitude_i":-6}}'
     msgs = spark.createDataFrame([(1, "msh/X/2/json/a", body), (2, "msh/X/2/json/a", "junk"), (3, "other/x", body)], "seq long, topic string, body string")
