@@ -343,9 +343,12 @@ def windows(net: Network, vocabulary: Vocabulary, numbers: np.ndarray, lengths:
     previous[begins] = net.BEGIN
     spans = np.array([lengths[own].sum() for own in dealt], np.int64)
     first = np.cumsum(spans) - spans
-    for k in range(0, int(spans.max(initial=0)), WINDOW):
+    k, end = 0, int(spans.max(initial=0))
+    while k < end:
         open_ = int(np.searchsorted(-spans, -k))
-        at = k + np.arange(WINDOW)[:, None]
+        steps = WINDOW * min(8, len(spans) // open_)  # longer where few lanes are left
+        at = k + np.arange(min(steps, end - k))[:, None]
+        k += steps
         on = at < spans[:open_]
         where = np.minimum(first[:open_] + at, len(numbers) - 1)
         yield np.where(on, previous[where], net.BEGIN).astype(np.int64), cls[where].astype(np.int64), place[where].astype(np.int64), np.where(on, back[where], -1)
