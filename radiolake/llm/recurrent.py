@@ -44,7 +44,7 @@ HIDDEN = 16
 WINDOW = 16
 #: Parts of the training texts that the rounds take, in 16ths.
 ROUNDS = (1, 2, 13)
-CHUNK_BYTES, CHUNK_TOKENS = 8 << 20, 6 << 20
+CHUNK_BYTES, CHUNK_TOKENS = 2 << 20, 4 << 20
 END = b""
 COUNTED = pa.schema([("token", pa.binary()), ("c", pa.int64())])
 
@@ -80,7 +80,7 @@ def token_counts(texts: DataFrame) -> DataFrame:
         for b in batches:
             for text in b.column("text"):
                 counts.update(tokens_of(text.as_py()))
-                if len(counts) > 500_000:
+                if len(counts) > 300_000:
                     yield out()
         yield out()
 
