@@ -486,7 +486,7 @@ def score(docs: DataFrame, training: Column | None = None) -> DataFrame:
     entries = rows.select("row", F.inline("rare"))
     tails = F.array(*[F.lit(float(x)) for x in words.tails.sum(0) + 1])
     tail = F.crc32(F.when(F.length("token") > 2, F.substring("token", -2, 2)).otherwise(F.col("token"))) % TAILS
-    seen = entries.join(broadcast_if_small(counts), "token", "left")
+    seen = entries.join(broadcast_if_small(counts).hint("shuffle_hash"), "token", "left")
     more = F.coalesce("c", F.lit(0)) + 1.0
     sums = seen.groupBy("row").agg(
         F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("known"), F.sum(F.col("n") * F.log10(more / float(words.n + words.v + 1))).alias("base_rare"),
