@@ -82,7 +82,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         seq.alias("id"), num.alias("from"), F.when(every(3), num + 1).otherwise(4294967295).alias("to"), F.concat(F.lit("!"), hex_id(num)).alias("sender"), F.when(~every(4), seq % 3).alias("channel"), type_.alias("type"),
         F.floor(F.col("ts_us") / 1_000_000).alias("timestamp"), (-k).alias("rssi"), value.alias("snr"), F.when(~every(4, 3), seq % 4).alias("hops_away"),
     ))
-    body = F.when(every(97), "{broken").when(bodies.isNull(), head).otherwise(F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(',"payload":'), bodies, F.lit("}")))
+    body = F.when(every(97), "{broken").otherwise(F.concat(F.rtrim(head, F.lit("}")), F.coalesce(F.concat(F.lit(',"payload":'), bodies), F.lit("")), F.lit("}")))
     topic = F.concat(F.when(every(50), "other").otherwise("msh/XX"), F.lit("/2/json/Test/!"), hex_id(num))
     return e.select("seq", "ts_us", topic.alias("topic"), F.encode(body, "UTF-8").alias("body"))
 
