@@ -136,6 +136,10 @@ def kinds_of(ports: pa.Array, bodies: pa.Array) -> pa.Array:
     return wire.payloads(ports, bodies, PORTS)
 
 
+def opened(encrypted: pa.Array, streams: pa.Array) -> pa.Array:
+    return wire.opened(encrypted, streams, PORTS)
+
+
 def metric_map(values: Column, names: list[str]) -> Column:
     """A struct of numbers as a map of texts, without its nulls."""
     entries = F.filter(F.array(*[F.struct(F.lit(n).alias("key"), values[n].cast("string").alias("value")) for n in names]), lambda e: e["value"].isNotNull())
@@ -145,10 +149,10 @@ def metric_map(values: Column, names: list[str]) -> Column:
 def binary(messages: DataFrame, keys: list[str]) -> DataFrame:
     """Binary messages ``(seq, ts_us, topic, body)`` as packets with a column for each kind's payload, as ``typed`` has them.
 
-    Packets that come encrypted are tried with each of the base64 ``keys``: the first whose plaintext can be read counts. What can't be
+    Packets that come encrypted are tried with each of the base64 ``keys``: the one whose plaintext can best be read counts (``wire.opened``). What can't be
     read (cut or foreign bytes, no key that fits, an empty payload of no port) is a packet of kind ``unknown``; envelopes that can't be have no sender either.
     """
-    packet_columns, opened_data, payload_columns = F.arrow_udf(wire.packets, wire.PACKETS), F.arrow_udf(wire.opened, wire.OPENED), F.arrow_udf(kinds_of, wire.PAYLOADS)
+    packet_columns, opened_data, payload_columns = F.arrow_udf(wire.packets, wire.PACKETS), F.arrow_udf(opened, wire.OPENED), F.arrow_udf(kinds_of, wire.PAYLOADS)
     rows = messages.filter(F.col("topic").contains("/2/e/") | F.col("topic").contains("/2/map/"))
     rows = rows.withColumn("m", packet_columns(F.coalesce(F.col("body").cast("binary"), F.lit(b"")))).select("seq", "ts_us", "topic", "m.*")
     secret = F.col("encrypted").isNotNull() & F.col("port").isNull() & F.col("id").isNotNull() & F.col("from").isNotNull()

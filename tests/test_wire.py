@@ -110,6 +110,22 @@ def test_keys(spark):
     assert rows_of(spark, bodies[:1], topic="msh/XX/2/json/a") == [] and rows_of(spark, []) == []
 
 
+def test_a_wrong_key_that_reads():
+    """Of streams that all give a message with a port, the one counts whose message can be meant."""
+    position = encoded(wire.DATA, {"port": 3, "payload": encoded(wire.POSITION, {"altitude": 5})})
+    right = [position, position, position, encoded(wire.DATA, {"port": 3}), encoded(wire.DATA, {"port": 1, "payload": b"hello"}), encoded(wire.DATA, {"port": 200, "payload": b"x"}), encoded(wire.DATA, {"port": 70})]
+    wrong = [b"\x08\x7f\x50\x01\x50\x01", b"\x08\x03\x12\x02\x0d\x01", b"\x08\x03\x18\x01\x18\x01", b"\x08\x46", b"\x08\x01\x18\x01\x60\x01\x60\x01\x00"[: len(encoded(wire.DATA, {"port": 1, "payload": b"hello"}))], b"\x08\x7f\x10\x01\x18\x01"[:6], b"\x08\x01"]
+    for r, w in zip(right, wrong, strict=True):
+        assert len(r) == len(w) or w[1] == 0x7F
+        w = w[: len(r)]
+        cipher, no_key = bytes(x ^ 0x5A for x in r), bytes([0x5A]) * len(r)
+        other = bytes(a ^ b for a, b in zip(cipher, w, strict=True))
+        for streams in ([other, no_key], [no_key, other]):
+            found = wire.opened(pa.array([cipher], pa.binary()), pa.array([streams], pa.list_(pa.binary())), decode.PORTS).to_pylist()[0]
+            expected = wire.packets(pa.array([encoded(wire.ENVELOPE, {"packet": encoded(wire.PACKET, {"decoded": r})})], pa.binary())).to_pylist()[0]
+            assert (found["port"], found["data"]) == (expected["port"], expected["data"]), (r, w)
+
+
 def test_names_and_units(spark):
     from radiolake.functions import mesh as m
 
