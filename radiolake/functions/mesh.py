@@ -118,9 +118,11 @@ def parse_iso(text: Column) -> Column:
 
 
 def with_unit(metric: Column, unit: str, decimals: int = 0) -> Column:
-    """A number with its unit; a metric that is no number as it is."""
+    """A number with its unit; a metric that is no number as it is. What is rounded to zero from below, and negative zero, keep their sign."""
     number = number_or_null(metric)
-    return F.when(number.isNotNull(), F.concat(F.format_string(f"%.{decimals}f", F.round(number, decimals)), F.lit(unit))).otherwise(metric.cast("string"))
+    rounded = F.round(number, decimals)  # of a negative number it may be zero without a sign
+    sign = F.when((rounded == 0) & number.cast("string").startswith("-"), "-").otherwise("")
+    return F.when(number.isNotNull(), F.concat(sign, F.format_string(f"%.{decimals}f", rounded + 0.0), F.lit(unit))).otherwise(metric.cast("string"))
 
 
 #: Unit and decimals that each metric is shown with; ``*_ch1`` to ``*_ch3`` as their metric.

@@ -42,6 +42,10 @@ def test_ids_of_nothing(spark):
     assert spark.sql("select mesh_hex(null), mesh_int('zz'), mesh_int(null)").first()[:] == (None, None, None)
 
 
+def test_sign_of_zero(spark):
+    assert [one(spark, m.with_unit(F.lit(x), " mA", 2)) for x in ("-0.0", "-0.001", "0.0", "0.001", "-0.01", "-")] == ["-0.00 mA", "-0.00 mA", "0.00 mA", "0.00 mA", "-0.01 mA", "-"]
+
+
 def test_distance(spark):
     d = one(spark, m.haversine_km(*map(F.lit, (38.58, -121.49, 37.77, -122.42))))
     assert 115 < d < 125
