@@ -17,6 +17,8 @@ are written, are few. The tree is never written down: a node's split follows fro
 task walks down it with its rows, through the nodes that these reach. The number of shards follows the words that are taken, unless the caller sets
 it, so a shard stays as large however large the corpus is (parts are less than 10**9 in all, the most that one draw may deal with).
 
+A document's words in the mix (``mixed_documents``) are counted from the rows that the tree deals out, not from the plan.
+
 Defined cases: a null text has no words; null is a source of its own, last in order; a source
 without words has target 0 and is not drawn; equal rows fall into the same block and part and are drawn
 alike; an empty table gives an empty mix. ``mix`` replaces an input column ``shard``; columns that begin with two
@@ -149,26 +151,45 @@ def plan_mix(docs: DataFrame, shards: int | None = None, seed: int = 0, shard_wo
     return replace(planned, docs=planned.docs.withColumnsRenamed(public))
 
 
-def mix(docs: DataFrame, shards: int | None = None, seed: int = 0, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """The mixed rows, each as often as it is drawn, with ``shard``; a shard is one partition, shuffled inside."""
-    planned = planned_mix(docs.drop("shard"), shards, seed, shard_words)
+def dealt_rows(planned: Mix, columns: list, seed: int = 0, all_rows: bool = False) -> DataFrame:
+    """``columns`` of the plan's rows, each row as often as it is drawn, with ``__draw`` and ``shard``, to which the tree deals it; with ``all_rows`` those that aren't drawn too, with nulls."""
     codes, quotas, n = {s: i for i, (s, _) in enumerate(planned.quotas)}, np.array([q for _, q in planned.quotas], np.int64), planned.shards
 
     @F.pandas_udf("long")
     def shard_of(source: pd.Series, place: pd.Series) -> pd.Series:
-        at = np.array([codes[s if isinstance(s, str) else None] for s in source], np.int64)
-        return pd.Series(leaves(quotas, n, seed, at, place.to_numpy(np.int64)))
+        drawn = place.notna().to_numpy()
+        at = np.array([codes[s if isinstance(s, str) else None] for s in source[drawn]], np.int64)
+        out = pd.Series(pd.NA, index=place.index, dtype="Int64")
+        out[drawn] = leaves(quotas, n, seed, at, place[drawn].to_numpy(np.int64))
+        return out
+
+    part = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "__hash", "__draw"), F.lit(planned.parts))
+    rows = planned.docs.withColumn("__hash", text_hash(F.col("text"))).withColumn("__draw", (F.explode_outer if all_rows else F.explode)("__draws"))
+    rows = rows.select(*columns, F.col("source").cast("string").alias("__from"), (F.col("__draw").cast("long") * planned.parts + part).alias("__place"), "__draw")
+    return rows.withColumn("shard", shard_of(F.col("__from"), F.col("__place")).cast("int")).drop("__from", "__place")
+
 
+def mix(docs: DataFrame, shards: int | None = None, seed: int = 0, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """The mixed rows, each as often as it is drawn, with ``shard``; a shard is one partition, shuffled inside."""
+    planned = planned_mix(docs.drop("shard"), shards, seed, shard_words)
     names = [c for c in plain(docs).columns if c != "shard"]
-    rows = planned.docs.select(*[F.col(f"`{c}`") for c in names], F.explode("__draws").alias("__draw"))
-    part = F.pmod(F.xxhash64(F.lit(seed), "doc_id", text_hash(F.col("text")), "__draw"), F.lit(planned.parts))
-    rows = rows.withColumn("shard", shard_of(F.col("source").cast("string"), F.col("__draw").cast("long") * planned.parts + part).cast("int"))
-    rows = rows.withColumn("__order", F.xxhash64(F.lit(seed), "doc_id", "__draw"))
+    rows = dealt_rows(planned, [F.col(f"`{c}`") for c in names], seed).withColumn("__order", F.xxhash64(F.lit(seed), "doc_id", "__draw"))
     return rows.repartitionById(planned.shards, "shard").sortWithinPartitions("shard", "__order").select(*[F.col(f"`{c}`") for c in names], "shard")
 
 
+def mixed_documents(planned: Mix, seed: int = 0) -> DataFrame:
+    """One row a document: its size, its source's size and target, and ``shards``, those that the tree deals it to, each as often as it is there."""
+    about = [F.col("doc_id"), F.col("source"), F.col("__hash"), F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.size("__draws").alias("__times")]
+    rows = dealt_rows(planned, about, seed, all_rows=True)
+    # equal documents are drawn alike, so a draw and its shard are one entry, and the rows are as many as the copies times the draws
+    dealt = F.collect_set(F.when(F.col("shard").isNotNull(), F.struct("__draw", "shard")))
+    counted = rows.groupBy(*[c for c in rows.columns if c not in ("__draw", "shard")]).agg(F.transform(F.sort_array(dealt), lambda x: x["shard"]).alias("shards"), F.count("*").alias("__rows"))
+    copies = F.floor(F.col("__rows") / F.greatest(F.lit(1), "__times")).cast("int")
+    return counted.withColumn("__copy", F.explode(F.sequence(F.lit(1), copies))).select("doc_id", "source", "size", "source_size", "target", "shards")
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    planned = plan_mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).docs
-    return planned.select(
-        "doc_id", "size", F.coalesce("source_size", F.lit(0)).alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), (F.col("size") * F.size("draws")).alias("taken")
+    mixed = mixed_documents(planned_mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")))
+    return mixed.select(
+        "doc_id", "size", F.coalesce("source_size", F.lit(0)).alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), (F.col("size") * F.size("shards")).alias("taken"), "shards"
     )

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from radiolake.llm import linededup, mixing, pieces, pii, quality, rules, sharding, simhash, similar, warc
+from radiolake.llm import linededup, mixing, pieces, pii, quality, queries, rules, sharding, simhash, similar, warc
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -108,6 +108,16 @@ def test_mix_comes_near_its_targets(spark):
     assert rows.n.max() <= 3 and ((got - want).abs() <= rows.groupby("source")["size"].max()).all()
 
 
+def test_mixed_documents_are_those_of_the_mix(spark):
+    """What op4 says of a document is read off the rows that the tree deals out, equal rows and undrawn ones too."""
+    rows = [(i, f"word {i} " * (i % 7), "ab"[i % 5 == 0]) for i in range(300)] + [(7, "the same again", "b")] * 40 + [(None, None, None), (None, "x y", None), (8, None, "a")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = mixing.mixed_documents(mixing.planned_mix(d, 6)).collect()
+    assert len(found) == len(rows) and Counter(r.doc_id for r in found) == Counter(r[0] for r in rows)
+    assert Counter((r.doc_id, s) for r in found for s in r.shards) == Counter((r.doc_id, r.shard) for r in mixing.mix(d, 6).collect())
+    assert "shards" in queries.QUERIES["op4_source_mix"](spark, SF).columns
+
+
 def base_spans(text):
     out = [(0, *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     out += [(1, *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) < 256 for x in m[0].split("."))]
