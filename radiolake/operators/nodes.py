@@ -187,10 +187,13 @@ def neighbor_records(nodes: DataFrame) -> DataFrame:
 
 def found_node(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     """For each ``wanted(said)`` the node of that id, or else the first with that short name, whatever its case."""
-    by_id = nodes.select("id", F.col("id").alias("__id"))
-    by_name = nodes.groupBy(F.lower("shortname").alias("__name")).agg(F.min("id").alias("__named"))
-    said = wanted.join(by_id.select("__id"), F.regexp_replace(F.lower(F.trim("said")), "!", "") == F.col("__id"), "left").join(by_name, F.lower(F.trim("said")) == F.col("__name"), "left")
-    return said.select("said", F.coalesce("__id", "__named").alias("id"))
+    key = lambda by, value: F.struct(F.lit(by).alias("by"), value.alias("key"))
+    # both look-ups are one join, so the nodes are computed once
+    keys = nodes.select("id", F.inline(F.array(key("id", F.col("id")), key("name", F.lower("shortname")))))
+    bare = F.lower(F.trim("said"))
+    said = wanted.select("said").distinct().select("said", F.inline(F.array(key("id", F.regexp_replace(bare, "!", "")), key("name", bare))))
+    found = keys.join(said, ["by", "key"]).groupBy("said").agg(F.min(F.when(F.col("by") == "id", F.col("id"))).alias("__id"), F.min(F.when(F.col("by") == "name", F.col("id"))).alias("__named"))
+    return wanted.join(found, "said", "left").select("said", F.coalesce("__id", "__named").alias("id"))
 
 
 def resolved_routes(traces: DataFrame, nodes: DataFrame) -> DataFrame:

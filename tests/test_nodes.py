@@ -157,3 +157,14 @@ def test_query_has_its_sql_rows(spark, name):
     cols = sorted(df.columns)
     flat = lambda rows: sorted(tuple(f"{x:.6g}" if isinstance(x, float) else str(x) for x in r) for r in rows)
     assert flat(df.select(*cols).collect()) == flat(con.sql(registry.ORACLE_SQL[name]).project(",".join(cols)).fetchall())
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_found_node_computes_the_nodes_once(spark):
+    n = spark.range(9).selectExpr("lpad(hex(id), 8, '0') id", "'N' || id % 3 shortname")
+    found = nodes.found_node(n, spark.createDataFrame([("!00000004",), (" n2",), ("n7",), (None,), (" n2",)], "said string"))
+    assert plan_of(found).count("Range (") == 1
+    assert sorted((r.said or "", r.id) for r in found.collect()) == [("", None), (" n2", "00000002"), (" n2", "00000002"), ("!00000004", "00000004"), ("n7", None)]
