@@ -30,10 +30,13 @@ LOGGED_ONLY = ("mapreport", "routing", "unknown")
 PAYLOADS = {"position": POSITION, "nodeinfo": NODEINFO, "text": TEXT, "traceroute": TRACEROUTE, "neighborinfo": NEIGHBORINFO, "telemetry": "map<string,string>"}
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """A batch table of fewer partitions than cores, dealt out to all of them, as decoding costs far more than moving the rows; else as it is."""
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """A batch table of few partitions, dealt out by a key to all cores, as decoding costs far more than moving the rows; else as it is.
+
+    A file's rows lie in as many tasks as it has row groups, fewer than its partitions, so these must be several times the cores to do.
+    """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    return rows.repartition(max(2 * cores, 16), key) if rows.rdd.getNumPartitions() < 4 * cores else rows
 
 
 def subscribed(messages: DataFrame, topics: list[str]) -> DataFrame:
@@ -111,14 +114,11 @@ def xor(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def key_stream(length: Column, key: Column, packet_id: Column, sender: Column) -> Column:
     """Counter mode's key stream: the encrypted counter blocks, made by the built-in block cipher."""
-    nonce = F.concat(little_endian64(packet_id), F.substring(little_endian64(sender), 1, 4))
-
-    def block(i: Column) -> Column:
-        counter = F.concat(nonce, F.unhex(F.lpad(F.hex(i), 8, "0")))
-        return F.hex(F.substring(F.aes_encrypt(counter, key, F.lit("ECB"), F.lit("PKCS")), 1, 16))
-
+    nonce = F.hex(F.concat(little_endian64(packet_id), F.substring(little_endian64(sender), 1, 4)))
     # data of whole blocks has one block of key stream more than it needs
-    return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.ceil(length / 16).cast("long")), block), ""))
+    counters = F.transform(F.sequence(F.lit(0).cast("long"), F.ceil(length / 16).cast("long")), lambda i: F.concat(nonce, F.lpad(F.hex(i), 8, "0")))
+    blocks = F.unhex(F.array_join(counters, ""))  # each block is encrypted by itself, all by one call; the padding's is cut off
+    return F.substring(F.aes_encrypt(blocks, key, F.lit("ECB"), F.lit("PKCS")), F.lit(1), F.length(blocks))
 
 
 def decrypted(data: Column, key: Column, packet_id: Column, sender: Column) -> Column:

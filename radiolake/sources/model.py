@@ -44,10 +44,10 @@ def now_us() -> F.Column:
     return F.unix_micros(F.lit(NOW).cast("timestamp"))
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The packet log in arrival order ``seq``."""
+def events(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    """The packet log in arrival order ``seq``; with ``spread``, its rows are dealt out to all cores before anything is computed of them."""
     e = table(spark, sf_dir, "events")
-    return e.select(
+    return (decode.spread(e, "event_id") if spread else e).select(
         F.col("event_id").alias("seq"), hex_id(F.col("user_id")).alias("from_id"), F.col("user_id").alias("from_num"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),
         F.col("event_type").alias("kind"), "value", "props", F.get_json_object("props", "$.k").cast("long").alias("k"),
     )
@@ -59,7 +59,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     Kinds follow the event types; some packets lack a payload or a field, some bodies are broken, some
     topics are not subscribed to, and some nodes announce another id than their own.
     """
-    e = decode.spread(events(spark, sf_dir))
+    e = events(spark, sf_dir, spread=True)
     seq, num, k, value = F.col("seq"), F.col("from_num"), F.col("k"), F.col("value")
     every = lambda n, r=0: seq % n == r
     kind = F.col("kind")
@@ -138,7 +138,7 @@ def envelope_of(seq: pd.Series, num: pd.Series, k: pd.Series, value: pd.Series,
 
 def binary_messages(spark: SparkSession, sf_dir: str, keys: list[str]) -> DataFrame:
     """The log of ``messages`` in the binary format, as (seq, ts_us, topic, body); every other packet is encrypted, under one of the keys in turn."""
-    e = decode.spread(events(spark, sf_dir))
+    e = events(spark, sf_dir, spread=True)
     seq, num, kind = F.col("seq"), F.col("from_num"), F.col("kind")
     type_ = F.when(kind == "view", "telemetry").when(kind == "signup", "nodeinfo").when(kind == "purchase", "position").when(kind == "error", "neighborinfo").when(seq % 2 == 0, "text").otherwise("traceroute")
     key = F.unbase64(F.element_at(F.array(*[F.lit(k) for k in keys]), (F.floor(seq / 2) % len(keys) + 1).cast("int")))

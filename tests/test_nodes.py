@@ -168,3 +168,9 @@ def test_found_node_computes_the_nodes_once(spark):
     found = nodes.found_node(n, spark.createDataFrame([("!00000004",), (" n2",), ("n7",), (None,), (" n2",)], "said string"))
     assert plan_of(found).count("Range (") == 1
     assert sorted((r.said or "", r.id) for r in found.collect()) == [("", None), (" n2", "00000002"), (" n2", "00000002"), ("!00000004", "00000004"), ("n7", None)]
+
+
+def test_events_are_spread_before_they_are_decoded(spark):
+    """A file of one row group is one task's; nothing is computed of its rows there."""
+    plan = plan_of(model.messages(spark, "/root/testdata/sf0.001"))
+    assert plan.index("get_json_object") < plan.index("Exchange hashpartitioning(event_id")
