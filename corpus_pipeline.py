@@ -33,7 +33,7 @@ def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group whose five-word Jaccard similarity is 0.8 or more."""
+    """The document with the smallest doc_id of each group: of SimHash fingerprints, with an exact check at a five-word Jaccard similarity of 0.8, and of texts as alike beyond the radius."""
     return drop_similar(docs).select(*COLUMNS)
 
 

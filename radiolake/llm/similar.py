@@ -1,11 +1,14 @@
-"""Near duplicates by exact Jaccard similarity of word shingles.
+"""Near duplicates by SimHash, with an exact check, and those beyond its radius by minima.
 
-Two texts are linked if the sets of their five-word shingles have a Jaccard similarity of ``LEAST``
-or more. Candidates are texts that meet in a table: the six pairs of bands of their five-word SimHash
-fingerprint (certain up to two differing bits), and ``TABLES`` tables keyed by ``ROWS`` minima of the
-shingles' hashes each. A SimHash radius alone can't hold 0.8: such pairs differ in up to 14 bits,
-where tables that make every pair meet compare nearly all texts with all. Of pairs at exactly 0.8,
-the minima miss (1 - 0.8 ** ROWS) ** TABLES, three in a million; of more alike ones, fewer.
+First the texts' five-word SimHash fingerprints are compared: those that differ in ``RADIUS`` bits or fewer are found in
+sharded BK-trees and linked into groups, as ``simhash`` does it. An exact check follows: two texts are linked if the sets
+of their shingles have a Jaccard similarity of ``LEAST`` or more, so fingerprints that are near by chance, or by a
+shingle that repeats, link nothing.
+
+The radius can't hold 0.8: such pairs differ in up to 14 bits, where shards that make every pair meet
+compare nearly all texts with all. So texts also meet in ``TABLES`` tables keyed by ``ROWS`` minima of the
+shingles' hashes each, with the same check. Of pairs at exactly 0.8 the minima miss (1 - 0.8 ** ROWS) ** TABLES,
+three in a million; of more alike ones, fewer.
 
 Every candidate is confirmed on the sets themselves before it is linked. Only texts that share a
 bucket have their sets shuffled; a bucket of more than ``MAX_CELL`` texts is dealt into parts whose
@@ -29,9 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from radiolake.llm.shared import plain, stage_table, text_hash
-from radiolake.llm.simhash import PAIR_BITS, components, dealt_cells, fingerprint_of_hashes, shard_keys, shingle_hashes
+from radiolake.llm.simhash import components, dealt_cells, fingerprint_links, fingerprint_of_hashes, shingle_hashes
 
 WORDS = 5
+RADIUS = 2
 LEAST = (4, 5)
 TABLES = 32
 ROWS = 5
@@ -100,9 +104,20 @@ def sets(texts: DataFrame) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, "node long, members array<long>")
 
 
+def simhash_groups(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(node, key) of ``nodes(node, fp)``; key: the group of those whose fingerprints are linked, step by step, within the radius."""
+    prints = stage_table(nodes.select("fp").distinct(), "similar-prints")
+    links = stage_table(fingerprint_links(prints, radius), "similar-print-links")
+    label = F.col("fp")
+    if links.limit(1).count():
+        nodes = nodes.join(stage_table(components(links), "similar-groups").withColumnsRenamed({"node": "fp", "label": "group"}), "fp", "left")
+        label = F.coalesce("group", "fp")
+    return nodes.select("node", F.xxhash64(label, F.lit(2)).alias("key"))
+
+
 def similar_links(docs: DataFrame, nodes: DataFrame, max_cell: int = MAX_CELL) -> DataFrame:
     """Links (a, b), a > b, that connect the nodes of alike texts; ``nodes(node, first, keys, fp)`` of ``docs``."""
-    keyed = nodes.select("node", F.explode(F.concat("keys", shard_keys(F.col("fp"), PAIR_BITS))).alias("key"))
+    keyed = simhash_groups(nodes).unionByName(nodes.select("node", F.explode("keys").alias("key")))
     # rows that are alone in their bucket go before any set is made
     sizes = stage_table(keyed.groupBy("key").count().filter("count > 1"), "similar-buckets")
     keyed = stage_table(keyed.join(sizes, "key"), "similar-rows")

@@ -337,6 +337,36 @@ def test_edited_copies_leave_the_pipeline(spark):
     assert similar.drop_similar(nulls).count() == len(got)
 
 
+def test_pipeline_compares_fingerprints(spark):
+    """Groups are those of all pairs within two bits, step by step; an equal band of bits is no link."""
+    rng = random.Random(6)
+    prints = [rng.getrandbits(64) for _ in range(200)]
+    prints += [p ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64) for p in prints[:60]]
+    prints += [p ^ 1 << rng.randrange(64) for p in prints[200:230]] + prints[:10]
+    prints += [p ^ 0xFFFFFFFF for p in prints[100:120]] + [p ^ 0b111 for p in prints[120:140]]
+    label = list(range(len(prints)))
+    for i in range(len(prints)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 2 and label[i] != label[j]:
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    nodes = spark.createDataFrame([(i, p - (1 << 64) if p >> 63 else p) for i, p in enumerate(prints)], "node long, fp long")
+    got = {}
+    for r in similar.simhash_groups(nodes).collect():
+        got.setdefault(r["key"], []).append(r["node"])
+    expected = {}
+    for i, x in enumerate(label):
+        expected.setdefault(x, []).append(i)
+    assert sorted(map(sorted, got.values())) == sorted(expected.values()) and len(expected) == 240
+    # alone, with no tables of minima, they link what the exact check confirms and nothing else
+    words = [f"w{i}" for i in range(60)]
+    texts = [(0, " ".join(words), 5), (1, " ".join([*words, "new"]), 5 ^ 3), (2, " ".join(words[:58]), 5 ^ 0b111 << 40), (3, "other words of another text", 5)]
+    docs = spark.createDataFrame([t[:2] for t in texts], "doc_id long, text string")
+    hashes = {r[0]: r[1] for r in docs.select("doc_id", similar.text_hash(F.col("text"))).collect()}
+    nodes = spark.createDataFrame([(hashes[i], i, [], fp) for i, _, fp in texts], "node long, first long, keys array<long>, fp long")
+    assert [{r["a"], r["b"]} for r in similar.similar_links(docs, nodes).collect()] == [{hashes[0], hashes[1]}]
+
+
 def test_pipeline_stages(spark):
     docs, sizes = spark.read.parquet(f"{SF}/documents.parquet"), []
     columns = docs.columns
