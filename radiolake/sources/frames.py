@@ -3,7 +3,8 @@
 A recording has a folder for each broker, and in it segments: files of one JSON frame a line (``seq``, ``ts_us``, ``topic``, ``body`` in base64),
 in folders whose names rise. An offset is, for each broker, the segment and the byte up to which it has been read; segments before it have been read whole. So an
 offset's size is that of the brokers' list, and a query that starts again from its checkpoint reads on at the byte where it ended. Only whole
-lines count, so a segment may still be written to. A batch is cut into parts of ``part_bytes``, each read by its own task: a line belongs to the part it begins in.
+lines count, so a segment may still be written to. A batch is cut into parts of ``part_bytes``, each read by its own task: a line belongs to the part it begins in. A batch
+that would have more than ``PARTS`` of them has larger ones, of up to ``PART_BYTES``, as each part costs a task and a file of its sink.
 
 A line that is no frame is a row with ``error`` and its text as ``body``, not the end of the query.
 """
@@ -26,6 +27,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 SCHEMA = "seq long, ts_us long, topic string, body binary, broker string, segment string, at long, error string"
 COLUMNS = pa.schema([("seq", pa.int64()), ("ts_us", pa.int64()), ("topic", pa.string()), ("body", pa.binary()), ("broker", pa.string()), ("segment", pa.string()), ("at", pa.int64()), ("error", pa.string())])
 PART_BYTES = 32 << 20
+PARTS = 64
 
 
 def topic_fits(topic: str, wanted: str) -> bool:
@@ -84,7 +86,7 @@ class Recording:
         return {b: [s[-1][0], self.whole(b, *s[-1])] for b, s in self.segments().items()}
 
     def between(self, start: dict[str, list], end: dict[str, list]) -> list[Part]:
-        parts = []
+        spans = []
         for broker, segments in self.segments().items():
             if broker not in end:
                 continue
@@ -92,8 +94,10 @@ class Recording:
             for segment, size in segments:
                 if first <= segment <= last:
                     lo, hi = begin if segment == first else 0, stop if segment == last else size
-                    parts += [Part(broker, segment, at, min(at + self.part_bytes, hi)) for at in range(lo, hi, self.part_bytes)]
-        return parts
+                    spans.append((broker, segment, lo, hi))
+        even = -(-sum(hi - lo for *_, lo, hi in spans) // PARTS)
+        step = max(self.part_bytes, min(even, PART_BYTES))
+        return [Part(broker, segment, at, min(at + step, hi)) for broker, segment, lo, hi in spans for at in range(lo, hi, step)]
 
     def lines(self, part: Part) -> Iterator[tuple[int, bytes]]:
         """(place, line) of the lines that begin in a part."""
@@ -185,5 +189,5 @@ def register(spark: SparkSession) -> None:
 
 def record(messages: DataFrame, path: str, broker: str, folder: str) -> None:
     """Write messages as a folder of segments of a broker; later folders need names that sort behind earlier ones."""
-    frame = F.to_json(F.struct("seq", "ts_us", "topic", F.base64(F.col("body").cast("binary")).alias("body")))
-    messages.select(F.regexp_replace(frame, r"\\r\\n", "").alias("value")).write.text(f"{path}/{broker}/{folder}")
+    body = F.replace(F.base64(F.col("body").cast("binary")), F.lit("\r\n"), F.lit(""))
+    messages.select(F.to_json(F.struct("seq", "ts_us", "topic", body.alias("body"))).alias("value")).write.text(f"{path}/{broker}/{folder}")

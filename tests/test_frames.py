@@ -80,3 +80,15 @@ def test_malformed_frames_are_rows(spark, source, tmp_path):
     assert sorted(r["seq"] for r in out if r["error"] is None) == [1, 2, 4]
     assert sorted(bytes(r["body"]) for r in out if r["error"]) == sorted(bad)
     assert spark.read.format("broker_frames").option("path", f"{tmp_path}/none").load().count() == 0
+
+
+def test_large_batches_have_bounded_parts(tmp_path):
+    """Parts grow with a batch, as each costs a task and a file, and still hold each line once."""
+    (tmp_path / "one").mkdir()
+    line = json.dumps({"seq": 1, "ts_us": 1, "topic": "a", "body": ""}) + "\n"
+    (tmp_path / "one" / "0").write_text(line * 9_000)
+    recording = frames.Recording({"path": str(tmp_path), "part_bytes": "1000"})
+    parts = recording.between({}, recording.newest())
+    assert 2 < len(parts) <= frames.PARTS + 1 and sum(len(list(recording.lines(p))) for p in parts) == 9_000
+    few = recording.between({"one": ["0", len(line) * 8_900]}, recording.newest())
+    assert all(p.end - p.start <= 1000 for p in few) and sum(p.end - p.start for p in few) == 100 * len(line)
