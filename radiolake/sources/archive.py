@@ -65,13 +65,18 @@ class Archive:
 
 def save_objects(records: DataFrame, path: str, each: int = 10_000) -> None:
     """Write ``records(id, record)``, a record being a variant or a struct, as files of one JSON object from id to record each, of about ``each`` records."""
-    n = records.count()
-    parts = max(1, -(-n // each))
     entry = F.concat(F.to_json(F.struct(F.col("id").alias("k"))), F.lit("\x00"), F.coalesce(F.to_json("record"), F.lit("null")))
-    rows = records.filter("id is not null").select(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"), "id", entry.alias("entry"))
+    # written beside the files, so that the records are made once, and not once more to be counted
+    spark, beside = records.sparkSession, f"{path.rstrip('/')}-entries-{uuid.uuid4().hex}"
+    records.filter("id is not null").select("id", entry.alias("entry")).write.parquet(beside)
+    entries = spark.read.schema("id string, entry string").parquet(beside)
+    parts = max(1, -(-entries.count() // each))
+    rows = entries.select(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"), "entry")
     # {"k":"id"} and the record become "id":record
     pairs = F.transform(F.sort_array(F.collect_list("entry")), lambda e: F.regexp_replace(e, r'(?s)^\{"k":(.*?)\}\x00', r"$1:"))
     rows.groupBy("part").agg(F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}")).alias("value")).select("value").write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(beside)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def load_objects(spark: SparkSession, path: str) -> DataFrame:

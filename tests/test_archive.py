@@ -60,3 +60,17 @@ def test_objects_keep_unknown_members(spark, tmp_path):
     typed = spark.createDataFrame([("0000000a", {"x": 1})], "id string, r map<string,int>").select("id", F.struct(F.col("r").alias("m")).alias("record"))
     save_objects(typed, f"{tmp_path}/typed")
     assert found(load_objects(spark, f"{tmp_path}/typed")) == {"0000000a": {"m": {"x": 1}}}
+
+
+def test_records_are_made_once(spark, tmp_path):
+    """Counting the records for their files doesn't make them again; nothing is left beside the files."""
+    made = spark.sparkContext.accumulator(0)
+
+    def one(id_):
+        made.add(1)
+        return True
+
+    rows = spark.range(50).select(F.lower(F.lpad(F.hex("id"), 8, "0")).alias("id"), F.struct("id").alias("record")).filter(F.udf(one, "boolean")("id"))
+    save_objects(rows, f"{tmp_path}/once", 10)
+    assert made.value == 50 and [f.name for f in tmp_path.iterdir()] == ["once"]
+    assert load_objects(spark, f"{tmp_path}/once").count() == 50
