@@ -1,89 +1,82 @@
 """Activity of nodes as a stream: when each appears, expires by silence, and returns.
 
-A stateful operator keeps a node's newest time, whether it is active, and the packets that the watermark hasn't passed
+A stateful operator keeps each node's newest time, whether it is active, and the packets that the watermark hasn't passed
 yet. These are taken in order of time once it has, so packets that come late (within the watermark's delay), out of order or twice
-lead to the same transitions as a replay in order. A timer of event time is set to whatever is due next: the
-earliest packet that waits, or else the end of the node's time of activity; so a node expires without a packet of its own, as
+lead to the same transitions as a replay in order. A timeout of event time is set to whatever is due next: the
+earliest packet that waits, or the end of a node's time of activity; so a node expires without a packet of its own, as
 soon as packets of others move the watermark past that point. Packets beyond the delay are dropped, as the watermark says.
 
-State is one small row a node and what a delay's packets hold; it is sharded by node, checkpointed with the offsets, and a
-restarted query goes on from there.
+State is a few numbers a node and what a delay's packets hold, for the nodes of one of ``SHARDS`` shards together: calls and state that are a node's own
+would cost milliseconds each. It is checkpointed with the offsets, and a restarted query goes on from there.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from radiolake.operators.nodes import touches
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUT = "id string, event string, at_us long, since_us long"
-#: ``waiting``: times, doubled, plus one where the packet makes its node known; ``timer_ms`` 0: none.
-STATE = "last_us long, active boolean, waiting array<long>, timer_ms long"
-
-
-class Activity(StatefulProcessor):
-    def __init__(self, inactive_us: int):
-        self.inactive_us = inactive_us
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.node = handle.getValueState("node", STATE)
-
-    def read(self) -> list:
-        state = self.node.get()
-        return [None, False, [], 0] if state is None else [None if pd.isna(state[0]) else int(state[0]), bool(state[1]), [int(w) for w in state[2]], int(state[3])]
-
-    def write(self, last: int | None, active: bool, waiting: list[int], timer: int) -> None:
-        """Keep the state, with its timer at what is due next."""
-        due = waiting[0] // 2 if waiting else last + self.inactive_us if active else None
-        wanted = 0 if due is None else -(-due // 1000)
-        if wanted != timer:
-            if timer:
-                self.handle.deleteTimer(timer)
-            if wanted:
-                self.handle.registerTimer(wanted)
-        self.node.update((last, active, waiting, wanted))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last, active, waiting, timer = self.read()
-        for batch in rows:
-            waiting += (batch["ts_us"] * 2 + batch["makes_known"]).astype("int64").tolist()
-        self.write(last, active, sorted(waiting), timer)
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        last, active, waiting, timer = self.read()
-        now, out = timerValues.getCurrentWatermarkInMs() * 1000, []
-        if timer == expiredTimerInfo.getExpiryTimeInMs():
-            timer = 0  # it is gone
-        passed = [w for w in waiting if w // 2 <= now]
-        for w in passed:
-            at = w // 2
-            if active and at - last >= self.inactive_us:
-                out.append(("expired", last + self.inactive_us, None))
-                active = False
-            if last is None and not w % 2:
-                continue  # a text of a node that isn't known
-            if not active:
-                out.append(("appeared", at, None) if last is None else ("returned", at, at - last))
-            last, active = at, True
-        if active and last + self.inactive_us <= now:
-            out.append(("expired", last + self.inactive_us, None))
+#: A list a node of each. ``waiting``: times, doubled, plus one where the packet makes its node known.
+STATE = "ids array<string>, last_us array<long>, active array<boolean>, waiting array<array<long>>"
+SHARDS = 256
+
+
+def advanced(last: int | None, active: bool, passed: list[int], now: int, inactive_us: int) -> tuple[int | None, bool, list[tuple]]:
+    """A node after the packets that the watermark ``now`` has passed, and its transitions."""
+    out = []
+    for w in passed:
+        at = w // 2
+        if active and at - last >= inactive_us:
+            out.append(("expired", last + inactive_us, None))
             active = False
-        self.write(last, active, waiting[len(passed) :], timer)
+        if last is None and not w % 2:
+            continue  # a text of a node that isn't known
+        if not active:
+            out.append(("appeared", at, None) if last is None else ("returned", at, at - last))
+        last, active = at, True
+    if active and last + inactive_us <= now:
+        out.append(("expired", last + inactive_us, None))
+        active = False
+    return last, active, out
+
+
+def activity(inactive_us: int):
+    """What a batch makes of a shard's nodes: a function of its key, its new rows and its state."""
+
+    def run(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        nodes = {i: (last, active, list(waiting)) for i, last, active, waiting in zip(*state.get, strict=True)} if state.exists else {}
+        now, out, due = state.getCurrentWatermarkMs() * 1000, [], []
+        if not state.hasTimedOut:
+            for batch in rows:
+                times = (batch["ts_us"].to_numpy() * 2 + batch["makes_known"].to_numpy()).astype("int64").tolist()
+                for i, w in zip(batch["id"].tolist(), times, strict=True):
+                    nodes.setdefault(i, (None, False, []))[2].append(w)
+        for i, (last, active, waiting) in nodes.items():
+            waiting.sort()
+            passed = bisect_right(waiting, now * 2 + 1)
+            last, active, found = advanced(last, active, waiting[:passed], now, inactive_us)
+            out += [(i, *x) for x in found]
+            nodes[i] = (last, active, waiting[passed:])
+            if waiting[passed:]:
+                due.append(waiting[passed] // 2)
+            elif active:
+                due.append(last + inactive_us)
+        state.update((list(nodes), *([node[k] for node in nodes.values()] for k in range(3))))
+        if due:
+            state.setTimeoutTimestamp(max(1, -(-min(due) // 1000) - 1))  # it comes once the watermark is beyond it
         if out:
-            frame = pd.DataFrame(out, columns=["event", "at_us", "since_us"]).astype({"since_us": "Int64"})
-            frame.insert(0, "id", key[0])
-            yield frame
+            yield pd.DataFrame(out, columns=["id", "event", "at_us", "since_us"]).astype({"since_us": "Int64"})
 
-    def close(self) -> None:
-        pass
+    return run
 
 
 def heard(messages: DataFrame) -> DataFrame:
@@ -95,9 +88,10 @@ def transitions_stream(heard: DataFrame, out: str, checkpoint: str, inactive_s:
     """Write the transitions of a stream ``heard`` as Parquet, each once."""
     spark = heard.sparkSession
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)  # the only one with timers; a started query keeps it
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)  # on disk; a started query keeps it
     try:
-        changes = heard.select("id", "ts", "ts_us", "makes_known").withWatermark("ts", late).groupBy("id").transformWithStateInPandas(statefulProcessor=Activity(inactive_s * 1_000_000), outputStructType=OUT, outputMode="Append", timeMode="EventTime")
+        shard = F.pmod(F.xxhash64("id"), F.lit(SHARDS)).alias("shard")
+        changes = heard.select("id", "ts", "ts_us", "makes_known", shard).withWatermark("ts", late).groupBy("shard").applyInPandasWithState(activity(inactive_s * 1_000_000), OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
         return changes.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)

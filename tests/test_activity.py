@@ -66,6 +66,17 @@ def test_restarted_stream_is_the_replay(spark, packets, tmp_path):
     assert len({r[0] for r in out}) == 13 and {r[1] for r in out} == {"appeared", "expired", "returned"}
 
 
+def test_state_is_kept_by_shard(spark, tmp_path):
+    """Many nodes are few calls: the state has a row a shard, not one a node."""
+    rows = [row(f"{i:08x}", START + i) for i in range(3_000)]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/in")
+    query = activity.transitions_stream(fold.read_log(spark, f"{tmp_path}/in", spark.createDataFrame([], SCHEMA).schema), f"{tmp_path}/out", f"{tmp_path}/offsets")
+    query.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]) <= 256
+    out = run(spark, tmp_path, [[row("clock", START + 10_000 * MINUTE, False)]])
+    assert sorted((r[0], r[1]) for r in out) == sorted((r[0], e) for r in rows for e in ("appeared", "expired"))
+
+
 def test_silence_expires_without_a_packet_of_the_node(spark, tmp_path):
     first = [row("0000000a", START), row("0000000b", START)]
     assert run(spark, tmp_path, [first])[:1] in ([], [("0000000a", "appeared", START, None)])
