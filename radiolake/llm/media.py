@@ -6,10 +6,11 @@ least ``MIN_VOTES`` different corners of either, and ``MIN_SHARE`` of those of t
 fewer, each alike one of the other (at most ``MAX_BITS`` differing bits), agree on one shift, turn and scale. Links join images into classes.
 
 Images that share a key in one of ``TABLES`` Hamming tables (``KEY_BITS`` of a corner's bits each) are
-candidates, and a candidate is decided on all corners of both images. A bucket of at most ``SMALL``
-images is paired out. In a larger one every image is first compared with the bucket's hub, the image
-that comes first in one fixed order, so a group of copies falls together at a cost that is linear in
-it. What is then left in a larger bucket, images of different classes, is dealt into parts of
+candidates, and a candidate is decided on all corners of both images. Every image is first compared with
+one other: a bucket's hub is the image that comes first in one fixed order, and of its hubs in the first
+table the one counts that most of its keys lead to. So most of a group of copies falls together at one pair
+an image, and from then on only images of different classes are paired. A bucket of at most ``SMALL``
+images is paired out, in a larger one every image is compared with the hub. What is then left in a larger bucket, images of different classes, is dealt into parts of
 about ``PART`` images, and each two parts are compared in a cell of their own, which emits the links
 it finds and never the pairs. Parts of one class are not compared with each other. So every two
 images that share a key are decided on, or in one class already; only the key tables can miss a copy,
@@ -31,7 +32,7 @@ from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from radiolake.llm.shared import broadcast_if_small, drop_staged, stage_table, table
@@ -266,28 +267,44 @@ def keyed(images: DataFrame, table_: int) -> DataFrame:
 
 
 def decided(pairs: DataFrame, images: DataFrame) -> DataFrame:
-    """Those of ``pairs(a, b)`` that are linked."""
-    of = images.select("node", "corners")
-    both = pairs.join(of.select(F.col("node").alias("a"), F.col("corners").alias("ca")), "a").join(of.select(F.col("node").alias("b"), F.col("corners").alias("cb")), "b")
+    """The classes (a, b) of those of ``pairs(a, b)`` that are linked; ``images(node, label, corners)``."""
+    first, second = (images.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"), F.col("corners").alias(f"c{c}")) for c in "ab")
+    both = pairs.join(first, "a").join(second, "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             alike = [linked(np.frombuffer(x, CORNER), np.frombuffer(y, CORNER)) for x, y in zip(b.column("ca").to_pylist(), b.column("cb").to_pylist(), strict=True)]
-            yield b.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
+            yield b.select(["la", "lb"]).rename_columns(["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
-    return both.select("a", "b", "ca", "cb").mapInArrow(run, "a long, b long")
+    return both.select("la", "lb", "ca", "cb").mapInArrow(run, "a long, b long")
+
+
+def hub_of() -> Column:
+    return F.min(F.struct(F.xxhash64("node").alias("order"), "node", "label"))
+
+
+def hub_links(images: DataFrame) -> DataFrame:
+    """Links between an image and, of the hubs of its buckets in the first table, that of most of its keys. Staged."""
+    rows = keyed(images, 0)
+    hubs = rows.groupBy("key").agg(F.count("*").alias("n"), hub_of().alias("hub")).filter("n > 1").select("key", F.col("hub.node").alias("hub"))
+    met = rows.select("key", "node").join(hubs, "key").filter("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("n"))
+    best = met.groupBy("node").agg(F.max(F.struct("n", "hub")).alias("best")).select("node", "best.hub")
+    pairs = stage_table(best.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct(), "media-hub-pairs")
+    links = stage_table(decided(pairs, images), "media-hub-links")
+    drop_staged(pairs)
+    return links
 
 
 def first_links(images: DataFrame) -> DataFrame:
-    """Links between the images of paired out buckets, and between a larger one's images and its hub."""
-    images, met = images.withColumn("label", F.col("node")), []
+    """Links between classes: of the images of paired out buckets, and of a larger one's images and its hub; ``images(node, label, corners)``."""
+    met = []
     for t in range(TABLES):
-        rows = keyed(images, t).select("key", "node")
-        sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node").alias("order"), "node")).alias("hub"))
-        shared = stage_table(rows.join(sizes.filter("n > 1").select("key", "n", F.col("hub.node").alias("hub")), "key"), f"media-shared-{t}")
-        few = shared.filter(F.col("n") <= SMALL).select("key", "node")
-        pairs = few.alias("a").join(few.alias("b"), "key").filter("a.node > b.node").select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
-        spokes = shared.filter((F.col("n") > SMALL) & (F.col("node") != F.col("hub"))).select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b"))
+        rows = keyed(images, t)
+        mixed = rows.groupBy("key").agg(F.count("*").alias("n"), hub_of().alias("hub"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+        shared = stage_table(rows.join(mixed.select("key", "n", "hub"), "key"), f"media-shared-{t}")
+        few = shared.filter(F.col("n") <= SMALL).select("key", "node", "label")
+        pairs = few.alias("a").join(few.alias("b"), "key").filter("a.node > b.node and a.label <> b.label").select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+        spokes = shared.filter((F.col("n") > SMALL) & (F.col("label") != F.col("hub.label"))).select(F.greatest("node", "hub.node").alias("a"), F.least("node", "hub.node").alias("b"))
         met.append(stage_table(pairs.unionByName(spokes).distinct(), f"media-pairs-{t}"))
         drop_staged(shared)
     pairs = stage_table(reduce(DataFrame.unionByName, met).distinct(), "media-pairs")
@@ -313,7 +330,7 @@ def mixed_rows(images: DataFrame) -> DataFrame:
 
 
 def rest_links(images: DataFrame, part: int = PART) -> DataFrame:
-    """Links between images of different classes that share a larger bucket; ``images(node, label, corners)``."""
+    """Links between classes whose images share a larger bucket; ``images(node, label, corners)``."""
     rows = mixed_rows(images)
     groups = stage_table(rows.groupBy("key", "label").agg(F.count("*").alias("n")), "media-groups")
     scattered = stage_table(groups.groupBy("key").agg(F.sum(F.when(F.col("n") < part, F.col("n")).otherwise(0)).alias("scattered")), "media-scattered")
@@ -332,20 +349,20 @@ def rest_links(images: DataFrame, part: int = PART) -> DataFrame:
     dealt = rows.select("key", "node", "label", F.xxhash64("home", F.coalesce("home", F.lit(0)), "at").alias("part"))
     sides = dealt.join(cells.withColumn("part", F.col("low")), ["key", "part"]).unionByName(dealt.join(cells.filter("low <> high").withColumn("part", F.col("high")), ["key", "part"]))
     n = int(images.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sides = sides.join(images.select("node", "corners"), "node").select("key", "low", "high", "part", "node", "label", "corners").repartition(n, "key", "low", "high").sortWithinPartitions("key", "low", "high", "part")
+    sides = sides.join(images.select("node", "corners"), "node").select("key", "low", "high", "part", "label", "corners").repartition(n, "key", "low", "high").sortWithinPartitions("key", "low", "high", "part")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, members = None, []
         for b in batches:
-            cols = [b.column(c).to_pylist() for c in ("key", "low", "high", "part", "node", "label", "corners")]
+            cols = [b.column(c).to_pylist() for c in ("key", "low", "high", "part", "label", "corners")]
             out = []
-            for key, low, high, at, node, label, data in zip(*cols, strict=True):
+            for key, low, high, at, label, data in zip(*cols, strict=True):
                 if (key, low, high) != last:
                     last, members = (key, low, high), []
                 mine = np.frombuffer(data, CORNER)
-                out += [(node, other) for part_of, other, of, c in members if of != label and (part_of != at or low == high) and linked(mine, c)]
+                out += [(label, of) for part_of, of, c in members if of != label and (part_of != at or low == high) and linked(mine, c)]
                 if at == low:
-                    members.append((at, node, label, mine))
+                    members.append((at, label, mine))
             if out:
                 pairs = np.array(out, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
@@ -355,20 +372,24 @@ def rest_links(images: DataFrame, part: int = PART) -> DataFrame:
     return links
 
 
+def merged(images: DataFrame, links: DataFrame) -> DataFrame:
+    """``images(label, ...)`` with one label for classes that ``links(a, b)`` join. Staged, in place of the staged ``images``."""
+    if not links.limit(1).count():
+        return images
+    above = stage_table(components(links).select(F.col("node").alias("label"), F.col("label").alias("above")), "media-labels")
+    out = stage_table(images.join(above, "label", "left").withColumn("label", F.coalesce("above", "label")).drop("above"), "media-images")
+    drop_staged(images, above)
+    return out
+
+
 def image_classes(images: DataFrame, part: int = PART) -> DataFrame:
     """(id, class_id, n_corners) a row of ``images(id, image)``; class_id: smallest id of the class."""
     rows = stage_table(corners(images), "media-corners")
-    ones = stage_table(rows.groupBy("node").agg(F.first("n_corners").alias("n_corners"), F.first("corners").alias("corners")), "media-images")
-    links = first_links(ones)
-    label = F.coalesce("label", "node").alias("label")
-    if links.limit(1).count():
-        labels = stage_table(components(links), "media-labels")
-        more = rest_links(ones.join(labels, "node", "left").select("node", label, "n_corners", "corners"), part)
-        if more.limit(1).count():
-            labels = stage_table(components(links.unionByName(more)), "media-labels")
-        members = rows.select("id", "node", "n_corners").join(labels, "node", "left").select("id", label, "n_corners")
-    else:
-        members = rows.select("id", F.col("node").alias("label"), "n_corners")
+    ones = stage_table(rows.groupBy("node").agg(F.col("node").alias("label"), F.first("n_corners").alias("n_corners"), F.first("corners").alias("corners")), "media-images")
+    ones = merged(ones, hub_links(ones))
+    ones = merged(ones, first_links(ones))
+    ones = merged(ones, rest_links(ones, part))
+    members = rows.select("id", "node", "n_corners").join(ones.select("node", "label"), "node").select("id", "label", "n_corners")
     least = stage_table(members.groupBy("label").agg(F.min("id").alias("class_id")), "media-classes")
     return members.join(least, "label").select("id", "class_id", "n_corners")
 

@@ -89,3 +89,18 @@ def test_query(spark):
     assert len(out) == 2 * n and out.columns.tolist() == ["vec_id", "edited", "image_id", "class_id", "n_corners"]
     own = out.set_index("image_id").class_id
     assert (own[out.image_id[~out.edited]].to_numpy() == own[out.image_id[~out.edited] + 1].to_numpy()).mean() >= 0.99
+
+
+def test_a_group_of_copies_makes_a_pair_an_image(spark, monkeypatch):
+    """Near copies share most of their keys, each with another hub; once they are one class, no two of them are paired again."""
+    image, rng = media.render(np.random.default_rng(5).normal(size=64)).astype(float), np.random.default_rng(6)
+    copies = [np.clip(image + rng.normal(0, 3, image.shape), 0, 255).astype(np.uint8) for _ in range(60)]
+    decided, counts = media.decided, []
+
+    def counted(pairs, images):
+        counts.append(pairs.count())
+        return decided(pairs, images)
+
+    monkeypatch.setattr(media, "decided", counted)
+    assert classes(spark, copies) == components(media.describe(copies), meeting=True)
+    assert sum(counts) <= 2 * len(copies)
