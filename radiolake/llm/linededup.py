@@ -11,9 +11,9 @@ have at least two lines and ``MIN_CHARS`` characters together, so a short line t
 stays; and at least one of them must have ``ANCHOR_CHARS``, as shorter ones repeat by chance. Everything
 else about a text is kept.
 
-Chunks are counted by hash; the bytes of those that share a hash are then compared, and a hash that
-two different chunks share removes nothing. Counts and decisions travel as hashes, so the texts are
-shuffled once to compare bytes and once to apply decisions.
+Chunks are counted by hash, and lists of their line numbers decide what goes. The texts are then shuffled
+once: each is cut into lines again, loses what goes, and gives the bytes of that and of where it is first. If two
+different chunks share a hash, the step is repeated with such hashes removing nothing.
 
 Defined cases: a null text stays null, an empty one empty; a text whose chunks all go becomes
 empty, its row stays; a null doc_id counts as the smallest; rows that repeat a doc_id share its
@@ -27,14 +27,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from radiolake.llm.shared import stage_table, table, text_hash
+from radiolake.llm.shared import drop_staged, stage_table, table, text_hash
 
 WINDOW = 2
 #: A line ends a chunk with probability 1 / MEAN_LINES.
 MEAN_LINES = 2
 MIN_CHARS = 64
 ANCHOR_CHARS = 24
-LINE_END = r"\n|[.!?,;:|] |[a-hA-H][x-zX-Z] "
+#: What ends a line, for texts without MARK: as LINE_ENDS, but only looked at where a space or line feed is.
+LINE_END = r"[ \n](?<=[.!?,;:|x-zX-Z] |\n)(?<=\n|[.!?,;:|] |[a-hA-H][x-zX-Z] )"
 LINE_ENDS = r"(?<=\n)|(?<=[.!?,;:|] )|(?<=[a-hA-H][x-zX-Z] )"
 MARK = "\x01"
 MODULUS = 2**31 - 1
@@ -56,8 +57,12 @@ def lines_of(text: Column) -> Column:
     return F.when(text.contains(MARK), F.split(text, LINE_ENDS, -1)).otherwise(marked_ends)
 
 
+def body(lines: Column, start: Column, end: Column) -> Column:
+    return F.array_join(F.slice(lines, start + 1, end - start), "")
+
+
 def chunks(text: Column) -> Column:
-    """Array of (n: lines, body) whose bodies, joined, are the text."""
+    """Array of (start, end: line numbers, body) whose bodies, joined, are the text."""
 
     def rolling(hashes: Column, at: Column) -> Column:
         terms = [F.coalesce(F.get(hashes, at - 1 - k), F.lit(0)) * pow(BASE, k, MODULUS) for k in range(WINDOW)]
@@ -70,7 +75,7 @@ def chunks(text: Column) -> Column:
         def chunk(ends: Column) -> Column:
             def one(end: Column, k: Column) -> Column:
                 start = F.coalesce(F.get(ends, k - 1), F.lit(0))
-                return F.struct((end - start).alias("n"), F.array_join(F.slice(lines, start + 1, end - start), "").alias("body"))
+                return F.struct(start.alias("start"), end.alias("end"), body(lines, start, end).alias("body"))
 
             return F.transform(ends, one)
 
@@ -79,69 +84,76 @@ def chunks(text: Column) -> Column:
     return let(lines_of(text), lambda lines: let(F.transform(lines, line_hash), lambda hashes: cut(lines, hashes)))
 
 
-def marked(parts: Column, dropped: Column) -> Column:
-    """(i, n, body, repeats) of each chunk, in order: whether it is in ``dropped`` or was seen before.
+def going(found: Column) -> Column:
+    """Of an array of (h, start, end, chars, away), a text's chunks that occur elsewhere or twice, those in runs that are long enough, in order.
 
-    Sorting by hash puts a dropped hash, and any earlier copy, just before a chunk.
+    Sorting by hash puts an earlier copy just before a chunk.
     """
-    own = F.transform(parts, lambda c, i: F.struct(F.xxhash64(c["body"]).alias("h"), i.alias("i"), c["n"].alias("n"), c["body"].alias("body")))
-    gone = F.transform(F.coalesce(dropped, F.array().cast("array<bigint>")), lambda h: F.struct(h.alias("h"), F.lit(-1).alias("i"), F.lit(0).alias("n"), F.lit("").alias("body")))
-
-    def mark(sorted_: Column) -> Column:
-        def one(x: Column, k: Column) -> Column:
-            before = F.get(sorted_, k - 1)
-            repeats = (before["h"] == x["h"]) & ((before["i"] < 0) | (before["body"] == x["body"]))
-            return F.struct(x["i"].alias("i"), x["n"].alias("n"), x["body"].alias("body"), F.coalesce(repeats, F.lit(False)).alias("repeats"))
+    total = lambda a, f: F.aggregate(a, F.lit(0), lambda x, y: x + f(y))
 
-        return F.transform(sorted_, one)
+    def repeated(sorted_: Column) -> Column:
+        kept = F.filter(sorted_, lambda x, k: x["away"] | F.coalesce(F.get(sorted_, k - 1)["h"] == x["h"], F.lit(False)))
+        return F.sort_array(F.transform(kept, lambda x: F.struct(x["start"], x["end"], x["chars"], x["h"])))
 
-    return F.filter(F.sort_array(let(F.sort_array(F.concat(gone, own)), mark)), lambda x: x["i"] >= 0)
+    def runs(c: Column) -> Column:
+        places = F.when(F.size(c) > 0, F.sequence(F.lit(0), F.size(c) - 1)).otherwise(F.array().cast("array<int>"))
+        starts = F.filter(places, lambda j: ~F.coalesce(F.get(c, j - 1)["end"] == F.get(c, j)["start"], F.lit(False)))
+        return let(starts, lambda s: F.transform(s, lambda at, k: F.slice(c, at + 1, F.coalesce(F.get(s, k + 1), F.size(c)) - at)))
 
+    def goes(run: Column) -> Column:
+        lines = F.get(run, F.size(run) - 1)["end"] - F.get(run, F.lit(0))["start"]
+        return (lines > 1) & (total(run, lambda x: x["chars"]) >= MIN_CHARS) & F.exists(run, lambda x: x["chars"] >= ANCHOR_CHARS)
 
-def without_runs(flags: Column) -> Column:
-    """(text, removed) of marked chunks, without the runs of repeated ones that are long enough."""
-    total = lambda a, f: F.aggregate(F.transform(a, f), F.lit(0), lambda x, y: x + y)
-    bodies = lambda a: F.array_join(F.transform(a, lambda x: x["body"]), "")
+    return let(let(F.sort_array(found), repeated), lambda c: F.flatten(F.filter(runs(c), goes)))
 
-    def edges(c: Column, other: int) -> Column:
-        places = F.sequence(F.lit(0), F.size(c) - 1)
-        return F.filter(places, lambda j: F.get(c, j)["repeats"] & ~F.coalesce(F.get(c, j + other)["repeats"], F.lit(False)))
 
-    def by_runs(c: Column, starts: Column, ends: Column) -> Column:
-        def one(start: Column, k: Column) -> Column:
-            before = F.coalesce(F.get(ends, k - 1), F.lit(-1))
-            run = F.slice(c, start + 1, F.get(ends, k) - start + 1)
-            goes = (total(run, lambda x: F.length(x["body"])) >= MIN_CHARS) & (total(run, lambda x: x["n"]) > 1) & F.exists(run, lambda x: F.length(x["body"]) >= ANCHOR_CHARS)
-            plain = bodies(F.slice(c, before + 2, start - before - 1))
-            return F.when(goes, F.struct(plain.alias("text"), F.size(run).alias("removed"))).otherwise(F.struct(F.concat(plain, bodies(run)).alias("text"), F.lit(0).alias("removed")))
+def without(lines: Column, gone: Column) -> Column:
+    """Lines, joined, without those of the chunks ``gone``, which are in order."""
 
-        last = F.coalesce(F.get(ends, F.size(ends) - 1), F.lit(-1))
-        tail = F.struct(bodies(F.slice(c, last + 2, F.size(c) - last - 1)).alias("text"), F.lit(0).alias("removed"))
-        return let(F.concat(F.transform(starts, one), F.array(tail)), lambda r: F.struct(F.array_join(F.transform(r, lambda x: x["text"]), "").alias("text"), total(r, lambda x: x["removed"]).cast("long").alias("removed")))
+    def before(x: Column, k: Column) -> Column:
+        last = F.coalesce(F.get(gone, k - 1)["end"], F.lit(0))
+        return body(lines, last, x["start"])
 
-    return let(flags, lambda c: let(edges(c, -1), lambda starts: let(edges(c, 1), lambda ends: by_runs(c, starts, ends))))
+    tail = body(lines, F.get(gone, F.size(gone) - 1)["end"], F.size(lines))
+    return F.concat(F.array_join(F.transform(gone, before), ""), tail)
 
 
 def listed_chunks(docs: DataFrame) -> DataFrame:
-    """(__key, __text, inner, h, chars) of each row's chunks; inner: whether the row repeats an anchor. Staged as a list a row."""
+    """(__key, __text, h, start, end, chars) of each row's chunks. Staged as a list a row."""
 
     def lists(parts: Column) -> Column:
-        hashes = F.transform(parts, lambda c: F.xxhash64(c["body"]))
-        anchors = F.transform(F.filter(parts, lambda c: F.length(c["body"]) >= ANCHOR_CHARS), lambda c: F.xxhash64(c["body"]))
-        inner = let(anchors, lambda a: F.size(F.array_distinct(a)) < F.size(a))
-        return F.struct(hashes.alias("h"), F.transform(parts, lambda c: F.length(c["body"])).alias("chars"), inner.alias("inner"))
+        return F.struct(F.transform(parts, lambda c: F.xxhash64(c["body"])).alias("h"), F.transform(parts, lambda c: c["end"]).alias("end"), F.transform(parts, lambda c: F.length(c["body"])).alias("chars"))
 
     rows = docs.filter("text is not null").select("__key", "__text", let(chunks(F.col("text")), lists).alias("own"))
     rows = stage_table(rows.select("__key", "__text", "own.*"), "listed-chunks")
-    return rows.select("__key", "__text", "inner", F.inline(F.arrays_zip("h", "chars")))
+    starts = F.concat(F.array(F.lit(0)), F.slice("end", 1, F.size("end") - 1)).alias("start")
+    return rows.select("__key", "__text", "h", starts, "end", "chars").select("__key", "__text", F.inline(F.arrays_zip("h", "start", "end", "chars")))
 
 
-def clashing_hashes(docs: DataFrame, shared: DataFrame) -> DataFrame:
-    """(h) that stand for chunks of different bytes, of all that ``shared(__key, __text, __shared)`` lists. Staged."""
-    texts = docs.join(shared.select("__key", "__text", "__shared").hint("merge"), ["__key", "__text"])
-    flagged = F.filter(marked(chunks(F.col("text")), F.col("__shared")), lambda c: c["repeats"])
-    bodies = texts.select(F.inline(flagged)).groupBy(F.xxhash64("body").alias("h"), "body").agg(F.lit(1).alias("one"))
-    return stage_table(bodies.groupBy("h").agg(F.count("*").alias("bodies")).filter("bodies > 1").select("h"), "clashing-hashes")
+def decisions(shared: DataFrame) -> DataFrame:
+    """(__key, __text, gone, compared) of texts that lose chunks or have a lost one first; ``shared(__key, __text, h, start, end, chars, away)``. Staged."""
+    found = shared.groupBy("__key", "__text").agg(F.collect_set(F.struct("h", "start", "end", "chars", "away")).alias("found"))
+    found = stage_table(found.withColumn("gone", going(F.col("found"))), "shared-chunks")
+    lost = stage_table(found.select(F.explode("gone.h").alias("h")).distinct(), "lost-hashes")
+    own = found.select("__key", "__text", F.inline("gone")).select("__key", "__text", "h", "start", "end")
+    firsts = found.select("__key", "__text", F.inline(F.filter("found", lambda x: ~x["away"]))).join(lost.hint("shuffle_hash"), "h", "left_semi").select("__key", "__text", "h", "start", "end")
+    compared = own.unionByName(firsts).groupBy("__key", "__text").agg(F.collect_set(F.struct("h", "start", "end")).alias("compared"))
+    gone = found.filter(F.size("gone") > 0).select("__key", "__text", "gone")
+    return stage_table(compared.join(gone, ["__key", "__text"], "left"), "line-decisions")
+
+
+def applied(docs: DataFrame, shared: DataFrame, names: list[str]) -> DataFrame:
+    """``docs`` with ``text`` cut, removed_chunks, and __bodies: (h, body) of the chunks whose bytes are to be compared. Staged."""
+    # the decisions grow with the corpus, so they are never broadcast, however small they are
+    out = docs.join(decisions(shared).hint("merge"), ["__key", "__text"], "left")
+
+    def done(lines: Column) -> Column:
+        bodies = F.transform("compared", lambda x: F.struct(x["h"].alias("h"), body(lines, x["start"], x["end"]).alias("body")))
+        return F.struct(F.when(F.size("gone") > 0, without(lines, F.col("gone"))).alias("text"), bodies.alias("bodies"))
+
+    out = out.withColumn("__out", F.when(F.col("compared").isNotNull(), let(lines_of(F.col("text")), done)))
+    text, removed = F.coalesce("__out.text", "text").alias("text"), F.when(F.col("gone").isNotNull(), F.size("gone")).otherwise(0).cast("long").alias("removed_chunks")
+    return stage_table(out.select(*[text if c == "text" else F.col(c) for c in names], removed, F.col("__out.bodies").alias("__bodies")), "cut-texts")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -150,25 +162,14 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     docs = docs.select(*names, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("__key"), text_hash(F.col("text")).alias("__text"))
     listed = listed_chunks(docs)
     repeated = stage_table(listed.groupBy("h").agg(F.count("*").alias("places"), F.min("__key").alias("first")).filter("places > 1").select("h", "first"), "repeated-chunks")
-    away = F.col("first") != F.col("__key")
-    shared = listed.join(repeated, "h").groupBy("__key", "__text").agg(
-        F.collect_set("h").alias("__shared"), F.collect_set(F.when(away, F.col("h"))).alias("__dropped"), F.max(away & (F.col("chars") >= ANCHOR_CHARS)).alias("anchored"), F.max("inner").alias("inner"),
-    )
-    shared = stage_table(shared, "shared-chunks")
-    # a text is worked on if it repeats an anchor of its own, or has one that is first elsewhere
-    dropped = shared.filter("anchored or inner").select("__key", "__text", "__dropped")
-    # the bytes of what goes are compared with each other and with those of the rows that are first
-    gone = dropped.select(F.explode("__dropped").alias("h")).distinct()
-    firsts = stage_table(gone.join(repeated, "h").select(F.col("first").alias("__key")).distinct(), "first-rows")
-    clashing = clashing_hashes(docs, shared.filter("anchored or inner").unionByName(shared.filter("not (anchored or inner)").join(firsts, "__key", "left_semi")))
+    shared = listed.join(repeated.hint("shuffle_hash"), "h").withColumn("away", F.col("first") != F.col("__key")).drop("first")
+    out = applied(docs, shared, names)
+    bodies = out.select(F.inline("__bodies")).groupBy("h", "body").agg(F.lit(1).alias("one"))
+    clashing = stage_table(bodies.groupBy("h").agg(F.count("*").alias("bodies")).filter("bodies > 1").select("h"), "clashing-hashes")
     if clashing.limit(1).count():
-        kept = dropped.select("__key", "__text", F.explode_outer("__dropped").alias("h")).join(clashing.withColumn("clash", F.lit(True)), "h", "left")
-        dropped = stage_table(kept.groupBy("__key", "__text").agg(F.collect_set(F.when(F.col("clash").isNull(), F.col("h"))).alias("__dropped")), "dropped-chunks")
-    # the decisions grow with the corpus, so they are never broadcast, however small they are
-    out = docs.join(dropped.hint("merge"), ["__key", "__text"], "left")
-    cut = F.when(F.col("__dropped").isNotNull(), without_runs(marked(chunks(F.col("text")), F.col("__dropped"))))
-    out = out.withColumn("__out", cut)
-    return out.select(*[F.coalesce("__out.text", "text").alias("text") if c == "text" else F.col(c) for c in names], F.coalesce("__out.removed", F.lit(0)).cast("long").alias("removed_chunks"))
+        drop_staged(out)
+        out = applied(docs, shared.join(clashing, "h", "left_anti"), names)
+    return out.drop("__bodies")
 
 
 def op2_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

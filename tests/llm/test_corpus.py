@@ -379,3 +379,18 @@ def test_pipeline_stages(spark):
         if len(sizes) < 5:
             assert docs.columns == columns
     assert docs.filter("decoded").count() == sizes[-1] and sizes[0] >= sizes[2] > 0
+
+
+def test_line_chunks_are_cut_once(spark, monkeypatch):
+    """Chunks are hashed in one pass over the texts; hashes that different chunks share remove nothing."""
+    rows = [(i, f"own words of {i}\n" + SHARED) for i in range(4)]
+    docs, chunks, calls = spark.createDataFrame(rows, "doc_id long, text string"), linededup.chunks, []
+    monkeypatch.setattr(linededup, "chunks", lambda text: calls.append(1) or chunks(text))
+    out = linededup.dedup_lines(docs)
+    assert len(calls) == 1 and out.filter("removed_chunks > 0").count() == 3
+    listed = linededup.listed_chunks
+    monkeypatch.setattr(linededup, "listed_chunks", lambda d: listed(d).withColumn("h", F.lit(1).cast("long")))
+    assert sorted(map(tuple, linededup.dedup_lines(docs).collect())) == [(*r, 0) for r in rows]
+    texts = ["a. b, ax \n\n x \n", "ax By Hz ay", ". ", "\n", "", " . \r\n ax  x ", "é. ü\x0bbz \n"]
+    got = spark.createDataFrame([(t,) for t in texts], "text string").select(linededup.lines_of(F.col("text")), F.split("text", linededup.LINE_ENDS, -1)).collect()
+    assert all(a == b for a, b in got)
