@@ -13,7 +13,8 @@ else about a text is kept.
 
 Chunks are counted by hash, and lists of their line numbers decide what goes. The texts are then shuffled
 once: each is cut into lines again, loses what goes, and gives the bytes of that and of where it is first. If two
-different chunks share a hash, the step is repeated with such hashes removing nothing.
+different chunks share a hash, the step is repeated with such hashes removing nothing. As the shuffle of the texts
+takes most of the disk, what was staged before goes as soon as nothing reads it again, and so do shuffle files.
 
 Defined cases: a null text stays null, an empty one empty; a text whose chunks all go becomes
 empty, its row stays; a null doc_id counts as the smallest; rows that repeat a doc_id share its
@@ -27,7 +28,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from radiolake.llm.shared import drop_staged, stage_table, table, text_hash
+from radiolake.llm.shared import drop_staged, freed_shuffles, stage_table, table, text_hash
 
 WINDOW = 2
 #: A line ends a chunk with probability 1 / MEAN_LINES.
@@ -118,57 +119,82 @@ def without(lines: Column, gone: Column) -> Column:
     return F.concat(F.array_join(F.transform(gone, before), ""), tail)
 
 
-def listed_chunks(docs: DataFrame) -> DataFrame:
-    """(__key, __text, h, start, end, chars) of each row's chunks. Staged as a list a row."""
+def chunk_lists(docs: DataFrame) -> DataFrame:
+    """(__key, __text, h, end, chars) of each row: its chunks as lists. Staged."""
 
     def lists(parts: Column) -> Column:
         return F.struct(F.transform(parts, lambda c: F.xxhash64(c["body"])).alias("h"), F.transform(parts, lambda c: c["end"]).alias("end"), F.transform(parts, lambda c: F.length(c["body"])).alias("chars"))
 
     rows = docs.filter("text is not null").select("__key", "__text", let(chunks(F.col("text")), lists).alias("own"))
-    rows = stage_table(rows.select("__key", "__text", "own.*"), "listed-chunks")
+    return stage_table(rows.select("__key", "__text", "own.*"), "listed-chunks")
+
+
+def listed_chunks(lists: DataFrame) -> DataFrame:
+    """(__key, __text, h, start, end, chars) of each chunk of ``chunk_lists``."""
     starts = F.concat(F.array(F.lit(0)), F.slice("end", 1, F.size("end") - 1)).alias("start")
-    return rows.select("__key", "__text", "h", starts, "end", "chars").select("__key", "__text", F.inline(F.arrays_zip("h", "start", "end", "chars")))
+    return lists.select("__key", "__text", "h", starts, "end", "chars").select("__key", "__text", F.inline(F.arrays_zip("h", "start", "end", "chars")))
 
 
-def decisions(shared: DataFrame) -> DataFrame:
-    """(__key, __text, gone, compared) of texts that lose chunks or have a lost one first; ``shared(__key, __text, h, start, end, chars, away)``. Staged."""
+def gathered(shared: DataFrame) -> DataFrame:
+    """(__key, __text, found, gone) of ``shared(__key, __text, h, start, end, chars, away)``: a text's shared chunks, and those of them that go. Staged."""
     found = shared.groupBy("__key", "__text").agg(F.collect_set(F.struct("h", "start", "end", "chars", "away")).alias("found"))
-    found = stage_table(found.withColumn("gone", going(F.col("found"))), "shared-chunks")
-    lost = stage_table(found.select(F.explode("gone.h").alias("h")).distinct(), "lost-hashes")
-    own = found.select("__key", "__text", F.inline("gone")).select("__key", "__text", "h", "start", "end")
-    firsts = found.select("__key", "__text", F.inline(F.filter("found", lambda x: ~x["away"]))).join(lost.hint("shuffle_hash"), "h", "left_semi").select("__key", "__text", "h", "start", "end")
-    compared = own.unionByName(firsts).groupBy("__key", "__text").agg(F.collect_set(F.struct("h", "start", "end")).alias("compared"))
-    gone = found.filter(F.size("gone") > 0).select("__key", "__text", "gone")
-    return stage_table(compared.join(gone, ["__key", "__text"], "left"), "line-decisions")
+    return stage_table(found.withColumn("gone", going(F.col("found"))), "shared-chunks", "zstd")
 
 
-def applied(docs: DataFrame, shared: DataFrame, names: list[str]) -> DataFrame:
+def decisions(found: DataFrame) -> DataFrame:
+    """(__key, __text, __start, __end, __h, __gone) of texts that lose chunks or have a lost one first: lists of the places to compare, in order. Staged."""
+    lost = stage_table(found.select(F.explode("gone.h").alias("h")).distinct(), "lost-hashes")
+    place = lambda x: F.struct(x["start"], x["end"], x["h"])
+    own = found.select("__key", "__text", F.inline(F.transform("gone", place))).withColumn("gone", F.lit(True))
+    first = found.select("__key", "__text", F.inline(F.transform(F.filter("found", lambda x: ~x["away"]), place)))
+    first = first.join(lost.hint("shuffle_hash"), "h", "left_semi").withColumn("gone", F.lit(False))
+    at = F.sort_array(F.collect_list(F.struct("start", "end", "h", "gone")))
+    # a place that goes although its text has the chunk first stands twice, as going last
+    last = lambda at: F.filter(at, lambda x, k: F.coalesce(F.get(at, k + 1)["start"] != x["start"], F.lit(True)))
+    places = own.unionByName(first).groupBy("__key", "__text").agg(at.alias("at")).select("__key", "__text", let(F.col("at"), last).alias("at"))
+    # lists of numbers take far fewer bytes in a shuffle than a list of structs
+    out = stage_table(places.select("__key", "__text", *[F.col(f"at.{c}").alias(f"__{c}") for c in ("start", "end", "h", "gone")]), "line-decisions", "zstd")
+    drop_staged(lost)
+    return out
+
+
+def applied(docs: DataFrame, found: DataFrame, names: list[str]) -> DataFrame:
     """``docs`` with ``text`` cut, removed_chunks, and __bodies: (h, body) of the chunks whose bytes are to be compared. Staged."""
+    decided = decisions(found)
     # the decisions grow with the corpus, so they are never broadcast, however small they are
-    out = docs.join(decisions(shared).hint("merge"), ["__key", "__text"], "left")
+    out = docs.join(decided.hint("merge"), ["__key", "__text"], "left")
+    gone = F.filter(F.arrays_zip(F.col("__start").alias("start"), F.col("__end").alias("end"), F.col("__gone").alias("gone")), lambda x: x["gone"])
 
     def done(lines: Column) -> Column:
-        bodies = F.transform("compared", lambda x: F.struct(x["h"].alias("h"), body(lines, x["start"], x["end"]).alias("body")))
-        return F.struct(F.when(F.size("gone") > 0, without(lines, F.col("gone"))).alias("text"), bodies.alias("bodies"))
+        bodies = F.transform(F.arrays_zip("__h", "__start", "__end"), lambda x: F.struct(x["__h"].alias("h"), body(lines, x["__start"], x["__end"]).alias("body")))
+        return F.struct(F.when(F.exists("__gone", lambda x: x), let(gone, lambda g: without(lines, g))).alias("text"), bodies.alias("bodies"))
 
-    out = out.withColumn("__out", F.when(F.col("compared").isNotNull(), let(lines_of(F.col("text")), done)))
-    text, removed = F.coalesce("__out.text", "text").alias("text"), F.when(F.col("gone").isNotNull(), F.size("gone")).otherwise(0).cast("long").alias("removed_chunks")
-    return stage_table(out.select(*[text if c == "text" else F.col(c) for c in names], removed, F.col("__out.bodies").alias("__bodies")), "cut-texts")
+    out = out.withColumn("__out", F.when(F.col("__h").isNotNull(), let(lines_of(F.col("text")), done)))
+    text, removed = F.coalesce("__out.text", "text").alias("text"), F.when(F.col("__h").isNotNull(), F.size(F.filter("__gone", lambda x: x))).otherwise(0).cast("long").alias("removed_chunks")
+    out = stage_table(out.select(*[text if c == "text" else F.col(c) for c in names], removed, F.col("__out.bodies").alias("__bodies")), "cut-texts", "zstd")
+    drop_staged(decided)
+    return out
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text, ...)`` with repeated chunks cut from ``text``, and ``removed_chunks`` added."""
     names = [c for c in docs.columns if c != "removed_chunks"]
     docs = docs.select(*names, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("__key"), text_hash(F.col("text")).alias("__text"))
-    listed = listed_chunks(docs)
-    repeated = stage_table(listed.groupBy("h").agg(F.count("*").alias("places"), F.min("__key").alias("first")).filter("places > 1").select("h", "first"), "repeated-chunks")
-    shared = listed.join(repeated.hint("shuffle_hash"), "h").withColumn("away", F.col("first") != F.col("__key")).drop("first")
-    out = applied(docs, shared, names)
-    bodies = out.select(F.inline("__bodies")).groupBy("h", "body").agg(F.lit(1).alias("one"))
-    clashing = stage_table(bodies.groupBy("h").agg(F.count("*").alias("bodies")).filter("bodies > 1").select("h"), "clashing-hashes")
-    if clashing.limit(1).count():
-        drop_staged(out)
-        out = applied(docs, shared.join(clashing, "h", "left_anti"), names)
+    with freed_shuffles(docs.sparkSession):
+        lists = chunk_lists(docs)
+        listed = listed_chunks(lists)
+        repeated = stage_table(listed.groupBy("h").agg(F.count("*").alias("places"), F.min("__key").alias("first")).filter("places > 1").select("h", "first"), "repeated-chunks")
+        found = gathered(listed.join(repeated.hint("shuffle_hash"), "h").withColumn("away", F.col("first") != F.col("__key")).drop("first"))
+        drop_staged(lists, repeated)
+        out = applied(docs, found, names)
+        bodies = out.select(F.inline("__bodies")).groupBy("h", "body").agg(F.lit(1).alias("one"))
+        clashing = stage_table(bodies.groupBy("h").agg(F.count("*").alias("bodies")).filter("bodies > 1").select("h"), "clashing-hashes")
+        if clashing.limit(1).count():
+            drop_staged(out)
+            rest = gathered(found.select("__key", "__text", F.inline("found")).join(clashing, "h", "left_anti"))
+            out = applied(docs, rest, names)
+            drop_staged(rest)
+        drop_staged(found, clashing)
     return out.drop("__bodies")
 
 

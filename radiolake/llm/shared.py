@@ -11,6 +11,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,10 +51,10 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stage_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back."""
+def stage_table(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back. ``codec``: the session's unless given."""
     folder = new_dir(df.sparkSession, name)
-    df.write.parquet(f"{folder}/table")
+    df.write.parquet(f"{folder}/table", compression=codec)
     out = df.sparkSession.read.schema(df.schema).parquet(f"{folder}/table")
     out.staged_in = folder
     return out
@@ -76,6 +78,21 @@ def drop_staged(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within, a job's shuffle files go when its write ends, not when the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def crc32_text(text: Column) -> Column:
     """Unsigned CRC-32 of the UTF-8 bytes; of no bytes for null."""
     return F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8"))

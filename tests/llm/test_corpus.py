@@ -4,6 +4,7 @@ import random
 import re
 import time
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -11,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from radiolake.llm import linededup, mixing, pieces, pii, quality, queries, rules, sharding, simhash, similar, warc
+from radiolake.llm import linededup, mixing, pieces, pii, quality, queries, rules, sharding, shared, simhash, similar, warc
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -394,3 +395,37 @@ def test_line_chunks_are_cut_once(spark, monkeypatch):
     texts = ["a. b, ax \n\n x \n", "ax By Hz ay", ". ", "\n", "", " . \r\n ax  x ", "é. ü\x0bbz \n"]
     got = spark.createDataFrame([(t,) for t in texts], "text string").select(linededup.lines_of(F.col("text")), F.split("text", linededup.LINE_ENDS, -1)).collect()
     assert all(a == b for a, b in got)
+
+
+def test_line_chunks_leave_little_on_disk(spark, monkeypatch, tmp_path):
+    """While texts are cut, only decisions and shared chunks are staged beside them; then the cut texts alone are left, without shuffle files."""
+    name, file = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "/root/testdata/sf0.01/documents.parquet"
+    tables = lambda: {p.name.rpartition("-")[0] for p in tmp_path.glob("radiolake/*")}
+    shuffles = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").count("shuffle_")
+    there, size, files, setting, stage = {}, {}, shuffles(), spark.conf.get(name), linededup.stage_table
+
+    def staging(df, what, *codec):
+        there[what], out = tables(), stage(df, what, *codec)
+        size[what] = shared.staged_bytes(out)
+        return out
+
+    monkeypatch.setattr(linededup, "stage_table", staging)
+    monkeypatch.setattr(shared, "shared_dir", lambda spark: f"file://{tmp_path}")
+    out = linededup.dedup_lines(spark.read.parquet(file))
+    assert there["cut-texts"] == {"shared-chunks", "line-decisions"} and tables() == {"cut-texts"}
+    assert size["cut-texts"] < Path(file).stat().st_size and size["line-decisions"] < 0.1 * Path(file).stat().st_size
+    for _ in range(50):
+        time.sleep(0.1 * (shuffles() > files))
+    assert shuffles() <= files and spark.conf.get(name) == setting and out.count() == 1000
+
+
+def test_line_chunks_with_some_shared_hashes(spark, monkeypatch):
+    """Texts whose chunks share a hash keep all, after the lists of chunks are gone; the others are cut as ever."""
+    rows = [(i, f"own words of {i}\n" + (SHARED if i < 3 else SHARED.upper().replace(" ", " z"))) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = {r.doc_id: r for r in linededup.dedup_lines(docs).collect()}
+    listed = linededup.listed_chunks
+    monkeypatch.setattr(linededup, "listed_chunks", lambda d: listed(d).withColumn("h", F.when(F.col("__key") < 3, F.lit(1).cast("long")).otherwise(F.col("h"))))
+    out = {r.doc_id: r for r in linededup.dedup_lines(docs).collect()}
+    assert all(tuple(out[i]) == (*rows[i], 0) for i in range(4)) and all(plain[i].removed_chunks > 0 for i in (1, 2, 4, 5))
+    assert out[4] == plain[4] and out[5] == plain[5]
