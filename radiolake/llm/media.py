@@ -8,8 +8,9 @@ fewer, each alike one of the other (at most ``MAX_BITS`` differing bits), agree
 Images that share a key in one of ``TABLES`` Hamming tables (``KEY_BITS`` of a corner's bits each) are
 candidates, and a candidate is decided on all corners of both images. Every image is first compared with
 one other: a bucket's hub is the image that comes first in one fixed order, and of its hubs in the first
-table the one counts that most of its keys lead to. So most of a group of copies falls together at one pair
-an image, and from then on only images of different classes are paired. A bucket of at most ``SMALL``
+table the one counts that most of its keys lead to (of ``SKETCH`` keys of an image). That joins an image and its closest copy, so rounds follow in three other tables,
+in each of which an image is compared with one hub of another class, by an order of the round's own, and classes are joined before the next. So a group of copies
+falls together at a few pairs an image, and from then on only images of different classes are paired: over all keys of all tables. A bucket of at most ``SMALL``
 images is paired out, in a larger one every image is compared with the hub. What is then left in a larger bucket, images of different classes, is dealt into parts of
 about ``PART`` images, and each two parts are compared in a cell of their own, which emits the links
 it finds and never the pairs. Parts of one class are not compared with each other. So every two
@@ -27,15 +28,15 @@ other than id and image are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-from functools import cache, reduce
+from collections.abc import Iterable, Iterator
+from functools import cache, lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from radiolake.llm.shared import broadcast_if_small, drop_staged, stage_table, table
+from radiolake.llm.shared import broadcast_if_small, drop_staged, freed_shuffles, stage_table, table
 from radiolake.llm.simhash import components
 
 SIDE = 96
@@ -50,10 +51,17 @@ MIN_VOTES = 4
 MIN_SHARE = 0.1
 TABLES = 8
 KEY_BITS = 48
-SMALL = 4
+#: Sums over squares are products of matrices in images of up to so many rows and columns, running sums in larger ones.
+MATRIX = 192
+#: Tables whose keys are dealt out at once; those of the rounds before pairs, and an image's keys there; the fewest pairs of a slice.
+PASS = 2
+CROWD = (1, 2, 3)
+SKETCH = 12
+SLICE = 200_000
+ORDER = np.uint64(0x9E3779B97F4A7C15)
+SMALL = 16
 PART = 256
-SLICES = 3
-BATCH = 32
+BATCH = 12
 CORNER = np.dtype([("x", "<i4"), ("y", "<i4"), ("scale", "u1"), ("turn", "u1"), ("low", "<u8"), ("high", "<u8")])
 
 
@@ -89,15 +97,38 @@ def edited(image: np.ndarray, seed: int) -> np.ndarray:
     return np.rint(image[top : top + 80, left : left + 82] * 0.8 + 20).astype(np.uint8)
 
 
+@lru_cache(maxsize=32)
+def box(n: int, r: int) -> np.ndarray:
+    """(n, n): times that an element is counted in the sum about each of ``n``, edges repeated."""
+    at = np.arange(n)[:, None]
+    counts = np.zeros((n, n))
+    np.add.at(counts, (at, np.clip(at + np.arange(-r, r + 1), 0, n - 1)), 1)
+    return counts
+
+
 def means(a: np.ndarray, r: int) -> np.ndarray:
-    """Means over squares of 2r + 1 of images (n, h, w), edges repeated."""
-    n = 2 * r + 1
+    """Means over squares of 2r + 1 of images (n, h, w), edges repeated. Image by image, so no image's result depends on the others."""
+    n, (h, w) = 2 * r + 1, a.shape[1:]
+    if max(h, w) <= MATRIX:
+        s = np.matmul(box(h, r), np.matmul(a, np.ascontiguousarray(box(w, r).T)))
+        s /= n * n
+        return s
     p = np.pad(a, ((0, 0), (r, r), (r, r)), mode="edge")
     s = np.zeros((len(a), p.shape[1] + 1, p.shape[2] + 1))
     s[:, 1:, 1:] = p.cumsum(1).cumsum(2)
     return (s[:, n:, n:] - s[:, :-n, n:] - s[:, n:, :-n] + s[:, :-n, :-n]) / (n * n)
 
 
+def inner_means(a: np.ndarray, r: int) -> np.ndarray:
+    """Means over squares of 2r + 1 (r = 1 or 2), only where they lie within the image: (n, h - 2r, w - 2r)."""
+    for _ in range(2):
+        a = a.swapaxes(1, 2)
+        n, two = a.shape[1] - 2 * r, a[:, :-1] + a[:, 1:]
+        a = two[:, :n] + a[:, 2:] if r == 1 else two[:, :n] + two[:, 2 : n + 2] + a[:, 4:]
+    a /= (2 * r + 1) ** 2
+    return a
+
+
 def disc(r: int) -> np.ndarray:
     return np.array([(x, y) for x in range(-r, r + 1) for y in range(-r, r + 1) if x * x + y * y <= r * r])
 
@@ -140,28 +171,36 @@ def tests() -> np.ndarray:
 
 def found(a: np.ndarray, area: int, density: int, pattern: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of images (n, h, w): (image, y, x) of each corner, its turn and its tests' bits."""
-    a = means(a, 1)
-    mean = means(a, 8)
-    a = (a - mean) / (np.sqrt(np.maximum(means(a * a, 8) - mean * mean, 0)) + 4)
-    dx, dy = np.zeros_like(a), np.zeros_like(a)
-    dx[:, :, 1:-1], dy[:, 1:-1] = a[:, :, 2:] - a[:, :, :-2], a[:, 2:] - a[:, :-2]
-    xx, yy, xy = means(dx * dx, 2), means(dy * dy, 2), means(dx * dy, 2)
+    h, w = a.shape[1:]
+    a = inner_means(np.pad(a, ((0, 0), (1, 1), (1, 1)), mode="edge"), 1)
+    mean, spread = means(a, 8), means(a * a, 8)
+    a -= mean
+    mean *= mean
+    spread -= mean
+    spread = np.sqrt(np.maximum(spread, 0, out=spread), out=spread)
+    spread += 4
+    a /= spread
+    # corners keep RADIUS + 1 from the edge, and their strength reaches 4 further: one for neighbours, two for means, one for slopes
+    edge, near = RADIUS + 1, RADIUS - 2
+    dx = a[:, near : h - near, near + 1 : w - near + 1] - a[:, near : h - near, near - 1 : w - near - 1]
+    dy = a[:, near + 1 : h - near + 1, near : w - near] - a[:, near - 1 : h - near - 1, near : w - near]
+    xx, yy, xy = inner_means(dx * dx, 2), inner_means(dy * dy, 2), inner_means(dx * dy, 2)
     strength = xx * yy - xy * xy - 0.05 * (xx + yy) ** 2
-    edge, (h, w) = RADIUS + 1, a.shape[1:]
-    inner = strength[:, edge:-edge, edge:-edge]
-    around = reduce(np.maximum, [strength[:, edge + i : h - edge + i, edge + j : w - edge + j] for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    inner, around = strength[:, 1:-1, 1:-1], reduce(np.maximum, [strength[:, i : strength.shape[1] - 2 + i] for i in range(3)])
+    around = reduce(np.maximum, [around[:, :, i : around.shape[2] - 2 + i] for i in range(3)])
     at, ys, xs = np.nonzero((inner >= around) & (inner > 0))
     order = np.lexsort((xs, ys, -inner[at, ys, xs], at))
     at, ys, xs = at[order], ys[order] + edge, xs[order] + edge
     rank = np.arange(len(at)) - np.searchsorted(at, at)
     strong = rank < max(density, round(density * area / SIDE**2))
     at, ys, xs = at[strong], ys[strong], xs[strong]
-    spot = a[at[:, None], ys[:, None] + DISC[:, 1], xs[:, None] + DISC[:, 0]]
+    spot = a.ravel().take(((at * h + ys) * w + xs)[:, None] + (DISC[:, 1] * w + DISC[:, 0]))
     turn = np.rint(np.arctan2(spot @ DISC[:, 1], spot @ DISC[:, 0]) / (2 * np.pi) * TURNS).astype(np.int64) % TURNS
-    smooth, p = means(a, 2), pattern[turn]
-    rows, cols = np.clip(ys[:, None, None] + p[..., 1], 0, h - 1), np.clip(xs[:, None, None] + p[..., 0], 0, w - 1)
-    values = smooth[at[:, None, None], rows, cols]
-    return np.stack([at, ys, xs], 1), turn, values[..., 0] < values[..., 1]
+    # tests reach less than RADIUS from a corner, so they stay within what has means
+    smooth = inner_means(a, 2)
+    spots = (((at * smooth.shape[1] + ys - 2) * smooth.shape[2]) + xs - 2)[:, None]
+    first, second = (smooth.ravel().take(spots + (pattern[:, :, k, 1] * smooth.shape[2] + pattern[:, :, k, 0])[turn]) for k in (0, 1))
+    return np.stack([at, ys, xs], 1), turn, first < second
 
 
 def describe(images: list[np.ndarray | None]) -> list[np.ndarray]:
@@ -197,45 +236,88 @@ def key_bits() -> np.ndarray:
     return np.stack([np.random.default_rng(i).permutation(TESTS)[:KEY_BITS] for i in range(TABLES)])
 
 
+@cache
+def key_parts(table_: int) -> np.ndarray:
+    """(bytes, 256): what each value of each byte of a corner's tests adds to its key."""
+    bits = np.zeros((TESTS // 8, 256, TESTS // 8, 8), np.uint8)
+    for i in range(TESTS // 8):
+        bits[i, :, i] = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)
+    return bits.reshape(TESTS // 8, 256, TESTS)[..., key_bits()[table_]] @ (np.int64(1) << np.arange(KEY_BITS, dtype=np.int64))
+
+
+def keys_of(corners: np.ndarray, image: np.ndarray, table_: int) -> tuple[np.ndarray, np.ndarray]:
+    """(image, key): distinct keys in a table, by image; ``image``: the number of each corner's image, below 2**15."""
+    parts, tests_ = key_parts(table_), np.stack([corners["low"], corners["high"]], 1).view(np.uint8)
+    made = image.astype(np.int64) << KEY_BITS
+    for i in range(TESTS // 8):
+        made += parts[i].take(tests_[:, i])
+    made = np.unique(made)
+    return made >> KEY_BITS, made & ((1 << KEY_BITS) - 1)
+
+
 def keys(corners: np.ndarray, table_: int) -> np.ndarray:
     """Distinct keys of an image's corners in a table."""
-    bits = np.unpackbits(np.stack([corners["low"], corners["high"]], 1).view(np.uint8).reshape(-1, TESTS // 8), axis=1)
-    return np.unique(bits[:, key_bits()[table_]] @ (np.int64(1) << np.arange(KEY_BITS, dtype=np.int64)))
+    return keys_of(corners, np.zeros(len(corners), np.int64), table_)[1]
 
 
-def votes(a: np.ndarray, b: np.ndarray) -> int:
-    """How many different corners of each of two images agree on one placement of a in b.
+def met(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the corners of two images that are alike."""
+    low, high, found_ = b["low"].copy(), b["high"].copy(), []
+    for lo in range(0, len(a), 1024):
+        part = a[lo : lo + 1024]
+        bits = np.bitwise_count(part["low"][:, None] ^ low)
+        bits += np.bitwise_count(part["high"][:, None] ^ high)
+        at = np.flatnonzero(bits <= MAX_BITS)
+        found_.append(np.stack([at // len(b) + lo, at % len(b)]))
+    return tuple(found_[0] if len(found_) == 1 else np.concatenate(found_, 1))
+
+
+def placed(pairs: list[tuple], needed: np.ndarray) -> np.ndarray:
+    """Whether as many different corners as are needed, of each of two images, agree on one placement of a in b; ``pairs``: (a, b, alike corners of a, of b).
 
     A match of corners says where the middle of a's corners lies in b; it votes there, and for
     its turn and scale, on two overlapping grids an axis.
     """
-    if min(len(a), len(b)) < MIN_VOTES:
-        return 0
-    met = [np.nonzero(np.bitwise_count(a["low"][lo : lo + 1024, None] ^ b["low"]) + np.bitwise_count(a["high"][lo : lo + 1024, None] ^ b["high"]) <= MAX_BITS) for lo in range(0, len(a), 1024)]
-    i, j = np.concatenate([m[0] + 1024 * k for k, m in enumerate(met)]), np.concatenate([m[1] for m in met])
-    if len(i) < MIN_VOTES:
-        return 0
-    p, q = a[i], b[j]
+    sizes = [len(m[2]) for m in pairs]
+    of, sides = np.repeat(np.arange(len(pairs)), sizes), [np.concatenate([m[k] for m in pairs]) for k in (2, 3)]
+    p, q = (np.concatenate([m[k][m[k + 2]] for m in pairs]) for k in (0, 1))
     turn = (q["turn"].astype(np.int64) - p["turn"]) % TURNS
     angle, scale = turn * (2 * np.pi / TURNS), q["scale"] / p["scale"]
-    px, py = p["x"] - a["x"].mean(), p["y"] - a["y"].mean()
+    px, py = (p[c] - np.repeat([m[0][c].mean() for m in pairs], sizes) for c in ("x", "y"))
     x = q["x"] - scale * (np.cos(angle) * px - np.sin(angle) * py)
     y = q["y"] - scale * (np.sin(angle) * px + np.cos(angle) * py)
-    best = 0
+    agree, span = np.zeros(len(pairs), bool), 1 + max(int(s.max()) for s in sides)
     for dx in (0, 6):
         for dy in (0, 6):
+            _, cell = np.unique((np.floor((x + dx) / 12).astype(np.int64) << 32) + np.floor((y + dy) / 12).astype(np.int64), return_inverse=True)
             for dt in (0, TURNS // 16):
-                place = np.stack([np.floor((x + dx) / 12), np.floor((y + dy) / 12), (turn + dt) % TURNS // (TURNS // 8), 2 * scale], 1).astype(np.int64)
-                _, place = np.unique(place, axis=0, return_inverse=True)
-                if np.bincount(place.ravel()).max() > best:
-                    of = [np.bincount(np.unique(np.stack([place.ravel(), side], 1), axis=0)[:, 0]) for side in (i, j)]
-                    best = max(best, int(np.minimum(*of).max()))
-    return best
+                place = ((of * 8 + (turn + dt) % TURNS // (TURNS // 8)) * 5 + (2 * scale).astype(np.int64)) * len(cell) + cell
+                _, first, place, n = np.unique(place, return_index=True, return_inverse=True, return_counts=True)
+                full = (n[place] >= needed[of]) & ~agree[of]
+                votes = reduce(np.minimum, [np.bincount(np.unique(place[full] * span + s[full]) // span, minlength=len(n)) for s in sides])
+                owner = of[first]
+                agree[owner[votes >= needed[owner]]] = True
+    return agree
+
+
+def linked_pairs(first: list[np.ndarray], second: list[np.ndarray]) -> np.ndarray:
+    """Whether enough corners agree, for each two images: chance agreement grows with the corners of the smaller one."""
+    out, waiting, size = np.zeros(len(first), bool), [], 0
+    for k, (a, b) in enumerate(zip(first, second, strict=True)):
+        needed = max(MIN_VOTES, MIN_SHARE * min(len(a), len(b)))
+        if min(len(a), len(b)) >= needed:
+            i, j = met(a, b)
+            if len(i) >= needed:
+                waiting.append((k, needed, (a, b, i, j)))
+                size += len(i)
+        if waiting and (size > 1 << 15 or k == len(first) - 1):
+            out[[w[0] for w in waiting]] = placed([w[2] for w in waiting], np.array([w[1] for w in waiting]))
+            waiting, size = [], 0
+    return out
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether enough corners agree: chance agreement grows with the corners of the smaller image."""
-    return votes(a, b) >= max(MIN_VOTES, MIN_SHARE * min(len(a), len(b)))
+    return bool(linked_pairs([a], [b])[0])
 
 
 def corners(images: DataFrame) -> DataFrame:
@@ -253,15 +335,23 @@ def corners(images: DataFrame) -> DataFrame:
     return images.select(F.col("id").cast("long").alias("id"), "image").mapInArrow(run, "id long, node long, n_corners int, corners binary")
 
 
-def keyed(images: DataFrame, table_: int) -> DataFrame:
-    """(key, node, label) of each of the corners' keys in a table of ``images(node, label, corners)``."""
+def keyed(images: DataFrame, tables: Iterable[int], most: int | None = None) -> DataFrame:
+    """(key, node, label) of each of the corners' keys in some tables of ``images(node, label, corners)``; ``most``: of each image's, those first in a fixed order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = [keys(np.frombuffer(x, CORNER), table_) * TABLES + table_ for x in b.column("corners").to_pylist()]
-            sizes = [len(k) for k in own]
-            node, label = (np.repeat(b.column(c).to_numpy(), sizes) for c in ("node", "label"))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*own, np.zeros(0, np.int64)])), pa.array(node), pa.array(label)], names=["key", "node", "label"])
+            for lo in range(0, b.num_rows, 4096):
+                part = b.slice(lo, 4096)
+                data = part.column("corners").to_pylist()
+                image, all_ = np.repeat(np.arange(len(data)), [len(x) // CORNER.itemsize for x in data]), np.frombuffer(b"".join(data), CORNER)
+                node, label = (part.column(c).to_numpy() for c in ("node", "label"))
+                for t in tables:
+                    own, key = keys_of(all_, image, t)
+                    if most:
+                        order = np.lexsort((key.view(np.uint64) * ORDER, own))
+                        few = order[np.arange(len(own)) - np.searchsorted(own, own) < most]
+                        own, key = own[few], key[few]
+                    yield pa.RecordBatch.from_arrays([pa.array(key * TABLES + t), pa.array(node[own]), pa.array(label[own])], names=["key", "node", "label"])
 
     return images.filter("n_corners > 0").select("node", "label", "corners").mapInArrow(run, "key long, node long, label long")
 
@@ -273,65 +363,83 @@ def decided(pairs: DataFrame, images: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            alike = [linked(np.frombuffer(x, CORNER), np.frombuffer(y, CORNER)) for x, y in zip(b.column("ca").to_pylist(), b.column("cb").to_pylist(), strict=True)]
+            alike = linked_pairs(*([np.frombuffer(x, CORNER) for x in b.column(c).to_pylist()] for c in ("ca", "cb")))
             yield b.select(["la", "lb"]).rename_columns(["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
     return both.select("la", "lb", "ca", "cb").mapInArrow(run, "a long, b long")
 
 
-def hub_of() -> Column:
-    return F.min(F.struct(F.xxhash64("node").alias("order"), "node", "label"))
+def buckets(rows: DataFrame, salt: int = 0) -> DataFrame:
+    """(key, n, hub) of the buckets of ``rows(key, node, label)`` that hold more than one class."""
+    hub = F.min(F.struct(F.xxhash64("node", F.lit(salt)).alias("order"), "node", "label")).alias("hub")
+    return rows.groupBy("key").agg(F.count("*").alias("n"), hub, F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").drop("low", "high")
 
 
-def hub_links(images: DataFrame) -> DataFrame:
-    """Links between an image and, of the hubs of its buckets in the first table, that of most of its keys. Staged."""
-    rows = keyed(images, 0)
-    hubs = rows.groupBy("key").agg(F.count("*").alias("n"), hub_of().alias("hub")).filter("n > 1").select("key", F.col("hub.node").alias("hub"))
-    met = rows.select("key", "node").join(hubs, "key").filter("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("n"))
-    best = met.groupBy("node").agg(F.max(F.struct("n", "hub")).alias("best")).select("node", "best.hub")
-    pairs = stage_table(best.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct(), "media-hub-pairs")
-    links = stage_table(decided(pairs, images), "media-hub-links")
-    drop_staged(pairs)
-    return links
+def hub_pairs(rows: DataFrame, salt: int = 0) -> DataFrame:
+    """Pairs (a, b), a > b, of an image and, of its buckets' hubs of other classes, that of most of its keys; ``rows(key, node, label)``."""
+    hubs = buckets(rows, salt).select("key", F.col("hub.node").alias("hub"), F.col("hub.label").alias("above"))
+    met_ = rows.join(hubs, "key").filter("label <> above").groupBy("node", "hub").agg(F.count("*").alias("n"))
+    best = met_.groupBy("node").agg(F.max(F.struct("n", "hub")).alias("best")).select("node", "best.hub")
+    return best.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
 
 
-def first_links(images: DataFrame) -> DataFrame:
-    """Links between classes: of the images of paired out buckets, and of a larger one's images and its hub; ``images(node, label, corners)``."""
-    met = []
-    for t in range(TABLES):
-        rows = keyed(images, t)
-        mixed = rows.groupBy("key").agg(F.count("*").alias("n"), hub_of().alias("hub"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-        shared = stage_table(rows.join(mixed.select("key", "n", "hub"), "key"), f"media-shared-{t}")
-        few = shared.filter(F.col("n") <= SMALL).select("key", "node", "label")
-        pairs = few.alias("a").join(few.alias("b"), "key").filter("a.node > b.node and a.label <> b.label").select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
-        spokes = shared.filter((F.col("n") > SMALL) & (F.col("label") != F.col("hub.label"))).select(F.greatest("node", "hub.node").alias("a"), F.least("node", "hub.node").alias("b"))
-        met.append(stage_table(pairs.unionByName(spokes).distinct(), f"media-pairs-{t}"))
-        drop_staged(shared)
-    pairs = stage_table(reduce(DataFrame.unionByName, met).distinct(), "media-pairs")
-    drop_staged(*met)
-    # in slices, as both images' corners travel with a pair
-    links = [stage_table(decided(pairs.filter(F.pmod(F.xxhash64("a", "b"), F.lit(SLICES)) == i), images), f"media-links-{i}") for i in range(SLICES)]
-    drop_staged(pairs)
-    return reduce(DataFrame.unionByName, links)
-
-
-def mixed_rows(images: DataFrame) -> DataFrame:
-    """(key, node, label) of the larger buckets that hold more than one class. Staged.
-
-    Buckets are first only counted, so a large group of copies, which is one class, costs no more rows.
+def shared_rows(images: DataFrame, tables: Iterable[int], most: int) -> DataFrame:
+    """(key, node, label) of the buckets of some tables that hold more than one class, of ``most`` keys an image. Staged.
+
+    Buckets are first only looked at as a whole, so what one class shares with no other costs no more rows.
     """
-    out = []
-    for t in range(TABLES):
-        rows = keyed(images, t)
-        mixed = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter((F.col("n") > SMALL) & (F.col("low") != F.col("high")))
-        mixed = broadcast_if_small(stage_table(mixed.select("key"), f"media-mixed-{t}"))
-        out.append(stage_table(rows.join(mixed, "key"), f"media-mixed-rows-{t}"))
-    return reduce(DataFrame.unionByName, out)
-
-
-def rest_links(images: DataFrame, part: int = PART) -> DataFrame:
-    """Links between classes whose images share a larger bucket; ``images(node, label, corners)``."""
-    rows = mixed_rows(images)
+    rows = keyed(images, tables, most)
+    mixed = stage_table(buckets(rows).select("key"), "media-crowded")
+    out = stage_table(rows.join(broadcast_if_small(mixed), "key"), "media-crowd")
+    drop_staged(mixed)
+    return out
+
+
+def round_links(rows: DataFrame, images: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Links of rounds in which each image of ``rows(key, node, label)`` is compared with one hub of another class, and the pairs compared; both staged.
+
+    Classes are joined after each round, so a group of copies falls together before any of its images are paired out. Hubs differ
+    from round to round. Rounds end when one finds a twentieth of what the first found, or less.
+    """
+    links, tried, found_ = [], [], []
+    while not found_ or 20 * found_[-1] > found_[0]:
+        tried.append(stage_table(hub_pairs(renamed(rows, names(links)), len(links) + 1), "media-hub-pairs"))
+        links.append(stage_table(decided(tried[-1], images), "media-hub-links"))
+        found_.append(links[-1].count())
+    return links, tried
+
+
+def bucket_pairs(images: DataFrame, known: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b), a > b, of images of different classes: those of paired out buckets, and a larger one's images and its hub; and the rows of the larger ones. Both staged.
+
+    ``known``: names of classes. As in ``shared_rows``, buckets of one class are left out first.
+    """
+    pairs, large = [], []
+    for lo in range(0, TABLES, PASS):
+        rows = renamed(keyed(images, range(lo, lo + PASS)), known)
+        hub = F.when(F.col("n") > SMALL, F.col("hub"))
+        mixed = stage_table(buckets(rows).select("key", "n", hub.getField("node").alias("hub"), hub.getField("label").alias("above")), f"media-mixed-{lo}")
+        shared = stage_table(rows.join(broadcast_if_small(mixed), "key"), f"media-shared-{lo}")
+        few = shared.filter(F.col("n") <= SMALL).select("key", "node", "label")
+        met_ = few.alias("a").join(few.alias("b"), "key").filter("a.node > b.node and a.label <> b.label").select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+        spokes = shared.filter("label <> above").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b"))
+        pairs.append(stage_table(met_.unionByName(spokes).distinct(), f"media-pairs-{lo}"))
+        large.append(stage_table(shared.filter(F.col("n") > SMALL).select("key", "node", "label"), f"media-large-{lo}"))
+        drop_staged(mixed, shared)
+    out = [stage_table(reduce(DataFrame.unionByName, x), name) for x, name in ((pairs, "media-all-pairs"), (large, "media-large"))]
+    drop_staged(*pairs, *large)
+    return out[0], out[1]
+
+
+def pair_links(pairs: DataFrame, images: DataFrame) -> list[DataFrame]:
+    """Links of ``pairs(a, b)``. Staged, in slices of about as many pairs as images, as an image's corners travel with a pair."""
+    n = max(1, round(pairs.count() / max(SLICE, images.count())))
+    return [stage_table(decided(pairs.filter(F.pmod(F.xxhash64("a", "b"), F.lit(n)) == i), images), f"media-links-{i}") for i in range(n)]
+
+
+def rest_links(rows: DataFrame, images: DataFrame, part: int = PART) -> DataFrame:
+    """Links between classes whose images share a larger bucket of ``rows(key, node, label)``; ``images(node, corners)``. Staged."""
+    rows = rows.join(buckets(rows).filter(F.col("n") > SMALL).select("key"), "key")
     groups = stage_table(rows.groupBy("key", "label").agg(F.count("*").alias("n")), "media-groups")
     scattered = stage_table(groups.groupBy("key").agg(F.sum(F.when(F.col("n") < part, F.col("n")).otherwise(0)).alias("scattered")), "media-scattered")
     # a class that fills a part has parts of its own; the others share parts, a class whole in one
@@ -360,7 +468,9 @@ def rest_links(images: DataFrame, part: int = PART) -> DataFrame:
                 if (key, low, high) != last:
                     last, members = (key, low, high), []
                 mine = np.frombuffer(data, CORNER)
-                out += [(label, of) for part_of, of, c in members if of != label and (part_of != at or low == high) and linked(mine, c)]
+                others = [(of, c) for part_of, of, c in members if of != label and (part_of != at or low == high)]
+                alike = linked_pairs([mine] * len(others), [c for _, c in others])
+                out += [(label, of) for (of, _), yes in zip(others, alike, strict=True) if yes]
                 if at == low:
                     members.append((at, label, mine))
             if out:
@@ -372,25 +482,44 @@ def rest_links(images: DataFrame, part: int = PART) -> DataFrame:
     return links
 
 
-def merged(images: DataFrame, links: DataFrame) -> DataFrame:
-    """``images(label, ...)`` with one label for classes that ``links(a, b)`` join. Staged, in place of the staged ``images``."""
-    if not links.limit(1).count():
-        return images
-    above = stage_table(components(links).select(F.col("node").alias("label"), F.col("label").alias("above")), "media-labels")
-    out = stage_table(images.join(above, "label", "left").withColumn("label", F.coalesce("above", "label")).drop("above"), "media-images")
-    drop_staged(images, above)
-    return out
+def names(links: list[DataFrame]) -> DataFrame | None:
+    """(label, above): the label of what ``links(a, b)`` join each class to. Staged; none without links."""
+    every = reduce(DataFrame.unionByName, links) if links else None
+    if every is None or not every.limit(1).count():
+        return None
+    return stage_table(components(every).select(F.col("node").alias("label"), F.col("label").alias("above")), "media-labels")
+
+
+def renamed(rows: DataFrame, known: DataFrame | None) -> DataFrame:
+    """``rows(label, ...)`` with the labels of ``names``."""
+    if known is None:
+        return rows
+    return rows.join(broadcast_if_small(known), "label", "left").withColumn("label", F.coalesce("above", "label")).drop("above")
 
 
 def image_classes(images: DataFrame, part: int = PART) -> DataFrame:
     """(id, class_id, n_corners) a row of ``images(id, image)``; class_id: smallest id of the class."""
-    rows = stage_table(corners(images), "media-corners")
-    ones = stage_table(rows.groupBy("node").agg(F.col("node").alias("label"), F.first("n_corners").alias("n_corners"), F.first("corners").alias("corners")), "media-images")
-    ones = merged(ones, hub_links(ones))
-    ones = merged(ones, first_links(ones))
-    ones = merged(ones, rest_links(ones, part))
-    members = rows.select("id", "node", "n_corners").join(ones.select("node", "label"), "node").select("id", "label", "n_corners")
-    least = stage_table(members.groupBy("label").agg(F.min("id").alias("class_id")), "media-classes")
+    with freed_shuffles(images.sparkSession):
+        made = stage_table(corners(images), "media-corners")
+        ones = stage_table(made.groupBy("node").agg(F.col("node").alias("label"), F.first("n_corners").alias("n_corners"), F.first("corners").alias("corners")), "media-images")
+        rows = stage_table(made.select("id", "node", "n_corners"), "media-rows")
+        drop_staged(made)
+        pairs = stage_table(hub_pairs(keyed(ones, [0], SKETCH)), "media-first-pairs")
+        links = stage_table(decided(pairs, ones), "media-first-links")
+        classes = stage_table(renamed(ones, names([links])), "media-classes")
+        drop_staged(ones, pairs, links)
+        # from here on links are between the classes of this point
+        crowd = shared_rows(classes, CROWD, SKETCH)
+        links, tried = round_links(crowd, classes)
+        pairs, large = bucket_pairs(classes, names(links))
+        new = stage_table(pairs.distinct().join(reduce(DataFrame.unionByName, tried), ["a", "b"], "left_anti"), "media-pairs")
+        drop_staged(crowd, pairs, *tried)
+        links += pair_links(new, classes)
+        links.append(rest_links(renamed(large, names(links)), classes, part))
+        labels = renamed(classes.select("node", "label"), names(links))
+        members = stage_table(rows.join(labels, "node").select("id", "label", "n_corners"), "media-members")
+        least = stage_table(members.groupBy("label").agg(F.min("id").alias("class_id")), "media-least")
+        drop_staged(rows, classes, large, new, *links)
     return members.join(least, "label").select("id", "class_id", "n_corners")
 
 

@@ -104,3 +104,56 @@ def test_a_group_of_copies_makes_a_pair_an_image(spark, monkeypatch):
     monkeypatch.setattr(media, "decided", counted)
     assert classes(spark, copies) == components(media.describe(copies), meeting=True)
     assert sum(counts) <= 2 * len(copies)
+
+
+def test_twins_do_not_keep_a_group_of_copies_apart(spark, monkeypatch):
+    """Each copy has a twin that shares more of its keys than the others do; pairs still follow the number of images, not its square."""
+    image, rng = media.render(np.random.default_rng(7).normal(size=64)).astype(float), np.random.default_rng(8)
+    copies = [np.clip(image + rng.normal(0, 5, image.shape), 0, 255) for _ in range(40)]
+    images = [x.astype(np.uint8) for copy in copies for x in (copy, media.edited(copy, 3))]
+    decided, counts = media.decided, []
+
+    def counted(pairs, images):
+        counts.append(pairs.count())
+        return decided(pairs, images)
+
+    monkeypatch.setattr(media, "decided", counted)
+    assert classes(spark, images) == components(media.describe(images), meeting=True)
+    assert sum(counts) <= 3 * len(images)
+
+
+def agreed(a, b):
+    """Most corners of either image that agree on one placement, counted cell by cell."""
+    met = [(i, j) for i in range(len(a)) for j in range(len(b)) if (int(a["low"][i]) ^ int(b["low"][j])).bit_count() + (int(a["high"][i]) ^ int(b["high"][j])).bit_count() <= media.MAX_BITS]
+    best = 0
+    for dx, dy, dt in [(dx, dy, dt) for dx in (0, 6) for dy in (0, 6) for dt in (0, 8)]:
+        cells = {}
+        for i, j in met:
+            turn, scale = (int(b["turn"][j]) - int(a["turn"][i])) % 128, int(b["scale"][j]) / int(a["scale"][i])
+            c, s, x, y = np.cos(turn * (2 * np.pi / 128)), np.sin(turn * (2 * np.pi / 128)), a["x"][i] - a["x"].mean(), a["y"][i] - a["y"].mean()
+            at = ((b["x"][j] - scale * (c * x - s * y) + dx) // 12, (b["y"][j] - scale * (s * x + c * y) + dy) // 12, (turn + dt) % 128 // 16, scale)
+            one, two = cells.setdefault(at, (set(), set()))
+            one.add(i), two.add(j)
+        best = max([best, *(min(len(one), len(two)) for one, two in cells.values())])
+    return best
+
+
+def test_many_pairs_are_decided_as_each_alone():
+    rng = np.random.default_rng(9)
+    originals = [media.render(rng.normal(size=64)) for _ in range(6)]
+    copies = [(image, copy) for i, image in enumerate(originals) for copy in [*edits(image, i).values(), np.clip(image + rng.normal(0, 25, image.shape), 0, 255).astype(np.uint8), originals[i - 1], image[:30, :30]]]
+    first, second = media.describe([a for a, _ in copies]), media.describe([b for _, b in copies])
+    by_hand = [agreed(a, b) >= max(media.MIN_VOTES, media.MIN_SHARE * min(len(a), len(b))) for a, b in zip(first, second, strict=True)]
+    assert media.linked_pairs(first, second).tolist() == by_hand == [media.linked(a, b) for a, b in zip(first, second, strict=True)]
+    assert 0.3 < np.mean(by_hand) < 0.9
+
+
+@pytest.mark.parametrize("shape", [(40, 61), (media.MATRIX + 3, 50)])
+def test_means(shape):
+    a, r = np.random.default_rng(10).integers(0, 256, (2, *shape)).astype(float), 8
+    padded = np.pad(a, ((0, 0), (r, r), (r, r)), mode="edge")
+    plain = np.array([[[p[y : y + 2 * r + 1, x : x + 2 * r + 1].sum() for x in range(shape[1])] for y in range(shape[0])] for p in padded]) / 289
+    assert np.allclose(media.means(a, r), plain, rtol=1e-12)
+    for k in (1, 2):
+        assert np.allclose(media.inner_means(a, k), media.means(a, k)[:, k:-k, k:-k], rtol=1e-12)
+    assert not np.ptp(media.means(np.full((1, *shape), 77.0), r))
