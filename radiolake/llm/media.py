@@ -370,16 +370,22 @@ def decided(pairs: DataFrame, images: DataFrame) -> DataFrame:
 
 
 def buckets(rows: DataFrame, salt: int = 0) -> DataFrame:
-    """(key, n, hub) of the buckets of ``rows(key, node, label)`` that hold more than one class."""
-    hub = F.min(F.struct(F.xxhash64("node", F.lit(salt)).alias("order"), "node", "label")).alias("hub")
-    return rows.groupBy("key").agg(F.count("*").alias("n"), hub, F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").drop("low", "high")
+    """(key, n, hub, above) of the buckets of ``rows(key, node, label)`` that hold more than one class; above: the hub's label.
+
+    A node is a hash, so nodes are in an order of their own by each salt. All of it is of longs, which need no sorting to be gathered.
+    """
+    mask = F.lit(salt * int(ORDER) & (1 << 63) - 1)
+    order = F.col("node").bitwiseXOR(mask)
+    out = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(order).alias("first"), F.min_by("label", order).alias("above"), F.min("label").alias("low"), F.max("label").alias("high"))
+    return out.filter("low <> high").select("key", "n", F.col("first").bitwiseXOR(mask).alias("hub"), "above")
 
 
 def hub_pairs(rows: DataFrame, salt: int = 0) -> DataFrame:
     """Pairs (a, b), a > b, of an image and, of its buckets' hubs of other classes, that of most of its keys; ``rows(key, node, label)``."""
-    hubs = buckets(rows, salt).select("key", F.col("hub.node").alias("hub"), F.col("hub.label").alias("above"))
+    hubs = buckets(rows, salt).drop("n")
     met_ = rows.join(hubs, "key").filter("label <> above").groupBy("node", "hub").agg(F.count("*").alias("n"))
-    best = met_.groupBy("node").agg(F.max(F.struct("n", "hub")).alias("best")).select("node", "best.hub")
+    # of as many keys the hub's bits decide
+    best = met_.groupBy("node").agg(F.max_by("hub", F.col("n") + F.pmod("hub", F.lit(1 << 40)) / (1 << 41)).alias("hub"))
     return best.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
 
 
@@ -417,8 +423,7 @@ def bucket_pairs(images: DataFrame, known: DataFrame | None) -> tuple[DataFrame,
     pairs, large = [], []
     for lo in range(0, TABLES, PASS):
         rows = renamed(keyed(images, range(lo, lo + PASS)), known)
-        hub = F.when(F.col("n") > SMALL, F.col("hub"))
-        mixed = stage_table(buckets(rows).select("key", "n", hub.getField("node").alias("hub"), hub.getField("label").alias("above")), f"media-mixed-{lo}")
+        mixed = stage_table(buckets(rows).select("key", "n", *(F.when(F.col("n") > SMALL, F.col(c)).alias(c) for c in ("hub", "above"))), f"media-mixed-{lo}")
         shared = stage_table(rows.join(broadcast_if_small(mixed), "key"), f"media-shared-{lo}")
         few = shared.filter(F.col("n") <= SMALL).select("key", "node", "label")
         met_ = few.alias("a").join(few.alias("b"), "key").filter("a.node > b.node and a.label <> b.label").select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))

@@ -109,7 +109,7 @@ def test_a_group_of_copies_makes_a_pair_an_image(spark, monkeypatch):
 def test_twins_do_not_keep_a_group_of_copies_apart(spark, monkeypatch):
     """Each copy has a twin that shares more of its keys than the others do; pairs still follow the number of images, not its square."""
     image, rng = media.render(np.random.default_rng(7).normal(size=64)).astype(float), np.random.default_rng(8)
-    copies = [np.clip(image + rng.normal(0, 5, image.shape), 0, 255) for _ in range(40)]
+    copies = [np.clip(image + rng.normal(0, 9, image.shape), 0, 255) for _ in range(60)]
     images = [x.astype(np.uint8) for copy in copies for x in (copy, media.edited(copy, 3))]
     decided, counts = media.decided, []
 
